@@ -325,6 +325,21 @@ STORE = (
         "LEFT JOIN clicks USING (Customer_ID, snapshot_date)",
     ),
 )
+# Read back from CSV files an empty text is a NULL.
+STORE_FROM_FILES = tuple(
+    (name, sql.replace("FROM finance_raw", "FROM finance_filed")) if name == "finance_asked" else (name, sql)
+    for name, sql in STORE
+)
+_AT = [name for name, _ in STORE].index("finance_asked")
+STORE_FROM_FILES = (
+    *STORE_FROM_FILES[:_AT],
+    (
+        "finance_filed",
+        "SELECT * REPLACE (NULLIF(Annual_Income, '') AS Annual_Income, "
+        "NULLIF(Type_of_Loan, '') AS Type_of_Loan) FROM finance_raw",
+    ),
+    *STORE_FROM_FILES[_AT:],
+)
 STORE_OUT = ", ".join(
     [
         "loan_id",

@@ -17,7 +17,13 @@ from riskmart.operators import scaling, silver, splitting
 from riskmart.plans import mart as mart_jobs
 from riskmart.plans import monitoring, scoring, training
 from riskmart.plans.layout import Mart
-from riskmart.sources import overwrite_snapshots, read_merged, read_table, working_folder
+from riskmart.sources import (
+    overwrite_snapshots,
+    overwrite_table,
+    read_merged,
+    read_table,
+    working_folder,
+)
 from riskmart.sources.schemas import (
     ATTRIBUTE_CATEGORIES,
     CLICK_FEATURES,
@@ -32,7 +38,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # One point of the search space, small enough for a check.
-CHECK_GRID = {"n_estimators": [5], "max_depth": [2], "learning_rate": [0.1], "subsample": [0.8]}
+CHECK_GRID = {"n_estimators": [3], "max_depth": [2], "learning_rate": [0.1], "subsample": [0.8]}
 
 TRAIN_DATE = dt.date(1999, 1, 1)
 BASELINE = dt.date.fromisoformat(o.BASELINE)
@@ -779,7 +785,7 @@ def _backfilled(spark, sf_dir):
     return mart
 
 
-@query("backfill_feature_store", o.with_(*o.STORE) + f"SELECT {o.STORE_OUT} FROM store")
+@query("backfill_feature_store", o.with_(*o.STORE_FROM_FILES) + f"SELECT {o.STORE_OUT} FROM store")
 def backfill_feature_store(spark, sf_dir):
     mart = _backfilled(spark, sf_dir)
     return shown(read_table(spark, mart.feature_store))
@@ -799,16 +805,24 @@ def stream_ingest(spark, sf_dir):
     return shown(read_table(spark, f"{root}/silver").select(*names))
 
 
+def _gold_tables(spark, sf_dir, root):
+    """Label store and feature store as written tables."""
+    overwrite_table(gold.gold_labels(loans(spark, sf_dir)), f"{root}/labels")
+    overwrite_table(_store(spark, sf_dir), f"{root}/features")
+    return read_table(spark, f"{root}/labels"), read_table(spark, f"{root}/features")
+
+
 @query("train_score_gbt")
 def train_score_gbt(spark, sf_dir):
-    """Backfill, fit on twelve months, score every month; scores per snapshot."""
-    mart = _backfilled(spark, sf_dir)
+    """Fit on scaled click features of twelve months, then score every month."""
+    root = working_folder(spark, "model")
+    labels, features = _gold_tables(spark, sf_dir, root)
     trained = training.train_model(
         spark,
-        read_table(spark, mart.label_store),
-        read_table(spark, mart.feature_store),
+        labels,
+        features,
         TRAIN_DATE,
-        mart.model_bank,
+        f"{root}/bank",
         oot_months=2,
         grid=CHECK_GRID,
         draws=1,
@@ -816,28 +830,28 @@ def train_score_gbt(spark, sf_dir):
         scale=True,
         keep_missing=True,
     )
-    scoring.score_months(spark, mart, trained.version, FIRST_MONTH, LAST_MONTH)
-    scored = read_table(spark, mart.predictions)
+    overwrite_table(scoring.score(features, trained), f"{root}/predictions")
     return shown(
-        scored.groupBy("model_name", "snapshot_date").agg(
-            F.count(F.lit(1)).alias("n"), F.avg("model_predictions").alias("mean_score")
-        )
+        read_table(spark, f"{root}/predictions")
+        .groupBy("model_name", "snapshot_date")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("model_predictions").alias("mean_score"))
     )
 
 
 @query("model_bank_entry")
 def model_bank_entry(spark, sf_dir):
     """The bank's entry of a model fitted on all features: rows, label rate, auc per split."""
-    mart = _backfilled(spark, sf_dir)
+    root = working_folder(spark, "model")
+    labels, features = _gold_tables(spark, sf_dir, root)
     training.train_model(
         spark,
-        read_table(spark, mart.label_store),
-        read_table(spark, mart.feature_store),
+        labels,
+        features,
         TRAIN_DATE,
-        mart.model_bank,
+        f"{root}/bank",
         oot_months=2,
         grid=CHECK_GRID,
         draws=1,
         keep_missing=True,
     )
-    return shown(training.bank_entries(spark, mart.model_bank))
+    return shown(training.bank_entries(spark, f"{root}/bank"))

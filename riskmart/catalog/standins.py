@@ -18,11 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def money(cents: str) -> str:
-    """Text of a non-negative amount given in whole cents."""
-    return (
-        f"(CAST(CAST(floor(({cents}) / 100) AS BIGINT) AS STRING) || '.' || "
-        f"lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))"
-    )
+    """Text of an amount given in whole cents."""
+    return f"CAST(CAST({cents} AS DECIMAL(18, 0)) * 0.01 AS STRING)"
 
 
 LOAN_COLUMNS = [

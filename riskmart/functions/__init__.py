@@ -9,9 +9,12 @@ from riskmart.functions.dates import (
 )
 from riskmart.functions.numeric import (
     clip_to_zero,
+    digits_to_int,
+    digits_to_int_or_zero,
     instalments_missed,
     null_outside,
     ratio_or_zero,
+    signed_decimal_to_float,
     text_to_double,
     text_to_float,
     text_to_int,
@@ -29,6 +32,8 @@ __all__ = [
     "add_months_py",
     "blank_to",
     "clip_to_zero",
+    "digits_to_int",
+    "digits_to_int_or_zero",
     "first_missed_date",
     "history_months",
     "instalments_missed",
@@ -39,6 +44,7 @@ __all__ = [
     "null_outside",
     "parse_date",
     "ratio_or_zero",
+    "signed_decimal_to_float",
     "strip_underscores",
     "text_to_double",
     "text_to_float",

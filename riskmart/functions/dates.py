@@ -13,8 +13,13 @@ MAX_MONTHS_BACK = 12 * 9000
 
 
 def parse_date(c: Column) -> Column:
-    """Text in day/month/year or ISO form -> date, anything else -> NULL."""
-    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-MM-dd"))
+    """Text in day/month/year or ISO form -> date, anything else -> NULL.
+
+    Rearranged by pattern and then cast: a formatter per row would throw and
+    catch an exception for every text of the other form.
+    """
+    iso = F.regexp_replace(c, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
+    return F.regexp_extract(iso, r"^\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
 
 
 def first_missed_date(snapshot: Column, missed: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Everything here is safe in ANSI mode: text that is no number, an overflow or a
 zero denominator gives NULL or the stated default, never an error that would
-end a job because of one bad row.
+end a job because of one bad row. The text parsers mention their argument once,
+so a chain of repairs is evaluated once per row and generated code stays small.
 """
 
 from __future__ import annotations
@@ -10,13 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLAIN_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+from riskmart.functions.text import SIGNED_DECIMAL
+
+# Sign and whole part of a plain decimal with optional blanks around it.
+WHOLE_PART = r"^\s*([+-]?)(?=\.?\d)(\d*)(?:\.\d*)?\s*$"
 
 
 def text_to_int(c: Column) -> Column:
     """Truncating text -> int: '3.7' gives 3; exponents, words and overflow give NULL."""
-    trimmed = F.trim(c)
-    return F.when(trimmed.rlike(PLAIN_DECIMAL), trimmed.try_cast("double")).try_cast("int")
+    return F.regexp_replace(c, WHOLE_PART, "$10$2").try_cast("int")
+
+
+def digits_to_int(c: Column) -> Column:
+    """Text of digits only -> int, anything else NULL."""
+    return F.regexp_extract(c, r"^\d+$", 0).try_cast("int")
+
+
+def digits_to_int_or_zero(c: Column) -> Column:
+    """Text of digits only -> int, anything else (NULL too) 0; an overflow is NULL."""
+    text = F.coalesce(c, F.lit(""))
+    return F.regexp_replace(text, r"(?s)^(?!\d+$).*$", "0").try_cast("int")
+
+
+def signed_decimal_to_float(c: Column) -> Column:
+    """Plain decimal text with an optional minus -> float, anything else NULL."""
+    return F.regexp_extract(c, SIGNED_DECIMAL, 0).try_cast("float")
 
 
 def text_to_double(c: Column) -> Column:

@@ -49,16 +49,14 @@ def _bin_counts(df: DataFrame, bins: Mapping[str, Sequence[float]], by: Sequence
     Incomplete rows count as zero in the first bin, so a group of nothing but
     such rows still appears.
     """
+    names = list(bins)
     complete = is_complete(df)
-    pairs = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.when(complete, _bin(c, edges)).otherwise(F.lit(0)).alias("bin"),
-        )
-        for c, edges in bins.items()
+    binned = [
+        F.when(complete, _bin(c, edges)).otherwise(F.lit(0)).alias(c) for c, edges in bins.items()
     ]
     return (
-        df.select(*by, complete.cast("bigint").alias("one"), F.inline(F.array(*pairs)))
+        df.select(*by, complete.cast("bigint").alias("one"), *binned)
+        .unpivot([*by, "one"], names, "feature", "bin")
         .groupBy(*by, "feature", "bin")
         .agg(F.sum("one").alias("n"))
     )

@@ -12,26 +12,16 @@ VOCABULARY_SCHEMA = "feature string, idx int, category string"
 
 def category_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row count of every category of every column (NULL is no category)."""
+    names = list(columns)
     return (
-        df.select(F.explode(_pairs(columns)).alias("p"))
-        .select("p.feature", "p.category")
+        df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+        .unpivot([], names, "feature", "category")
         .where(F.col("category").isNotNull())
         .groupBy("feature", "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _pairs(columns: Sequence[str]):
-    return F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("category")
-            )
-            for c in columns
-        ]
-    )
-
-
 def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Categories by frequency, ties by name: one job for all columns.
 

@@ -24,13 +24,8 @@ SMALL = 65536
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., feature, value) rows with the values as doubles."""
-    pairs = [
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")
-        )
-        for c in columns
-    ]
-    return df.select(*keep, F.inline(F.array(*pairs)))
+    values = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
+    return df.select(*keep, *values).unpivot(list(keep), list(columns), "feature", "value")
 
 
 def _cell(value: Column) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from riskmart.functions import (
     blank_to,
     clip_to_zero,
+    digits_to_int,
+    digits_to_int_or_zero,
     first_missed_date,
     history_months,
     instalments_missed,
-    keep_if_digits,
-    keep_if_signed_decimal,
     mask_to_null,
     null_outside,
+    signed_decimal_to_float,
     strip_underscores,
     text_to_double,
     text_to_float,
@@ -116,74 +117,74 @@ def silver_financials(
 ) -> DataFrame:
     """Clean the 22 columns of customer finances and drop rows that break a hard rule.
 
-    Every rule reads its own column only, so all repairs are one projection and
-    all row rules one conjunctive filter. With `max_interest_rate` the rate is a
-    whole number and rows above the bound go; without it the rate stays as read.
+    Every rule reads its own column only: one projection types the text, one
+    conjunctive filter drops rows, one projection applies the range rules. With
+    `max_interest_rate` the rate is a whole number and rows above the bound go;
+    without it the rate stays as read.
     """
     raw = {name: F.col(name).cast("string") for name in df.columns}
 
     rate = text_to_double(raw["Interest_Rate"])
     if max_interest_rate is not None:
         rate = text_to_int(raw["Interest_Rate"])
-    cards = F.when(
-        raw["Num_Credit_Card"].rlike(r"^\d+$"), text_to_int(raw["Num_Credit_Card"])
-    ).otherwise(F.lit(0))
-    loans = text_to_int(keep_if_digits(strip_underscores(raw["Num_of_Loan"])))
-    delayed = text_to_int(keep_if_digits(strip_underscores(raw["Num_of_Delayed_Payment"])))
-    asked = text_to_int(raw["Num_Credit_Inquiries"])
-    balance = strip_underscores(raw["Monthly_Balance"])
     income = strip_underscores(tokens_to(raw["Annual_Income"], INCOME_BLANKS, "0"))
-
-    cleaned = df.select(
-        raw["Customer_ID"].alias("Customer_ID"),
-        text_to_float(income).alias("Annual_Income"),
-        text_to_float(raw["Monthly_Inhand_Salary"]).alias("Monthly_Inhand_Salary"),
-        null_outside(text_to_int(raw["Num_Bank_Accounts"]), 0).alias("Num_Bank_Accounts"),
-        cards.alias("Num_Credit_Card"),
-        rate.alias("Interest_Rate"),
-        null_outside(loans, *LOANS_RANGE).alias("Num_of_Loan"),
-        blank_to(raw["Type_of_Loan"], UNKNOWN).alias("Type_of_Loan"),
-        null_outside(text_to_int(raw["Delay_from_due_date"]), 0).alias("Delay_from_due_date"),
-        null_outside(delayed, *DELAYED_PAYMENTS_RANGE).alias("Num_of_Delayed_Payment"),
-        text_to_float(keep_if_signed_decimal(raw["Changed_Credit_Limit"])).alias(
-            "Changed_Credit_Limit"
-        ),
-        null_outside(F.when(asked >= 0, asked).otherwise(F.lit(0)), None, MAX_INQUIRIES).alias(
-            "Num_Credit_Inquiries"
-        ),
-        tokens_to(raw["Credit_Mix"], [CREDIT_MIX_BLANK], UNKNOWN).alias("Credit_Mix"),
-        text_to_float(strip_underscores(raw["Outstanding_Debt"])).alias("Outstanding_Debt"),
-        text_to_double(raw["Credit_Utilization_Ratio"]).alias("Credit_Utilization_Ratio"),
-        tokens_to(raw["Payment_of_Min_Amount"], [MIN_AMOUNT_BLANK], UNKNOWN).alias(
-            "Payment_of_Min_Amount"
-        ),
-        null_outside(text_to_double(raw["Total_EMI_per_month"]), 0).alias("Total_EMI_per_month"),
-        text_to_double(tokens_to(raw["Amount_invested_monthly"], [INVESTED_BLANK], "0")).alias(
-            "Amount_invested_monthly"
+    invested = tokens_to(raw["Amount_invested_monthly"], [INVESTED_BLANK], "0")
+    balance = F.coalesce(strip_underscores(raw["Monthly_Balance"]), F.lit("0"))
+
+    typed = {
+        "Customer_ID": raw["Customer_ID"],
+        "Annual_Income": text_to_float(income),
+        "Monthly_Inhand_Salary": text_to_float(raw["Monthly_Inhand_Salary"]),
+        "Num_Bank_Accounts": text_to_int(raw["Num_Bank_Accounts"]),
+        "Num_Credit_Card": digits_to_int_or_zero(raw["Num_Credit_Card"]),
+        "Interest_Rate": rate,
+        "Num_of_Loan": digits_to_int(strip_underscores(raw["Num_of_Loan"])),
+        "Type_of_Loan": blank_to(raw["Type_of_Loan"], UNKNOWN),
+        "Delay_from_due_date": text_to_int(raw["Delay_from_due_date"]),
+        "Num_of_Delayed_Payment": digits_to_int(strip_underscores(raw["Num_of_Delayed_Payment"])),
+        "Changed_Credit_Limit": signed_decimal_to_float(raw["Changed_Credit_Limit"]),
+        "Num_Credit_Inquiries": text_to_int(raw["Num_Credit_Inquiries"]),
+        "Credit_Mix": tokens_to(raw["Credit_Mix"], [CREDIT_MIX_BLANK], UNKNOWN),
+        "Outstanding_Debt": text_to_float(strip_underscores(raw["Outstanding_Debt"])),
+        "Credit_Utilization_Ratio": text_to_double(raw["Credit_Utilization_Ratio"]),
+        "Payment_of_Min_Amount": tokens_to(
+            raw["Payment_of_Min_Amount"], [MIN_AMOUNT_BLANK], UNKNOWN
         ),
-        tokens_to(raw["Payment_Behaviour"], [BEHAVIOUR_BLANK], UNKNOWN).alias("Payment_Behaviour"),
-        F.when(balance.isNull() | (text_to_float(balance) < 0), F.lit(0.0))
-        .otherwise(text_to_double(balance))
-        .alias("Monthly_Balance"),
-        cast_column(F.col(SNAPSHOT), df.schema[SNAPSHOT].dataType, "date").alias(SNAPSHOT),
-        history_months(raw["Credit_History_Age"]).alias("Credit_History_Age_In_Months"),
-    )
-
+        "Total_EMI_per_month": text_to_double(raw["Total_EMI_per_month"]),
+        "Amount_invested_monthly": text_to_double(invested),
+        "Payment_Behaviour": tokens_to(raw["Payment_Behaviour"], [BEHAVIOUR_BLANK], UNKNOWN),
+        "Monthly_Balance": text_to_double(balance),
+        SNAPSHOT: cast_column(F.col(SNAPSHOT), df.schema[SNAPSHOT].dataType, "date"),
+        "Credit_History_Age_In_Months": history_months(raw["Credit_History_Age"]),
+    }
+    # A comparison with NULL is no match, so these also drop what could not be typed.
     row_rules = [
-        F.col("Num_Bank_Accounts") <= MAX_BANK_ACCOUNTS,
+        F.col("Num_Bank_Accounts").between(0, MAX_BANK_ACCOUNTS),
         F.col("Num_Credit_Card") <= MAX_CREDIT_CARDS,
-        F.col("Num_of_Loan").isNotNull(),
-        F.col("Delay_from_due_date").isNotNull(),
-        F.col("Num_of_Delayed_Payment").isNotNull(),
+        F.col("Num_of_Loan").between(*LOANS_RANGE),
+        F.col("Delay_from_due_date") >= 0,
+        F.col("Num_of_Delayed_Payment").between(*DELAYED_PAYMENTS_RANGE),
         F.col("Changed_Credit_Limit").isNotNull(),
     ]
     if max_interest_rate is not None:
         row_rules.append(F.col("Interest_Rate") <= max_interest_rate)
 
+    asked = F.col("Num_Credit_Inquiries")
     salary = F.col("Monthly_Inhand_Salary")
-    ratio = (
-        F.when(salary.isNull() | (salary == 0), F.lit(0.0))
-        .otherwise(F.try_divide(F.col("Amount_invested_monthly"), salary).cast("float"))
-        .cast("double")
+    ratio = F.try_divide(F.col("Amount_invested_monthly"), salary).cast("float").cast("double")
+    ranged = {
+        # No number or a negative one means no activity; an implausible one is unknown.
+        "Num_Credit_Inquiries": F.when(asked.isNull() | (asked < 0), F.lit(0)).when(
+            asked <= MAX_INQUIRIES, asked
+        ),
+        "Total_EMI_per_month": null_outside(F.col("Total_EMI_per_month"), 0),
+        "Monthly_Balance": F.when(F.col("Monthly_Balance") < 0, F.lit(0.0)).otherwise(
+            F.col("Monthly_Balance")
+        ),
+        ratio_name: F.when(salary.isNull() | (salary == 0), F.lit(0.0)).otherwise(ratio),
+    }
+    return (
+        df.select(*[c.alias(name) for name, c in typed.items()])
+        .where(reduce(and_, row_rules))
+        .withColumns(ranged)
     )
-    return cleaned.where(reduce(and_, row_rules)).withColumn(ratio_name, ratio)
