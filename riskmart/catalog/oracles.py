@@ -421,7 +421,7 @@ DRIFT_FEATURES = [
 ]
 BASELINE = "1997-06-01"
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in DRIFT_FEATURES)
-_PROBABILITIES = ", ".join(str(i / 10) for i in range(1, 10))
+_PROBABILITIES = ", ".join(f"{i * 0.1!r}::DOUBLE" for i in range(1, 10))
 DRIFT = (
     *LOANS,
     (

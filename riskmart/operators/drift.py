@@ -72,7 +72,8 @@ def fit_drift_bins(
     is compared without touching the baseline again.
     """
     clean = drop_any_null(baseline)
-    inner = [i / buckets for i in range(1, buckets)]
+    step = 1 / buckets
+    inner = [i * step for i in range(1, buckets)]
     edges = exact_quantiles(clean, features, inner)
     usable = {c: e for c, e in edges.items() if e is not None}
     counted = {c: [0] * buckets for c in features}

@@ -99,6 +99,13 @@ def order_statistics(
     return found
 
 
+def _between(low: float, high: float, share: float) -> float:
+    """Interpolate from the nearer end, so that either end is met exactly."""
+    if share < 0.5:
+        return low + (high - low) * share
+    return high - (high - low) * (1 - share)
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float] | None]:
@@ -143,5 +150,5 @@ def exact_quantiles(
         result[c] = []
         for x in positions[c]:
             low, high = at_rank[(c, math.floor(x))], at_rank[(c, math.ceil(x))]
-            result[c].append(low + (high - low) * (x - math.floor(x)))
+            result[c].append(_between(low, high, x - math.floor(x)))
     return result

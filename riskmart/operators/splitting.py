@@ -133,19 +133,19 @@ def assign_parts(
     """
     order = shuffle_key(keys, seed)
     cuts = hash_cuts(df, label, order, shares)
-    wide = cuts.groupBy("y").agg(
+    wide = cuts.groupBy(F.col("y").alias("__class")).agg(
         *[
-            F.max(F.when(F.col("part") == i, F.col("cut"))).alias(f"cut{i}")
+            F.max(F.when(F.col("part") == i, F.col("cut"))).alias(f"__cut{i}")
             for i in range(len(shares))
         ]
     )
     part = F.lit(len(shares))
     for i in reversed(range(len(shares))):
-        part = F.when(F.col("k") <= F.col(f"cut{i}"), F.lit(i)).otherwise(part)
+        part = F.when(F.col("__order") <= F.col(f"__cut{i}"), F.lit(i)).otherwise(part)
     return (
-        df.withColumns({"y": _stratum(label), "k": order})
-        .join(F.broadcast(wide), "y", "left")
-        .select(*[df[f"`{c}`"] for c in df.columns], part.alias(name))
+        df.withColumns({"__class": _stratum(label), "__order": order})
+        .join(F.broadcast(wide), "__class", "left")
+        .select(*[f"`{c}`" for c in df.columns], part.alias(name))
     )
 
 

@@ -173,7 +173,8 @@ def test_finance_rules(spark, column, text, expected):
 )
 def test_investment_ratio(spark, changes, expected):
     df = silver.silver_financials(finance_rows(spark, [changes]))
-    assert values(df, "`Investment Ratio`")[0][0] == pytest.approx(expected, rel=1e-6)
+    got = values(df, "`Investment Ratio`")[0][0]
+    assert got == (None if expected is None else pytest.approx(expected, rel=1e-6))
     assert dict(df.dtypes)["Investment Ratio"] == "double"
 
 
