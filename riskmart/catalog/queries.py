@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from riskmart import functions as rf
 from riskmart.catalog import oracles as o
 from riskmart.catalog import standins as s
-from riskmart.operators import drift, encoding, gold, metrics, profiling, quantiles
+from riskmart.operators import drift, encoding, gold, joins, metrics, profiling, quantiles
 from riskmart.operators import scaling, silver, splitting
 from riskmart.plans import mart as mart_jobs
 from riskmart.plans import monitoring, scoring, training
@@ -488,6 +488,20 @@ def training_join_dropna(spark, sf_dir):
     )
 
 
+@query(
+    "hot_key_left_join",
+    "SELECT c_custkey AS k, c_mktsegment, o_orderkey, o_orderpriority FROM customer "
+    "LEFT JOIN orders ON c_custkey = o_custkey",
+)
+def hot_key_left_join(spark, sf_dir):
+    left = s.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    right = s.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), "o_orderkey", "o_orderpriority"
+    )
+    hot = joins.hot_keys(right, ["k"], min_rows=15)
+    return joins.spread_left_join(left, right, ["k"], hot, buckets=8)
+
+
 # --- labels, splits, scaling -----------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskmart.functions import ratio_or_zero
 from riskmart.operators.casting import cast_columns
 from riskmart.operators.encoding import one_hot
+from riskmart.operators.joins import spread_left_join
 from riskmart.sources.schemas import (
     ATTRIBUTE_CATEGORIES,
     CLICK_FEATURES,
@@ -95,8 +96,12 @@ def gold_clickstream(clicks: DataFrame) -> DataFrame:
 
 
 def customer_profile(financials: DataFrame, attributes: DataFrame) -> DataFrame:
-    """All per-customer features in one table; a customer may be in only one of the two."""
-    return financials.join(attributes, CUSTOMER, "full")
+    """All per-customer features in one table; a customer may be in only one of the two.
+
+    Rows without a customer can never match a loan and are left out first.
+    """
+    known = F.col(CUSTOMER).isNotNull()
+    return financials.where(known).join(attributes.where(known), CUSTOMER, "full")
 
 
 def feature_store(
@@ -104,6 +109,7 @@ def feature_store(
     financial_features: DataFrame,
     attribute_features: DataFrame,
     click_features: DataFrame,
+    hot_customers: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Loans at month on book with everything known about the customer.
 
@@ -112,12 +118,22 @@ def feature_store(
     shuffle, and each join stays splittable when one customer holds a large
     share of the loans (a chain on one shuffle is not). Rows are the same as
     joining the tables one after the other, repeated customers included.
+
+    Customers with very many rows in a per-customer or click table are named in
+    `hot_customers` (keys 'financials', 'attributes', 'clicks', see `hot_keys`);
+    those tables are joined one after the other with their hot keys dealt out.
     """
-    profile = customer_profile(financial_features, attribute_features)
-    joined = loan_features.join(profile, CUSTOMER, "left").join(
-        click_features, [CUSTOMER, SNAPSHOT], "left"
-    )
+    hot = dict(hot_customers or {})
     keys = [CUSTOMER, SNAPSHOT]
+    if hot.get("financials") is None and hot.get("attributes") is None:
+        profile = customer_profile(financial_features, attribute_features)
+        joined = loan_features.join(profile, CUSTOMER, "left")
+    else:
+        joined = spread_left_join(
+            loan_features, financial_features, [CUSTOMER], hot.get("financials")
+        )
+        joined = spread_left_join(joined, attribute_features, [CUSTOMER], hot.get("attributes"))
+    joined = spread_left_join(joined, click_features, keys, hot.get("clicks"))
     return joined.select(*keys, *[f"`{c}`" for c in joined.columns if c not in keys])
 
 

@@ -19,6 +19,7 @@ from riskmart.operators.gold import (
     gold_labels,
     gold_loan_features,
 )
+from riskmart.operators.joins import hot_keys
 from riskmart.operators.silver import (
     parse_snapshot,
     silver_attributes,
@@ -39,6 +40,7 @@ from riskmart.sources.schemas import (
     ATTRIBUTE_CATEGORIES,
     ATTRIBUTES_RAW_SCHEMA,
     CLICKSTREAM_RAW_SCHEMA,
+    CUSTOMER,
     FINANCIAL_CATEGORIES,
     FINANCIALS_RAW_SCHEMA,
     LOAN_RAW_SCHEMA,
@@ -102,7 +104,8 @@ def build_silver(
     for name in names:
         if SOURCES[name].split:
             months = read_range(spark, mart.bronze(name), start.replace(day=1), end)
-            overwrite_snapshots(SILVER[name](months), mart.silver(name))
+            # Bronze files hold one snapshot each and cleaning is narrow: no shuffle.
+            overwrite_snapshots(SILVER[name](months), mart.silver(name), compact=False)
         else:
             overwrite_table(SILVER[name](read_table(spark, mart.bronze(name))), mart.silver(name))
 
@@ -141,11 +144,18 @@ def build_feature_store(
     first = start.replace(day=1)
     loans = read_range(spark, mart.silver("lms_loan_daily"), first, end)
     clicks = read_range(spark, mart.silver("feature_clickstream"), first, end)
+    financials = read_table(spark, mart.silver("features_financials"))
+    attributes = read_table(spark, mart.silver("features_attributes"))
     store = feature_store(
         gold_loan_features(loans, mob),
-        gold_financials(read_table(spark, mart.silver("features_financials")), vocabulary),
-        gold_attributes(read_table(spark, mart.silver("features_attributes")), vocabulary),
+        gold_financials(financials, vocabulary),
+        gold_attributes(attributes, vocabulary),
         gold_clickstream(clicks),
+        {
+            "financials": hot_keys(financials, [CUSTOMER]),
+            "attributes": hot_keys(attributes, [CUSTOMER]),
+            "clicks": hot_keys(clicks, [CUSTOMER, SNAPSHOT]),
+        },
     )
     overwrite_snapshots(store, mart.feature_store)
 

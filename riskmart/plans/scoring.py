@@ -45,4 +45,6 @@ def score_months(
     read = read_merged if merge_schema else read_table
     months = F.col(SNAPSHOT).between(F.lit(start), F.lit(end))
     features = read(spark, mart.feature_store).where(months)
-    overwrite_snapshots(score(features, trained), mart.predictions, ["model_name", SNAPSHOT])
+    overwrite_snapshots(
+        score(features, trained), mart.predictions, ["model_name", SNAPSHOT], compact=False
+    )

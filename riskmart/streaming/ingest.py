@@ -58,7 +58,7 @@ def _take_batch(
 ) -> None:
     spark = batch.sparkSession
     dated = parse_snapshot(batch).where(F.col(SNAPSHOT).isNotNull())
-    overwrite_snapshots(dated, bronze, [SNAPSHOT, FILE])
+    overwrite_snapshots(dated, bronze, [SNAPSHOT, FILE], compact=False)
 
     # Named days prune the bronze partitions before anything is listed or read.
     # Each day is a partition, so there are few; a file of stray dates is joined instead.

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from riskmart.operators import casting, encoding, gold, profiling, silver
+from riskmart.operators import casting, encoding, gold, joins, profiling, silver
 from riskmart.sources import schemas
 from tests.helpers import as_set, finance_rows, loan_rows, text_rows, values
 
@@ -245,6 +245,30 @@ def test_feature_store_equals_chained_joins_with_repeated_customers(spark):
     assert as_set(store) == as_set(chained)
     assert store.count() == 8
 
+    hot = {
+        "financials": joins.hot_keys(fin, ["Customer_ID"], min_rows=1),
+        "attributes": joins.hot_keys(att, ["Customer_ID"], min_rows=1),
+        "clicks": joins.hot_keys(clicks, ["Customer_ID", "snapshot_date"], min_rows=0),
+    }
+    assert values(hot["financials"], "Customer_ID") == [("A",)]
+    assert values(hot["attributes"], "Customer_ID") == [("B",)]
+    spread = gold.feature_store(loans, fin, att, clicks, hot)
+    assert spread.columns == chained.columns
+    assert as_set(spread) == as_set(chained)
+
+
+def test_hot_keys_keep_every_row_and_copy(spark):
+    left = spark.range(40).selectExpr("cast(id % 4 as string) as k", "id")
+    hot_rows = spark.range(900).selectExpr("'1' as k", "cast(7 as bigint) as v")
+    right = hot_rows.union(spark.createDataFrame([("2", 5), (None, 6)], "k string, v bigint"))
+    hot = joins.hot_keys(right, ["k"], min_rows=100)
+    assert values(hot, "k") == [("1",)]
+    assert joins.hot_keys(right, ["k"]) is None
+    spread = joins.spread_left_join(left, right, ["k"], hot, buckets=16)
+    plain = left.join(right, "k", "left")
+    assert spread.count() == plain.count() == 9000 + 30
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
 
 def test_loan_features_truncate_balance(spark):
     loans = silver.silver_loan(
