@@ -554,6 +554,32 @@ def split_stats(spark, sf_dir):
     return metrics.split_stats(stratified_split(spark, sf_dir))
 
 
+@query(
+    "training_split",
+    o.with_(
+        *o.LOANS,
+        o.LABELS,
+        (
+            "keyed",
+            "SELECT *, snapshot_date >= DATE '1998-11-01' AS held, md5(concat_ws(':', loan_id, "
+            "Customer_ID, CAST(snapshot_date AS VARCHAR), '42')) AS k FROM labels_at "
+            "WHERE snapshot_date BETWEEN DATE '1997-11-01' AND DATE '1998-12-31'",
+        ),
+        (
+            "placed",
+            "SELECT *, rank() OVER (PARTITION BY held, label ORDER BY k) AS r, "
+            "count(*) OVER (PARTITION BY held, label) AS n FROM keyed",
+        ),
+    )
+    + f"SELECT loan_id, Customer_ID, {o.day()}, label, CASE WHEN held THEN 'oot' "
+    "WHEN r <= round(0.8 * n) THEN 'train' ELSE 'val' END AS split FROM placed",
+)
+def training_split(spark, sf_dir):
+    windows = splitting.training_windows(TRAIN_DATE, oot_months=2)
+    labels = gold.gold_labels(loans(spark, sf_dir)).drop("label_def")
+    return shown(splitting.split_training_set(labels, windows))
+
+
 @query(
     "standard_scale",
     "WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "

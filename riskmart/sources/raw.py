@@ -7,11 +7,19 @@ from pyspark.sql import types as T
 
 
 def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Scan CSV files. The text in the file decides what the cleaning rules see."""
+    """Scan CSV files by column name. The text in the file decides what the rules see.
+
+    Only the first header line is read ahead. Files of one source must agree in
+    their columns; one that does not stops the job instead of mixing columns up.
+    """
+    header = spark.read.option("header", True).csv(path).schema
+    missing = [name for name in schema.names if name not in header.names]
+    if missing:
+        raise ValueError(f"{path}: columns missing: {missing}")
     return (
-        spark.read.schema(schema)
+        spark.read.schema(header)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
         .csv(path)
+        .select(*[f"`{name}`" for name in schema.names])
     )

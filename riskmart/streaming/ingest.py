@@ -34,7 +34,7 @@ def ingest_available(
     max_files: int | None = None,
 ) -> None:
     """Take all files not taken before, then stop; call again when new files may be there."""
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     arrived = reader.csv(source).withColumn(

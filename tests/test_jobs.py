@@ -256,3 +256,17 @@ def test_stream_takes_each_file_once_and_late_rows_add(spark, tmp_path):
     assert counts == {"2023-01-01": 4, "2023-02-01": 2, "2023-03-01": 1}
     everything = silver_loan(read_raw(spark, source, LOAN_RAW_SCHEMA)).where(F.col(SNAPSHOT).isNotNull())
     assert as_set(got.select(*everything.columns)) == as_set(everything)
+
+
+def test_raw_files_are_read_by_name(spark, tmp_path):
+    path = str(tmp_path / "loans.csv")
+    names = list(reversed(LOAN_RAW_SCHEMA.names))
+    with open(path, "w") as out:
+        out.write(",".join(["extra", *names]) + "\n")
+        out.write(",".join(["?", *names]) + "\n")
+    row = read_raw(spark, path, LOAN_RAW_SCHEMA).first().asDict()
+    assert row == {name: name for name in LOAN_RAW_SCHEMA.names}
+    with open(path, "w") as out:
+        out.write("loan_id\n1\n")
+    with pytest.raises(ValueError):
+        read_raw(spark, path, LOAN_RAW_SCHEMA)
