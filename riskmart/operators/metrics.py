@@ -17,7 +17,7 @@ AUC_WARNING = 0.75
 
 # The score's fraction is read 16 bits at a time.
 DIGIT = 65536.0
-DIGITS = 3
+DIGITS = 2
 
 
 def binary_prediction(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -146,10 +146,10 @@ def auc_by_group(
 
     The area is the share of (bad, good) pairs with the bad scored higher, ties
     counting half. Scores are first counted per distinct value. Every pair of
-    different scores is then counted at the one level where the two part, so a
-    running total never spans more than 65,536 positions, however many scores a
-    group has and however unevenly they lie. Rows without score or label take
-    no part.
+    different scores is then counted at the one level where the two part. A
+    running total spans at most 65,536 positions, and on the last level only
+    scores that agree in their first 32 bits, however many scores a group has.
+    Rows without score or label take no part.
     """
     return _pair_sums(df, list(by), score, label, THRESHOLD).select(
         *by, "positives", "negatives", _auc().alias("auc"), F.round(2 * _auc() - 1, 3).alias("gini")
