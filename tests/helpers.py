@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row
-
 from riskmart.sources import schemas
 
 
@@ -72,4 +70,4 @@ def as_set(df):
     return sorted((tuple(sorted(r.asDict().items(), key=str)) for r in df.collect()), key=str)
 
 
-__all__ = ["Row", "as_set", "finance_rows", "loan_rows", "text_rows", "values"]
+__all__ = ["as_set", "finance_rows", "loan_rows", "text_rows", "values"]
