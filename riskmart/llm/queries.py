@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskmart.llm.jaccard import jaccard_join
+from riskmart.llm.mixing import mix
+from riskmart.llm.quality import fit_forest, judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,4 +20,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it."""
+    rows = mix(table(spark, sf_dir, "documents")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    copies = F.col("each") + (F.col("i") <= F.col("more")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rule counts, the base rules' and the forest's verdict."""
+    documents = table(spark, sf_dir, "documents")
+    return judge(documents, fit_forest(documents, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op8_source_mixing, op9_quality_rules)}
