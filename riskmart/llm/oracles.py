@@ -31,4 +31,42 @@ FROM s LEFT JOIN r ON r.doc_id = s.doc_id
 GROUP BY s.doc_id, len(s.s)
 """
 
-ORACLES = {"op2_ngram_jaccard_join": OP2}
+# Windows start where a shared shingle puts the item; a shingle's number of occurrences is its weight.
+OP1 = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents
+), i AS (
+  SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS pos,
+    unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g
+  FROM d WHERE len(w) >= 5
+), s AS (
+  SELECT item_id, len(w) AS l, unnest(range(0, len(w) - 4)) AS pos,
+    unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g
+  FROM i WHERE len(w) >= 5
+), win AS (
+  SELECT DISTINCT ds.doc_id, s.item_id, greatest(ds.pos - s.pos, 0) AS start,
+    least(ds.pos - s.pos + s.l, ds.n) AS stop, s.l
+  FROM ds JOIN s ON ds.g = s.g
+), wg AS (
+  SELECT win.doc_id, item_id, start, stop, l, g, count(*) AS c
+  FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.pos BETWEEN start AND stop - 5
+  GROUP BY ALL
+), ig AS (
+  SELECT item_id, g, count(*) AS c FROM s GROUP BY ALL
+), shared AS (
+  SELECT doc_id, wg.item_id, start, stop, l, sum(least(wg.c, ig.c)) AS b
+  FROM wg JOIN ig ON wg.item_id = ig.item_id AND wg.g = ig.g GROUP BY ALL
+), r AS (
+  SELECT *, b / (stop - start - 4 + l - 4 - b) AS sim FROM shared
+  WHERE 100 * b >= 80 * (stop - start - 4 + l - 4 - b)
+)
+SELECT doc_id, item_id, start::INT AS start, l::INT AS n_words, round(sim, 9) AS similarity
+FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) = 1
+"""
+
+ORACLES = {
+    "op1_benchmark_decontamination": OP1,
+    "op2_ngram_jaccard_join": OP2,
+}

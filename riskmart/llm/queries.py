@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskmart.llm.decontamination import contaminated
 from riskmart.llm.jaccard import jaccard_join
 from riskmart.llm.mixing import mix
 from riskmart.llm.quality import fit_forest, judge
+from riskmart.llm.tokenfiles import token_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item it contains, by the best window."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the smallest doc_id its links reach."""
     joined = jaccard_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from shard files of its token ids."""
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     rows = mix(table(spark, sf_dir, "documents")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
@@ -33,4 +47,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents, fit_forest(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op8_source_mixing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_token_output, op8_source_mixing, op9_quality_rules)}
