@@ -1,11 +1,32 @@
-"""The corpus pipeline: filtering, deduplication, decontamination, mixing and token output in sequence."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, mix and token output in sequence.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the stage
+before it kept, and is written as Parquet that the next one reads. All stages but the last
+return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from riskmart.llm.decontamination import without_benchmark
 from riskmart.llm.jaccard import keep_one_per_component
+from riskmart.llm.mixing import mixed_documents
+from riskmart.llm.quality import keep_good
 from riskmart.llm.tables import stored
+from riskmart.llm.tokenfiles import token_table
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the forest reject go."""
+    return keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +34,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one_per_component(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, up to three times."""
+    return mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard files of token ids; per document of the mix its place, length and checksum."""
+    return token_table(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_output),
+]
 
-#: Shares of a random mix and a fitted model: not to be expressed in SQL.
+#: A fitted forest, random rounding and a library tokenizer: SQL can't express these. Tested by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over `documents`; each is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over `documents`."""
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
     return docs
