@@ -12,7 +12,8 @@ product is taken in blocks and most of it is never formed:
    reach the similarity share one of their first `n - ceil(similarity * n) + 1`
    columns, so only these are multiplied. Overlap counts and last common
    positions accumulate per pair, and a pair goes when even the columns after
-   that position could not bring it to the size-derived bound.
+   that position could not bring it to the size-derived bound. Before that, sizes
+   and first common positions alone rule out most partners.
 4. What is left is multiplied out exactly (intersection of the two sets).
 
 A link inside a component adds nothing to it. So large groups of near copies
@@ -32,14 +33,16 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
 from riskmart.llm.shipping import ship
-from riskmart.llm.tables import ceil_div, components, partitions, stored
+from riskmart.llm.tables import ceil_div, components, stored
 
 GRAM = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Entries of the incidence matrix in one block, and in one packed piece of it.
 BLOCK_ENTRIES = 8_000_000
-PIECE_ENTRIES = 2_000_000
+PIECE_ENTRIES = 1_000_000
+#: Blocks at least, so that a small matrix is spread, too.
+MIN_BLOCKS = 64
 LEADER_ROUNDS = 2
 
 
@@ -168,7 +171,7 @@ def _resolve(table: pa.Table) -> pa.Table:
 
 def partnered(documents: DataFrame, entries: int, gram: int, percent: int) -> DataFrame:
     """c of the classes enough of whose n-grams stand in another class; a superset of the linked ones."""
-    blocks = max(partitions(documents.sparkSession), ceil_div(entries, BLOCK_ENTRIES))
+    blocks = max(MIN_BLOCKS, ceil_div(entries, BLOCK_ENTRIES))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -211,7 +214,7 @@ def class_sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, gram: i
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, c, n, pos): the shared columns among each class's first ones, in order of rarity."""
+    """(h, c, n, pos, reach): the shared columns among each class's first ones, in order of rarity."""
     entries = sets.select("c", "n", F.explode("grams").alias("h"))
     often = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     by_class = Window.partitionBy("c")
@@ -222,7 +225,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         # Columns that no other class has come first.
         .withColumn("pos", F.expr("n - shared + rank - 1"))
         .where(F.expr(f"pos <= n - ceil({percent} * n / 100.0D)"))
-        .select("h", "c", "n", "pos")
+        # With its first `pos` columns gone, the class only reaches partners up to this size.
+        .withColumn("reach", F.expr(f"(n - pos) * {100 + percent} div {percent} - n"))
+        .select("h", "c", "n", "pos", "reach")
     )
 
 
@@ -240,28 +245,33 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sized(small: str, large: str, percent: int) -> str:
-    return f"100 * least({small}, {large}) >= {percent} * greatest({small}, {large})"
+def _sized(percent: int) -> str:
+    """May a class (n, reach) and another one (n2, reach2) that meet in a column be similar, by their sizes?"""
+    return f"100 * least(n, n2) >= {percent} * greatest(n, n2) and n2 <= reach and n <= reach2"
 
 
 def leader_pairs(prefix: DataFrame, salt: int, percent: int) -> DataFrame:
-    """At most one candidate per class: the leader of one of its columns, in another component."""
-    order = F.struct(F.xxhash64("c", F.lit(salt)), "c", "n", "component") if salt else F.struct("n", "c", F.lit(0).alias("x"), "component")
-    lead = prefix.groupBy("h").agg(F.min(order).alias("l")).select("h", F.col("l.c").alias("a"), F.col("l.n").alias("na"), F.col("l.component").alias("ka"))
-    near = prefix.join(lead, "h").where(F.expr(f"component <> ka and {_sized('n', 'na', percent)}"))
-    best = near.groupBy("c").agg(F.min(F.struct(F.abs(F.col("n") - F.col("na")), "a")).alias("m"))
+    """At most one candidate per class: the leader of one of its columns, in another component.
+
+    Leaders are first the classes with the fewest columns of their own, then random ones.
+    """
+    order = F.xxhash64("c", F.lit(salt)) if salt else F.col("pos").cast("long")
+    lead = prefix.groupBy("h").agg(F.min(F.struct(order.alias("order"), "c", "n", "reach", "component")).alias("l"))
+    lead = lead.select("h", F.col("l.c").alias("a"), F.col("l.n").alias("n2"), F.col("l.reach").alias("reach2"), F.col("l.component").alias("k2"))
+    near = prefix.join(lead, "h").where(F.expr(f"component <> k2 and {_sized(percent)}"))
+    best = near.groupBy("c").agg(F.min(F.struct("pos", F.abs(F.col("n") - F.col("n2")), "a")).alias("m"))
     return best.select(F.col("m.a").alias("a"), F.col("c").alias("b"))
 
 
 def open_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """All pairs in different components whose accumulated overlap can still reach the bound."""
-    mixed = prefix.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    left = prefix.join(mixed, "h", "left_semi")
-    right = left.select("h", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("k2"))
-    met = left.join(right, "h").where(F.expr(f"c < c2 and component <> k2 and {_sized('n', 'n2', percent)}"))
+    sizes = prefix.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
+    left = prefix.join(sizes.where("lo <> hi"), "h").where("least <= reach").select("h", "c", "n", "pos", "reach", "component")
+    right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "reach", "component")])
+    met = left.join(right, "h").where(F.expr(f"c < c2 and component <> component2 and {_sized(percent)}"))
     counted = met.groupBy("c", "c2", "n", "n2").agg(F.count("*").alias("overlap"), F.max("pos").alias("p"), F.max("pos2").alias("p2"))
-    reach = "overlap + least(n - p - 1, n2 - p2 - 1)"
-    return counted.where(F.expr(f"{100 + percent} * ({reach}) >= {percent} * (n + n2)")).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    most = "overlap + least(n - p - 1, n2 - p2 - 1)"
+    return counted.where(F.expr(f"{100 + percent} * ({most}) >= {percent} * (n + n2)")).select(F.col("c").alias("a"), F.col("c2").alias("b"))
 
 
 def _labelled(prefix: DataFrame, found: DataFrame) -> DataFrame:

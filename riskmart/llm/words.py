@@ -20,7 +20,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 U64 = np.uint64
 #: Bytes of text taken into one set of arrays; some forty times that is needed for a moment.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
