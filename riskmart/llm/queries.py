@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskmart.llm.decontamination import contaminated
 from riskmart.llm.jaccard import jaccard_join
 from riskmart.llm.mixing import mix
+from riskmart.llm.paragraphs import repeated_passages
 from riskmart.llm.quality import fit_forest, judge
 from riskmart.llm.tokenfiles import token_table
 
@@ -47,4 +48,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents, fit_forest(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_token_output, op8_source_mixing, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of a passage that documents repeat, with its cluster and whether it is removed."""
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_token_output, op8_source_mixing, op9_quality_rules, op10_substring_dedup)}
