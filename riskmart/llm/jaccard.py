@@ -32,17 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
+from riskmart.llm.blocks import blocks_for, pack_pieces, shared_counts
 from riskmart.llm.shipping import ship
-from riskmart.llm.tables import ceil_div, components, stored
+from riskmart.llm.tables import components, stored
 
 GRAM = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Entries of the incidence matrix in one block, and in one packed piece of it.
-BLOCK_ENTRIES = 8_000_000
+#: Entries of the incidence matrix in one packed piece.
 PIECE_ENTRIES = 1_000_000
-#: Blocks at least, so that a small matrix is spread, too.
-MIN_BLOCKS = 64
 LEADER_ROUNDS = 2
 
 
@@ -85,93 +83,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
 # --- step 2: which classes can have a partner at all
 
 
-def _pack(home: tuple, many: np.ndarray, once: np.ndarray, key: np.ndarray, per_key: np.ndarray) -> bytes:
-    head = np.array([len(home[0]), len(many), len(once), len(key)], np.int64)
-    parts = [head, *home, key, per_key.astype(np.uint32), many, once]
-    return b"".join(p.tobytes() for p in parts)
-
-
-def _unpack(raw: bytes):
-    at = 32
-    homes, many, once, keys = np.frombuffer(raw, np.int64, 4).tolist()
-    out = []
-    for kind, count in ((np.uint64, homes), (np.int64, homes), (np.int64, homes), (np.uint64, keys),
-                        (np.uint32, keys), (np.uint32, many), (np.uint32, once)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += count * np.dtype(kind).itemsize
-    return out
-
-
-def _pieces(values: np.ndarray, counts: np.ndarray, keys: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """One packed row per block for some sets: an n-gram goes out once per piece.
-
-    An n-gram that several of these sets have is known to be shared and goes
-    out as a bare mark, so an n-gram of very many documents stays small. All
-    others name their set, which wants to hear whether anyone else has them.
-    """
-    keys, first = np.unique(keys, return_index=True)
-    begin = np.cumsum(counts) - counts
-    counts, begin = counts[first], begin[first]
-    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    values = values[np.repeat(begin, counts) + inside]
-    owner = np.repeat(np.arange(len(keys)), counts)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    times = np.diff(np.append(np.flatnonzero(new), len(values)))
-    shared = np.repeat(times > 1, times)
-    local = np.bincount(owner[shared], minlength=len(keys)).astype(np.int64)
-    spread = W.U64(blocks)
-    many, once, once_owner = values[new & shared], values[~shared], owner[~shared]
-    block_of = lambda v: ((v >> W.U64(32)) * spread) >> W.U64(32)
-    home_block = block_of(keys)
-    many_at = np.searchsorted(block_of(many), np.arange(blocks + 1))
-    once_at = np.searchsorted(block_of(once), np.arange(blocks + 1))
-    home_order = np.argsort(home_block, kind="stable")
-    home_at = np.searchsorted(home_block[home_order], np.arange(blocks + 1))
-    low = W.U64(0xFFFFFFFF)
-    numbers, packed = [], []
-    for b in range(blocks):
-        h = home_order[home_at[b] : home_at[b + 1]]
-        m = (many[many_at[b] : many_at[b + 1]] & low).astype(np.uint32)
-        o, who = once[once_at[b] : once_at[b + 1]], once_owner[once_at[b] : once_at[b + 1]]
-        if not (len(h) or len(m) or len(o)):
-            continue
-        by = np.argsort(who, kind="stable")
-        sets, per = np.unique(who, return_counts=True)
-        numbers.append(b)
-        packed.append(_pack((keys[h], counts[h].astype(np.int64), local[h]), m, (o[by] & low).astype(np.uint32), keys[sets], per))
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
-
-
-def _resolve(table: pa.Table) -> pa.Table:
-    """For one block: per set the size (from its home block) and the n-grams that others have too."""
-    got = [_unpack(raw) for raw in table.column("packed").to_pylist()]
-    home_key, home_n, home_shared, key, per_key, many, once = (np.concatenate(x) for x in zip(*got, strict=True))
-    owner = np.repeat(key, per_key)
-    # Copies of one set in several pieces are no partners of each other: count (n-gram, set) once.
-    pair = (once.astype(np.uint64) << W.U64(32)) | (owner & W.U64(0xFFFFFFFF))
-    uniq = np.unique(pair)
-    gram, times = np.unique((uniq >> W.U64(32)).astype(np.uint32), return_counts=True)
-    marked = np.union1d(gram[times > 1], many)
-    spot = np.searchsorted(marked, once)
-    hit = np.zeros(len(once), bool)
-    if len(marked):
-        hit = marked[np.minimum(spot, len(marked) - 1)] == once
-    keys, shared = np.unique(owner[hit], return_counts=True)
-    return pa.table(
-        {
-            "c": np.concatenate([home_key, keys]).view(np.int64),
-            "n": np.concatenate([home_n, np.zeros(len(keys), np.int64)]),
-            "shared": np.concatenate([home_shared, shared.astype(np.int64)]),
-        }
-    )
-
-
 def partnered(documents: DataFrame, entries: int, gram: int, percent: int) -> DataFrame:
     """c of the classes enough of whose n-grams stand in another class; a superset of the linked ones."""
-    blocks = max(MIN_BLOCKS, ceil_div(entries, BLOCK_ENTRIES))
+    blocks = blocks_for(entries)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -180,15 +94,13 @@ def partnered(documents: DataFrame, entries: int, gram: int, percent: int) -> Da
             held.append((values, counts, W.set_digest(values, counts)[0]))
             size += len(values)
             if size >= PIECE_ENTRIES:
-                yield _pieces(*(np.concatenate(x) for x in zip(*held, strict=True)), blocks)
+                yield pack_pieces(held, blocks)
                 held, size = [], 0
         if held:
-            yield _pieces(*(np.concatenate(x) for x in zip(*held, strict=True)), blocks)
+            yield pack_pieces(held, blocks)
 
     packed = documents.select("text").mapInArrow(pieces, "block int, packed binary")
-    told = packed.groupBy("block").applyInArrow(_resolve, "c long, n long, shared long")
-    # Each piece that holds a set gives its size once and its shared n-grams once.
-    sums = told.groupBy("c").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    sums = shared_counts(packed)
     return sums.where(F.expr(f"n > 0 and 100 * shared >= {percent} * n")).select("c")
 
 
