@@ -11,7 +11,9 @@ from riskmart.llm.jaccard import jaccard_join
 from riskmart.llm.mixing import mix
 from riskmart.llm.paragraphs import repeated_passages
 from riskmart.llm.quality import fit_forest, judge
+from riskmart.llm.secrets import listing, secret_spans
 from riskmart.llm.tokenfiles import token_table
+from riskmart.llm.urlrules import judged_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with host, path, the rule that fits and the verdict."""
+    return judged_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base secrets counted and digested, and all spans."""
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listing("base"), 256).alias("base_sha256"), listing("spans").alias("spans"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from shard files of its token ids."""
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,4 +67,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_token_output, op8_source_mixing, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_url_filters, op5_secret_scans, op6_token_output, op8_source_mixing, op9_quality_rules, op10_substring_dedup)}
