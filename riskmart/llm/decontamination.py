@@ -135,8 +135,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = PERC
     result, NULL doc_ids are searched too. Empty tables give no rows.
     """
     items, short, shingles = benchmark_items(benchmark)
-    items = stored(items, "benchmark-items")
-    laid = stored(windows(documents, items, short, shingles), "windows")
+    items = stored(items, "benchmark-items", compact=True)
+    laid = stored(windows(documents, items, short, shingles), "windows", compact=True)
     near = within_radius(laid.select("n_words", "fp").distinct(), items)
     pairs = laid.join(near, ["n_words", "fp"]).join(items.select("item_id", F.col("bag").alias("ibag")), "item_id")
     scored = pairs.withColumn("both", _overlap("bag", "ibag")).withColumn("all", F.expr("size(bag) + size(ibag) - both"))

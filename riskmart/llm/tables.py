@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from riskmart.sources import working_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut and lost executors cost nothing.
+
+    `compact` shuffles once more for few files; for a small result of very many tasks.
+    """
     path = working_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ import os
 import numpy as np
 
 from riskmart.llm import words as W
+from riskmart.llm.hashruns import HashRuns
 
 #: Distinct words that a worker keeps; beyond, it starts over.
 KEPT_WORDS = 2_000_000
@@ -28,22 +29,13 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Sorted hashes in runs; each run is merged into the one before once it is a quarter of it.
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words = HashRuns()
         self.pool = np.zeros(1 << 16, self.kind)
         self.used = 0
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self.known = 0
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.full(len(hashes), -1, np.int64)
-        for keys, numbers in self.runs:
-            spot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[spot] == hashes
-            at[hit] = numbers[spot[hit]]
-        return at
-
     def _learn(self, hashes: np.ndarray, strings: list[str]) -> None:
         ids = [e.ids for e in self.library.encode_batch(strings, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -60,18 +52,13 @@ class WordEncoder:
         self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.kind, total)
         self.used += total
         self.known += len(ids)
-        self.runs.append((hashes, numbers))
-        while len(self.runs) > 1 and 4 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
-            (k2, n2), (k1, n1) = self.runs.pop(), self.runs.pop()
-            keys, held = np.concatenate([k1, k2]), np.concatenate([n1, n2])
-            order = np.argsort(keys, kind="stable")
-            self.runs.append((keys[order], held[order]))
+        self.words.add(hashes, numbers)
 
     def encode(self, found: W.Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, each text closed by end_id, and ids per text."""
         split = W.words(found)
         hashes, sample, inverse = np.unique(split.hash, return_index=True, return_inverse=True)
-        at = self._find(hashes)
+        at = self.words.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
             if self.known + len(new) > KEPT_WORDS:
@@ -81,7 +68,7 @@ class WordEncoder:
             spots = sample[new]
             strings = [raw[a:b].decode() for a, b in zip(split.start[spots].tolist(), split.end[spots].tolist(), strict=True)]
             self._learn(hashes[new], strings)
-            at = self._find(hashes)
+            at = self.words.find(hashes)
         at = at[inverse]
         sizes = self.size[at]
         closing = 0 if end_id is None else 1
