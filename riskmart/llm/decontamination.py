@@ -2,7 +2,7 @@
 
 A window of a document has as many words as a benchmark item. It can only be
 similar to the item if the two share a shingle, so windows are laid where a
-shared shingle puts the item's first word; nothing is lost by that. Windows and
+shared shingle puts the item's first word. Windows and
 items get 64-bit SimHashes. Fingerprints are cut into RADIUS + 1 blocks: two that differ in
 at most RADIUS bits agree in a whole block, so equal blocks give all
 fingerprints within the radius. Candidates are verified by their bags of

@@ -10,7 +10,7 @@ bounded bins whose depth is logarithmic in the source's documents.
 
 The last fraction of a tree must become 0 or 1 by itself, which misses the
 target by part of one document. So a source's large documents are rounded first,
-and what they miss is spread over the fractions of the smaller ones, in proportion, which
+and what they miss is spread over the smaller ones in proportion, which
 keeps expectations again. Only part of one of its smallest documents is missed in the end.
 """
 
@@ -29,8 +29,8 @@ MAX_REPEATS = 3
 #: Documents or residuals that one bin of the tree holds on average.
 BIN = 32
 SEED = 20_240_917
-#: Documents are rounded by size: from the source's mean up, then down to this fraction of it, and so on.
-CLASSES, CLASS_RATIO = 3, 8
+#: Documents are rounded by size, in multiples of their source's mean: from the first edge up, then from the next one, and so on.
+CLASS_EDGES = (16.0, 4.0, 1.0, 0.125)
 
 _STATE = "struct<k:bigint,s:bigint,p:double,done:array<struct<k:bigint,one:boolean>>>"
 
@@ -150,48 +150,42 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     )
     goal = stored(targets(sized, weights, repeats), "mix-targets")
     joined = sized.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     mean = F.col("source_size") / F.col("rows")
-    big = F.when(F.col("size") >= mean, 0)
-    for step in range(1, CLASSES - 1):
-        big = big.when(F.col("size") * CLASS_RATIO**step >= mean, step)
-    shared = stored(
-        joined.withColumn("each", F.floor(ratio + 1e-12).cast("long"))
-        .withColumn("part", F.greatest(F.lit(0.0), ratio - F.col("each")))
-        .withColumn("step", big.otherwise(CLASSES - 1)),
-        "mix-shares",
+    size_class = F.lit(len(CLASS_EDGES))
+    for step, edge in reversed(list(enumerate(CLASS_EDGES))):
+        size_class = F.when(F.col("size") >= edge * mean, step).otherwise(size_class)
+    shared = stored(joined.withColumn("step", size_class), "mix-shares")
+    weighed = stored(
+        shared.groupBy(F.col("source").alias("of"), "step").agg(F.sum(F.col("size") * F.col("m")).alias("mass"), F.first("target").alias("target")),
+        "mix-masses",
     )
-    mass = F.sum(F.col("size") * F.col("m"))
-    weighed = shared.groupBy(F.col("source").alias("of"), "step").agg(mass.alias("mass"), F.max("part").alias("part"))
-    weighed = stored(weighed, "mix-masses")
-    plan = weighed.groupBy("of").agg(F.max("part").alias("now"))
+    # What a source still has to give, and the copies a document gets if all that is left gives alike.
+    plan = weighed.groupBy("of").agg(F.first("target").alias("owed"), F.sum("mass").alias("left"))
     done = None
-    for step in range(CLASSES):
-        after = weighed.groupBy("of").agg(
-            F.sum(F.when(F.col("step") == step, F.col("mass"))).alias("mass"), F.sum(F.when(F.col("step") > step, F.col("mass"))).alias("later")
-        )
+    for step in range(len(CLASS_EDGES) + 1):
+        ratio = F.when(F.col("left") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(repeats)), F.col("owed") / F.col("left")))).otherwise(0.0)
         here = (
             shared.where(F.col("step") == step)
-            .join(plan, F.col("source").eqNullSafe(F.col("of")))
-            .withColumn("all", F.col("now") * F.col("m"))
+            .join(plan.select("of", ratio.alias("ratio")), F.col("source").eqNullSafe(F.col("of")))
+            .withColumn("each", F.floor(F.col("ratio") + 1e-12).cast("long"))
+            .withColumn("all", F.greatest(F.lit(0.0), F.col("ratio") - F.col("each")) * F.col("m"))
             .withColumn("full", F.floor(F.col("all") + 1e-9).cast("long"))
             .withColumn("p", F.greatest(F.lit(0.0), F.col("all") - F.col("full")))
         )
         fractions = here.where("size > 0 and p > 1e-9").select("source", F.col("row_key").alias("k"), F.col("size").alias("s"), "p")
         ones = pivotal(fractions).where("one").select(F.col("source").alias("_source"), F.col("k").alias("_k"), F.lit(1).alias("one"))
         same = (F.col("row_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_source"))
-        more = F.col("full") + F.coalesce("one", F.lit(0))
-        decided = here.join(ones, same, "left").withColumn("more", more)
+        decided = here.join(ones, same, "left").withColumn("more", F.col("full") + F.coalesce("one", F.lit(0)))
         decided = stored(
             decided.select("row_key", "doc_id", "source", "size", "m", "source_size", "target", "each", "more"), f"mix-class-{step}"
         )
         done = decided if done is None else done.unionByName(decided)
-        got = decided.groupBy(F.col("source").alias("_of")).agg(F.sum(F.col("size") * F.col("more")).alias("got"))
-        missed = F.coalesce("mass", F.lit(0)) * F.col("now") - F.coalesce("got", F.lit(0))
-        shift = F.when(F.col("later") > 0, missed / F.col("later")).otherwise(0.0)
-        nearer = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("now") + shift))
-        last = plan.join(after.withColumnRenamed("of", "_o"), F.col("of").eqNullSafe(F.col("_o"))).join(got, F.col("of").eqNullSafe(F.col("_of")), "left")
-        plan = stored(last.select("of", nearer.alias("now")), "mix-plan")
+        if step < len(CLASS_EDGES):
+            words = F.col("size") * (F.col("m") * F.col("each") + F.col("more"))
+            got = decided.groupBy(F.col("source").alias("_of")).agg(F.sum(words).alias("got"), F.sum(F.col("size") * F.col("m")).alias("gone"))
+            last = plan.join(got, F.col("of").eqNullSafe(F.col("_of")), "left")
+            owed = F.col("owed") - F.coalesce("got", F.lit(0))
+            plan = stored(last.select("of", owed.alias("owed"), (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left")), "mix-plan")
     return done
 
 
