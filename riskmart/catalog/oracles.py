@@ -115,7 +115,7 @@ LOAN_OUT = ", ".join(
         day(),
         "mob",
         "installments_missed",
-        day("first_missed_date"),
+        "date_diff('day', DATE '1970-01-01', first_missed_date)::INTEGER AS first_missed_date",
         "dpd",
     ]
 )

@@ -68,6 +68,12 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def shown_loans(df: DataFrame) -> DataFrame:
+    """As shown(), with the first missed date as days since 1970: engines write far years differently."""
+    days = F.datediff(F.col("first_missed_date"), F.lit(dt.date(1970, 1, 1)))
+    return shown(df.withColumn("first_missed_date", days))
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver_loan(s.loans_raw(spark, sf_dir))
 
@@ -77,12 +83,12 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("silver_loan", o.with_(*o.LOANS) + f"SELECT {o.LOAN_OUT} FROM loans")
 def silver_loan(spark, sf_dir):
-    return shown(loans(spark, sf_dir))
+    return shown_loans(loans(spark, sf_dir))
 
 
 @query("fill_all_numeric", o.with_(*o.LOANS_FILLED) + f"SELECT {o.LOAN_OUT} FROM loans")
 def fill_all_numeric(spark, sf_dir):
-    return shown(silver.silver_loan(s.loans_raw(spark, sf_dir), fill_numeric=True))
+    return shown_loans(silver.silver_loan(s.loans_raw(spark, sf_dir), fill_numeric=True))
 
 
 @query(

@@ -8,8 +8,9 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Further back than this no calendar date exists; such a first missed date is unknown.
-MAX_MONTHS_BACK = 12 * 9000
+# The date type ends about 5.88 million years back. Whoever missed more months than fit
+# gets the earliest date this far back, and with it the largest number of days past due.
+MONTHS_BACK_IN_TYPE = 12 * 5_800_000
 
 
 def parse_date(c: Column) -> Column:
@@ -23,8 +24,12 @@ def parse_date(c: Column) -> Column:
 
 
 def first_missed_date(snapshot: Column, missed: Column) -> Column:
-    """The snapshot moved back by the missed months (month ends are clamped)."""
-    return F.when(missed.between(1, MAX_MONTHS_BACK), F.add_months(snapshot, -missed))
+    """The snapshot moved back by the missed months (month ends are clamped).
+
+    NULL only where no month was missed or their number is unknown.
+    """
+    months = F.least(missed, F.lit(MONTHS_BACK_IN_TYPE)).cast("int")
+    return F.when(missed >= 1, F.add_months(snapshot, -months))
 
 
 def history_months(c: Column) -> Column:

@@ -72,9 +72,11 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
 
 
 def instalments_missed(overdue: Column, due: Column) -> Column:
-    """Whole instalments covered by the overdue amount, 0 where nothing was due."""
-    return (
-        F.when(due != 0, F.ceil(F.try_divide(overdue, due)))
-        .otherwise(F.lit(0))
-        .try_cast("int")
-    )
+    """Whole instalments covered by the overdue amount, 0 where nothing was due.
+
+    More than an int holds count as the largest int; NULL stays NULL.
+    """
+    ratio = F.try_divide(overdue, due)
+    most = float(2**31 - 1)
+    inside = F.when(ratio > most, F.lit(most)).when(ratio < -most, F.lit(-most)).otherwise(ratio)
+    return F.when(due != 0, F.ceil(inside)).otherwise(F.lit(0)).cast("int")

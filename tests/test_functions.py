@@ -80,10 +80,19 @@ def test_ratios(spark):
 
 def test_first_missed_date_clamps_and_never_fails(spark):
     day = dt.date(2023, 3, 31)
-    rows = [(day, 1), (day, 0), (day, None), (day, 2_000_000_000)]
+    rows = [(day, 1), (day, 0), (day, None), (day, 200_000), (day, 2_000_000_000)]
     df = spark.createDataFrame(rows, "s date, m int")
-    got = [r[0] for r in df.select(rf.first_missed_date(F.col("s"), F.col("m"))).collect()]
-    assert got == [dt.date(2023, 2, 28), None, None, None]
+    first = rf.first_missed_date(F.col("s"), F.col("m"))
+    got = df.select(F.datediff(F.col("s"), first)).collect()
+    assert [r[0] for r in got[:4]] == [31, None, None, 6_087_374]
+    assert 2_000_000_000 < got[4][0] < 2**31
+
+
+def test_instalments_missed_saturates(spark):
+    rows = [(2000.0, 1e-300), (1e300, 1.0), (-1e300, 1.0), (2000.0, 0.01)]
+    df = spark.createDataFrame(rows, "n double, d double")
+    got = [r[0] for r in df.select(rf.instalments_missed(F.col("n"), F.col("d"))).collect()]
+    assert got[:2] == [2**31 - 1] * 2 and got[3] == 200_000
 
 
 def test_month_series(spark):

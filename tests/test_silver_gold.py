@@ -307,3 +307,11 @@ def test_whole_frame_helpers(spark):
     assert values(profiling.preview(df, ["fe_1"], 1), "s") == [("b",)]
     doubled = df.union(df)
     assert gold.duplicate_keys(doubled.where(F.col("s").isNotNull()), ["s"]).count() == 2
+
+
+def test_the_most_overdue_loans_are_bad(spark):
+    rows = [dict(loan_id="tiny", due_amt="0.01", overdue_amt="2000"), dict(loan_id="tiniest", due_amt="0.0000001", overdue_amt="2000")]
+    loans = silver.silver_loan(loan_rows(spark, rows))
+    got = {r["loan_id"]: r["dpd"] for r in loans.select("loan_id", "dpd").collect()}
+    assert got["tiny"] > 6_000_000 and got["tiniest"] > 2_000_000_000
+    assert [r["label"] for r in gold.gold_labels(loans).collect()] == [1, 1]
