@@ -473,7 +473,8 @@ ROLLUP = (
     "rollup_",
     "SELECT snapshot_date, count(DISTINCT feature) AS n_features, "
     "count(*) FILTER (psi > 0.2) AS n_critical, "
-    "count(*) FILTER (psi > 0.1 AND psi <= 0.2) AS n_warning FROM psi GROUP BY snapshot_date",
+    "count(*) FILTER (psi > 0.1 AND psi <= 0.2) AS n_warning, "
+    "count(*) FILTER (psi IS NULL) AS n_unknown FROM psi GROUP BY snapshot_date",
 )
 ALERT = (
     "alerts",

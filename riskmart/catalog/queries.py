@@ -688,7 +688,7 @@ def psi_by_feature(spark, sf_dir):
 @query(
     "drift_rollup",
     o.with_(*o.DRIFT, o.ROLLUP, o.ALERT)
-    + f"SELECT {o.day()}, n_features, n_critical, n_warning, {o.r6('share_drifted')}, alert "
+    + f"SELECT {o.day()}, n_features, n_critical, n_warning, n_unknown, {o.r6('share_drifted')}, alert "
     "FROM alerts",
 )
 def drift_rollup(spark, sf_dir):

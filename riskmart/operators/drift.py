@@ -10,7 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.operators.casting import drop_any_null, is_complete
+from riskmart.operators.casting import drop_any_null, is_complete, numeric_columns
 from riskmart.operators.quantiles import exact_quantiles
 from riskmart.sources.schemas import SNAPSHOT
 
@@ -83,6 +83,13 @@ def fit_drift_bins(
     return DriftBins(edges, counted)
 
 
+def common_bins(bins: DriftBins, current: DataFrame) -> DriftBins:
+    """The bins of those features that `current` has as numbers, too."""
+    there = set(numeric_columns(current))
+    kept = [c for c in bins.features if c in there]
+    return DriftBins({c: bins.edges[c] for c in kept}, {c: bins.expected[c] for c in kept})
+
+
 def drift_bins_frame(spark: SparkSession, bins: DriftBins) -> DataFrame:
     rows = [(c, bins.edges[c], list(bins.expected[c])) for c in bins.features]
     return spark.createDataFrame(rows, BINS_SCHEMA)
@@ -154,7 +161,10 @@ def drift_level(psi: Column) -> Column:
 
 
 def drift_rollup(psi: DataFrame, by: Sequence[str] = (SNAPSHOT,)) -> DataFrame:
-    """Per snapshot: features, critical and warning counts, drifted share, alert."""
+    """Per snapshot: features, critical, warning and unknown counts, drifted share, alert.
+
+    A NULL index could not be computed: it is unknown, neither stable nor drifted.
+    """
     level = drift_level(F.col("psi"))
     return (
         psi.groupBy(*by)
@@ -162,6 +172,7 @@ def drift_rollup(psi: DataFrame, by: Sequence[str] = (SNAPSHOT,)) -> DataFrame:
             F.count_distinct("feature").alias("n_features"),
             F.count_if(level == "critical").alias("n_critical"),
             F.count_if(level == "warning").alias("n_warning"),
+            F.count_if(F.col("psi").isNull()).alias("n_unknown"),
         )
         .withColumn(
             "share_drifted",

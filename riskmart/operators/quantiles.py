@@ -30,10 +30,11 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 
 def _cell(value: Column) -> Column:
     """Cell of a value inside [low, high]; a small interval uses the value itself."""
-    width = F.col("high") - F.col("low")
-    zoomed = F.floor((value - F.col("low")) / width * CELLS).cast("double")
+    # Halves: the distance of two finite numbers may be too large for a double.
+    width = F.col("high") / 2 - F.col("low") / 2
+    zoomed = F.floor((value / 2 - F.col("low") / 2) / width * CELLS).cast("double")
     return (
-        F.when(width == 0, F.lit(0.0))
+        F.when(width == 0, value)
         .when(F.col("size") <= SMALL, value)
         .otherwise(F.least(zoomed, F.lit(float(CELLS - 1))))
     )
@@ -92,15 +93,28 @@ def order_statistics(
             )
             .where(F.size("wanted") > 0)
         )
+        asked = {p[:4] for p in pending}
         open_intervals = [
             (r["feature"], r["cell_low"], r["cell_high"], r["n"], r["first"], list(r["wanted"]))
             for r in hit.collect()
         ]
+        stuck = asked & {i[:4] for i in open_intervals}
+        if stuck:
+            raise ArithmeticError(f"no progress in {sorted(stuck)}")
     return found
 
 
 def _between(low: float, high: float, share: float) -> float:
-    """Interpolate from the nearer end, so that either end is met exactly."""
+    """Interpolate from the nearer end, so that either end is met exactly.
+
+    Between numbers that are infinitely far apart the nearer end stands.
+    """
+    if low == high or share == 0:
+        return low
+    if math.isinf(low) or math.isinf(high):
+        return low if share < 0.5 else high
+    if math.isinf(high - low):
+        return low * (1 - share) + high * share
     if share < 0.5:
         return low + (high - low) * share
     return high - (high - low) * (1 - share)
@@ -122,25 +136,46 @@ def exact_quantiles(
             for c in columns
         ]
     )
+    finite = clean.select(
+        *[F.when(F.abs(F.col(f"`{c}`")) < math.inf, F.col(f"`{c}`")).alias(c) for c in columns]
+    )
+    # Infinite values are counted and left out: they have no place in cells of equal width.
     row = clean.select(
         *[
             f(F.col(f"`{c}`")).alias(f"{tag}{i}")
             for i, c in enumerate(columns)
-            for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+            for tag, f in (
+                ("n", F.count),
+                ("less", lambda v: F.count_if(v == -math.inf)),
+                ("more", lambda v: F.count_if(v == math.inf)),
+                ("lo", lambda v: F.min(F.when(F.abs(v) < math.inf, v))),
+                ("hi", lambda v: F.max(F.when(F.abs(v) < math.inf, v))),
+            )
         ]
     ).first()
+    counts = {c: (row[f"n{i}"], row[f"less{i}"], row[f"more{i}"]) for i, c in enumerate(columns)}
     bounds = {
-        c: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"])
+        c: (row[f"lo{i}"], row[f"hi{i}"], counts[c][0] - counts[c][1] - counts[c][2])
         for i, c in enumerate(columns)
-        if row[f"n{i}"]
-    }
-    positions = {
-        c: [(p * (bounds[c][2] - 1)) for p in probabilities] for c in columns if c in bounds
+        if row[f"lo{i}"] is not None
     }
+    positions = {c: [p * (n - 1) for p in probabilities] for c, (n, _, _) in counts.items() if n}
     ranks = {
-        c: [r for x in at for r in (math.floor(x), math.ceil(x))] for c, at in positions.items()
+        c: [
+            r - counts[c][1]
+            for x in at
+            for r in (math.floor(x), math.ceil(x))
+            if counts[c][1] <= r < counts[c][0] - counts[c][2]
+        ]
+        for c, at in positions.items()
     }
-    at_rank = order_statistics(clean, ranks, bounds)
+    among_finite = order_statistics(finite, {c: r for c, r in ranks.items() if c in bounds}, bounds)
+
+    def value_at(c: str, rank: int) -> float:
+        n, less, more = counts[c]
+        if rank < less:
+            return -math.inf
+        return math.inf if rank >= n - more else among_finite[(c, rank - less)]
 
     result: dict[str, list[float] | None] = {}
     for c in columns:
@@ -149,6 +184,6 @@ def exact_quantiles(
             continue
         result[c] = []
         for x in positions[c]:
-            low, high = at_rank[(c, math.floor(x))], at_rank[(c, math.ceil(x))]
+            low, high = value_at(c, math.floor(x)), value_at(c, math.ceil(x))
             result[c].append(_between(low, high, x - math.floor(x)))
     return result

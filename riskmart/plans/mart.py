@@ -70,8 +70,15 @@ SILVER = {
 
 
 def in_months(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """First-of-month snapshots from start's month up to end."""
-    return df.where(F.col(SNAPSHOT).between(F.lit(start.replace(day=1)), F.lit(end)))
+    """First-of-month snapshots from start's month up to end; other days are no snapshots."""
+    day = F.col(SNAPSHOT)
+    inside = day.between(F.lit(start.replace(day=1)), F.lit(end))
+    return df.where(inside & (F.trunc(day, "MM") == day))
+
+
+def months_of(start: dt.date, end: dt.date) -> dict[str, tuple[dt.date, dt.date]]:
+    """The partitions that a run over this range replaces."""
+    return {SNAPSHOT: (start.replace(day=1), end)}
 
 
 def bronze_split(raw: DataFrame, path: str, start: dt.date, end: dt.date) -> None:
@@ -79,7 +86,8 @@ def bronze_split(raw: DataFrame, path: str, start: dt.date, end: dt.date) -> Non
 
     Rows whose date cannot be read belong to no snapshot and are not taken.
     """
-    overwrite_snapshots(in_months(parse_snapshot(raw), start, end), path)
+    rows = in_months(parse_snapshot(raw), start, end)
+    overwrite_snapshots(rows, path, replaced=months_of(start, end))
 
 
 def bronze_static(raw: DataFrame, path: str) -> None:
@@ -105,7 +113,9 @@ def build_silver(
         if SOURCES[name].split:
             months = read_range(spark, mart.bronze(name), start.replace(day=1), end)
             # Bronze files hold one snapshot each and cleaning is narrow: no shuffle.
-            overwrite_snapshots(SILVER[name](months), mart.silver(name), compact=False)
+            overwrite_snapshots(
+                SILVER[name](months), mart.silver(name), compact=False, replaced=months_of(start, end)
+            )
         else:
             overwrite_table(SILVER[name](read_table(spark, mart.bronze(name))), mart.silver(name))
 
@@ -114,7 +124,9 @@ def build_labels(
     spark: SparkSession, mart: Mart, start: dt.date, end: dt.date, dpd: int = 30, mob: int = 6
 ) -> None:
     loans = read_range(spark, mart.silver("lms_loan_daily"), start.replace(day=1), end)
-    overwrite_snapshots(gold_labels(loans, dpd, mob), mart.label_store)
+    overwrite_snapshots(
+        gold_labels(loans, dpd, mob), mart.label_store, replaced=months_of(start, end)
+    )
 
 
 def pinned_vocabulary(spark: SparkSession, mart: Mart, refit: bool = False) -> dict[str, list[str]]:
@@ -157,7 +169,7 @@ def build_feature_store(
             "clicks": hot_keys(clicks, [CUSTOMER, SNAPSHOT]),
         },
     )
-    overwrite_snapshots(store, mart.feature_store)
+    overwrite_snapshots(store, mart.feature_store, replaced=months_of(start, end))
 
 
 def backfill(
@@ -171,8 +183,9 @@ def backfill(
 ) -> None:
     """Raw files -> label store and feature store for all months of the range.
 
-    Running a month again replaces that month and nothing else, so a failed or
-    repeated run leaves the same tables as one clean run.
+    Running a range again replaces all its months, those that lost their rows
+    included, and nothing else, so a failed or repeated run leaves the same tables as one
+    clean run.
     """
     build_bronze(spark, mart, raw, start, end)
     build_silver(spark, mart, start, end, tuple(raw))

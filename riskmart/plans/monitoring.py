@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskmart.operators.casting import numeric_columns
 from riskmart.operators.drift import (
     DriftBins,
+    common_bins,
     drift_bins_frame,
     drift_rollup,
     fit_drift_bins,
@@ -46,23 +47,26 @@ def performance_flags(metrics: DataFrame) -> DataFrame:
         SNAPSHOT,
         F.lit("performance").alias("kind"),
         "severity",
-        F.format_string("AUC %.3f", "auc").alias("detail"),
+        F.format_string("area under the curve: %.3f", "auc").alias("detail"),
     )
 
 
 def feature_flags(rollup: DataFrame) -> DataFrame:
+    """Severity of the drift; 'unknown' where no feature could be compared."""
     return rollup.select(
         SNAPSHOT,
         F.lit("feature").alias("kind"),
-        F.when(F.col("alert"), F.lit("critical"))
+        F.when(F.col("n_unknown") == F.col("n_features"), F.lit("unknown"))
+        .when(F.col("alert"), F.lit("critical"))
         .when(F.col("n_critical") + F.col("n_warning") > 0, F.lit("warning"))
         .otherwise(F.lit("healthy"))
         .alias("severity"),
         F.format_string(
-            "%d critical, %d warning, %.0f%% drifted",
+            "of %d features %d strongly and %d slightly shifted, %d not comparable",
+            "n_features",
             "n_critical",
             "n_warning",
-            F.coalesce(F.col("share_drifted"), F.lit(0.0)) * 100,
+            "n_unknown",
         ).alias("detail"),
     )
 
@@ -83,21 +87,26 @@ def should_retrain(flags: DataFrame, snapshot: dt.date, model_name: str) -> bool
     return not raised.isEmpty()
 
 
-def upsert_snapshots(new: DataFrame, log_path: str, by=(SNAPSHOT,)) -> None:
-    """Replace the log's rows of the snapshots in `new`, keep all others."""
-    overwrite_snapshots(new, log_path, by, compact=False)
+def upsert_snapshots(new: DataFrame, log_path: str, by=(SNAPSHOT,), replaced=None) -> None:
+    """Replace the log's rows of the snapshots in `new` and in `replaced`, keep all others."""
+    overwrite_snapshots(new, log_path, by, compact=False, replaced=replaced)
 
 
 def pinned_drift_bins(
     spark: SparkSession, mart: Mart, baseline: dt.date = BASELINE, refit: bool = False
 ) -> DriftBins:
-    """The stored bins of the baseline snapshot; fitted on the first call only."""
+    """The stored bins of the baseline snapshot; fitted on the first call only.
+
+    A baseline without a complete row gives bins nothing compares with; these are
+    not stored, so a later call looks again.
+    """
     path = f"{mart.drift_bins}/baseline={baseline:%Y-%m-%d}"
     if not refit and table_exists(spark, path):
         return read_drift_bins(read_table(spark, path))
     rows = read_snapshot(spark, mart.feature_store, baseline)
     bins = fit_drift_bins(rows, numeric_columns(rows, [CUSTOMER, SNAPSHOT]))
-    overwrite_table(drift_bins_frame(spark, bins).coalesce(1), path)
+    if any(edges is not None for edges in bins.edges.values()):
+        overwrite_table(drift_bins_frame(spark, bins).coalesce(1), path)
     return bins
 
 
@@ -116,14 +125,15 @@ def monitor(
     """
     day = F.col(SNAPSHOT) == F.lit(snapshot)
     tag = {"model_name": F.lit(model_name)}
+    by = ["model_name", SNAPSHOT]
+    asked = {"model_name": (model_name, model_name), SNAPSHOT: (snapshot, snapshot)}
     found = []
 
     if table_exists(spark, mart.predictions):
-        scored = read_table(spark, mart.predictions).where(F.col("model_name") == model_name)
-        joined = predictions_with_labels(scored, read_table(spark, mart.label_store))
-        upsert_snapshots(
-            performance(joined).withColumns(tag), mart.performance, ["model_name", SNAPSHOT]
-        )
+        mine = day & (F.col("model_name") == model_name)
+        scored = read_table(spark, mart.predictions).where(mine)
+        joined = predictions_with_labels(scored, read_table(spark, mart.label_store).where(day))
+        upsert_snapshots(performance(joined).withColumns(tag), mart.performance, by, asked)
         if table_exists(spark, mart.performance):
             metrics = read_table(spark, mart.performance)
             found.append(
@@ -134,7 +144,10 @@ def monitor(
         bins = pinned_drift_bins(spark, mart, baseline)
         current = read_snapshot(spark, mart.feature_store, snapshot)
         upsert_snapshots(
-            psi_by_feature(current, bins).withColumns(tag), mart.drift_log, ["model_name", SNAPSHOT]
+            psi_by_feature(current, common_bins(bins, current)).withColumns(tag),
+            mart.drift_log,
+            by,
+            asked,
         )
         log = read_table(spark, mart.drift_log).where(day & (F.col("model_name") == model_name))
         found.append(feature_flags(drift_rollup(log)))
@@ -149,5 +162,5 @@ def monitor(
     flags = flags.withColumns(
         {"severity": F.coalesce(F.col("severity"), F.lit("unknown")), **tag}
     ).coalesce(1)
-    upsert_snapshots(flags, mart.drift_flags, ["model_name", SNAPSHOT])
+    upsert_snapshots(flags, mart.drift_flags, by)
     return read_table(spark, mart.drift_flags).where(day & (F.col("model_name") == model_name))

@@ -37,7 +37,7 @@ def score_months(
     end: dt.date,
     merge_schema: bool = False,
 ) -> None:
-    """Score all snapshots of a range in one job; a month without rows writes nothing.
+    """Score all snapshots of a range in one job; a month without rows has none afterwards.
 
     Merging file schemas is needed only after the category vocabulary was refitted.
     """
@@ -46,5 +46,9 @@ def score_months(
     months = F.col(SNAPSHOT).between(F.lit(start), F.lit(end))
     features = read(spark, mart.feature_store).where(months)
     overwrite_snapshots(
-        score(features, trained), mart.predictions, ["model_name", SNAPSHOT], compact=False
+        score(features, trained),
+        mart.predictions,
+        ["model_name", SNAPSHOT],
+        compact=False,
+        replaced={"model_name": (version, version), SNAPSHOT: (start, end)},
     )

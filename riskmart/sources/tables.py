@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +45,57 @@ def overwrite_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _partitions(
+    spark: SparkSession, path: str, by: Sequence[str], inside: Mapping[str, tuple]
+) -> dict[str, frozenset[str]]:
+    """Partition folders whose values lie in the closed ranges, with their file names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return {}
+    folders = [root]
+    for column in by:
+        low, high = (str(x) for x in inside.get(column, ("", "\uffff")))
+        below = [s.getPath() for f in folders for s in store.listStatus(f) if s.isDirectory()]
+        folders = [
+            p
+            for p in below
+            if p.getName().startswith(f"{column}=")
+            and low <= unquote(p.getName().split("=", 1)[1]) <= high
+        ]
+    return {
+        str(f.toString()): frozenset(s.getPath().getName() for s in store.listStatus(f))
+        for f in folders
+    }
+
+
+def _remove(spark: SparkSession, folders: Sequence[str]) -> None:
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def overwrite_snapshots(
-    df: DataFrame, path: str, by: Sequence[str] = (SNAPSHOT,), compact: bool = True
+    df: DataFrame,
+    path: str,
+    by: Sequence[str] = (SNAPSHOT,),
+    compact: bool = True,
+    replaced: Mapping[str, tuple] | None = None,
 ) -> None:
-    """Replace exactly the partitions that occur in df; all others stay.
+    """Replace the partitions that occur in df, and all others that `replaced` covers.
+
+    `replaced` maps partition columns to closed ranges (texts, or dates, which
+    compare like their texts); a column that is not named is covered whole. Partitions in these
+    ranges without a row in df are removed after the write, so a month that became empty
+    keeps no old rows. Without `replaced` they stay. Only the names of the range's
+    files are listed. A run that ends between write and removal is made good by the next one.
 
     `compact` asks for a rebalance on the partition columns: few files per
     partition, while a snapshot that holds much of the data is split over many
     tasks instead of being written by one.
     """
+    spark = df.sparkSession
+    before = {} if replaced is None else _partitions(spark, path, by, replaced)
     out = df.hint("rebalance", *[F.col(c) for c in by]) if compact else df
     (
         out.write.mode("overwrite")
@@ -60,3 +103,7 @@ def overwrite_snapshots(
         .partitionBy(*by)
         .parquet(path)
     )
+    if before:
+        after = _partitions(spark, path, by, replaced)
+        # A partition that was written has other files now.
+        _remove(spark, [f for f, names in before.items() if after.get(f) == names])

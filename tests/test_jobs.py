@@ -270,3 +270,24 @@ def test_raw_files_are_read_by_name(spark, tmp_path):
         out.write("loan_id\n1\n")
     with pytest.raises(ValueError):
         read_raw(spark, path, LOAN_RAW_SCHEMA)
+
+
+def test_a_month_that_becomes_empty_keeps_no_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(1, dt.date(2023, m, 1), "a b/c") for m in (1, 2, 3)] + [(1, dt.date(2023, 2, 1), "other")]
+    df = spark.createDataFrame(rows, "x int, snapshot_date date, model_name string")
+    by = ["model_name", "snapshot_date"]
+    tables.overwrite_snapshots(df, path, by, replaced={})
+    again = df.where("snapshot_date = date'2023-03-01'").withColumn("x", F.lit(2))
+    tables.overwrite_snapshots(
+        again, path, by, replaced={"model_name": ("a b/c",) * 2, "snapshot_date": (dt.date(2023, 2, 1), dt.date(2023, 3, 1))}
+    )
+    got = {(r.x, str(r.snapshot_date), r.model_name) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "2023-01-01", "a b/c"), (2, "2023-03-01", "a b/c"), (1, "2023-02-01", "other")}
+
+
+def test_only_firsts_of_a_month_are_snapshots(spark):
+    days = [dt.date(2023, 1, 1), dt.date(2023, 1, 15), None, dt.date(2023, 2, 1), dt.date(2023, 3, 1)]
+    df = spark.createDataFrame([(d,) for d in days], "snapshot_date date")
+    got = jobs.in_months(df, dt.date(2023, 1, 20), dt.date(2023, 2, 28))
+    assert [r[0] for r in got.orderBy("snapshot_date").collect()] == [days[0], days[3]]

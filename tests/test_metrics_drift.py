@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import math
 
@@ -164,12 +165,26 @@ def test_quantiles_of_gaps_and_of_nothing(spark):
 # --- drift -------------------------------------------------------------------
 
 
-def numpy_psi(expected, actual, buckets=10):
-    edges = np.quantile(expected, np.linspace(0, 1, buckets + 1))
-    edges[0], edges[-1] = -np.inf, np.inf
-    e = np.histogram(expected, edges)[0] / len(expected)
-    a = np.histogram(actual, edges)[0] / len(actual)
-    return float(np.sum((a - e) * np.log((a + 1e-6) / (e + 1e-6))))
+def psi_by_definition(baseline, snapshot, buckets=10):
+    """Deciles of the sorted baseline by hand, values placed by bisection, one summand per bin."""
+    ordered = sorted(baseline)
+
+    def decile(number):
+        place = number * (1 / buckets) * (len(ordered) - 1)
+        below = int(place)
+        low, high = ordered[below], ordered[min(below + 1, len(ordered) - 1)]
+        part = place - below
+        return low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
+
+    inner = [decile(number) for number in range(1, buckets)]
+    held = {name: [0] * buckets for name in ("then", "now")}
+    for name, rows in (("then", baseline), ("now", snapshot)):
+        for value in rows:
+            held[name][bisect.bisect_right(inner, value)] += 1 / len(rows)
+    total = 0.0
+    for then, now in zip(held["then"], held["now"]):
+        total += (now - then) * math.log((now + 1e-6) / (then + 1e-6))
+    return total
 
 
 def psi_of(spark, base, current):
@@ -189,7 +204,7 @@ def test_psi_equals_numpy(spark, base, current):
     current = [(float(a), float(b)) for a, b in current]
     got = psi_of(spark, base, current)
     for i, name in enumerate("xy"):
-        expected = numpy_psi([r[i] for r in base], [r[i] for r in current])
+        expected = psi_by_definition([r[i] for r in base], [r[i] for r in current])
         assert got[name] == pytest.approx(expected, abs=1e-9)
         assert got[name] >= -1e-12
 
@@ -234,3 +249,37 @@ def test_scaler_is_fitted_once_and_keeps_constants(spark):
     assert scaler.deviation == {"x": pytest.approx(math.sqrt(2 / 3)), "c": 1.0}
     other = spark.createDataFrame([(2.0, 9), (None, 7)], "x double, c int")
     assert values(scaling.apply_scaler(other, scaler), "x", "c") == [(0.0, 2.0), (None, 0.0)]
+
+
+@pytest.mark.parametrize("small", [4, 65536])
+def test_quantiles_end_on_infinite_and_huge_values(spark, monkeypatch, small):
+    from riskmart.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    inf = float("inf")
+    rows = [(float(i), (-1e308, 1e308, 5.0)[i % 3], (inf, -inf, 1.0, 2.0)[i % 4], inf) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = quantiles.exact_quantiles(df, ["a", "b", "c", "d"], [0.0, 0.5, 1.0])
+    assert got["a"] == [0.0, 99.5, 199.0] and got["b"] == [-1e308, 5.0, 1e308]
+    assert got["c"] == [-inf, 1.5, inf] and got["d"] == [inf] * 3
+
+
+def test_what_cannot_be_compared_is_unknown(spark):
+    from riskmart.plans import monitoring
+
+    day = dt.date(2024, 7, 1)
+    psi = spark.createDataFrame(
+        [(day, "a", None), (day, "b", None), (dt.date(2024, 8, 1), "a", 0.01), (dt.date(2024, 8, 1), "b", None)],
+        "snapshot_date date, feature string, psi double",
+    )
+    got = {r.snapshot_date: r.severity for r in monitoring.feature_flags(drift.drift_rollup(psi)).collect()}
+    assert got == {day: "unknown", dt.date(2024, 8, 1): "healthy"}
+
+
+def test_a_lost_column_is_not_compared(spark):
+    rows = [(float(i), float(i % 7), dt.date(2024, 7, 1)) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, snapshot_date date")
+    bins = drift.fit_drift_bins(df, ["a", "b"])
+    lost = df.drop("b")
+    got = drift.psi_by_feature(lost, drift.common_bins(bins, lost)).collect()
+    assert [r.feature for r in got] == ["a"]
