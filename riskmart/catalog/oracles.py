@@ -171,20 +171,22 @@ def finances(raw: str, max_rate: int | None = None) -> tuple[tuple[str, str], ..
         + stripped("Annual_Income")
         + " END AS FLOAT) AS Annual_Income",
         real("Monthly_Inhand_Salary") + " AS Monthly_Inhand_Salary",
-        f"(CASE WHEN {integer('Num_Bank_Accounts')} >= 0 THEN {integer('Num_Bank_Accounts')} END) "
+        f"(CASE WHEN {double('Num_Bank_Accounts')} >= 0 AND {double('Num_Bank_Accounts')} <= 10 "
+        f"THEN {integer('Num_Bank_Accounts')} END) "
         "AS Num_Bank_Accounts",
         f"COALESCE({integer(digits('Num_Credit_Card'))}, 0) AS Num_Credit_Card",
         rate + " AS Interest_Rate",
         between(integer(digits(stripped("Num_of_Loan"))), 0, 50) + " AS Num_of_Loan",
         "CASE WHEN Type_of_Loan IS NULL OR Type_of_Loan = '' THEN 'Unknown' ELSE Type_of_Loan END "
         "AS Type_of_Loan",
-        f"(CASE WHEN {integer('Delay_from_due_date')} >= 0 THEN {integer('Delay_from_due_date')} "
+        f"(CASE WHEN {double('Delay_from_due_date')} >= 0 THEN {integer('Delay_from_due_date')} "
         "END) AS Delay_from_due_date",
         between(integer(digits(stripped("Num_of_Delayed_Payment"))), 0, 100)
         + " AS Num_of_Delayed_Payment",
         "CASE WHEN regexp_full_match(Changed_Credit_Limit, '-?[0-9]+([.][0-9]+)?') "
         "THEN CAST(Changed_Credit_Limit AS FLOAT) END AS Changed_Credit_Limit",
-        "CASE WHEN asked > 50 THEN NULL ELSE asked END AS Num_Credit_Inquiries",
+        f"CASE WHEN asked > 0 AND {double('Num_Credit_Inquiries')} > 50 THEN NULL ELSE asked END "
+        "AS Num_Credit_Inquiries",
         "CASE WHEN Credit_Mix = '_' THEN 'Unknown' ELSE Credit_Mix END AS Credit_Mix",
         real(stripped("Outstanding_Debt")) + " AS Outstanding_Debt",
         double("Credit_Utilization_Ratio") + " AS Credit_Utilization_Ratio",
@@ -216,7 +218,8 @@ def finances(raw: str, max_rate: int | None = None) -> tuple[tuple[str, str], ..
         ("finance_raw", raw),
         (
             "finance_asked",
-            f"SELECT *, CASE WHEN {asked} >= 0 THEN {asked} ELSE 0 END AS asked FROM finance_raw",
+            f"SELECT *, CASE WHEN {double('Num_Credit_Inquiries')} >= 0 THEN COALESCE({asked}, 0) ELSE 0 END "
+            "AS asked FROM finance_raw",
         ),
         ("finance_clean", f"SELECT {', '.join(cleaned)} FROM finance_asked"),
         (

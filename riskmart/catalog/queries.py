@@ -21,12 +21,14 @@ from riskmart.sources import (
     overwrite_snapshots,
     overwrite_table,
     read_merged,
+    read_range,
     read_table,
     working_folder,
 )
 from riskmart.sources.schemas import (
     ATTRIBUTE_CATEGORIES,
     CLICK_FEATURES,
+    CLICKSTREAM_RAW_SCHEMA,
     FINANCIAL_CATEGORIES,
     LOAN_TYPES,
 )
@@ -140,7 +142,7 @@ def bad_rate_by_mob(spark, sf_dir):
     + f"SELECT {o.LOAN_OUT} FROM loans WHERE snapshot_date = DATE '1998-06-01'",
 )
 def snapshot_filter(spark, sf_dir):
-    return shown(silver.at_snapshot(loans(spark, sf_dir), dt.date(1998, 6, 1)))
+    return shown_loans(silver.at_snapshot(loans(spark, sf_dir), dt.date(1998, 6, 1)))
 
 
 @query(
@@ -821,13 +823,17 @@ def _write_raw(spark, sf_dir, root):
     return paths
 
 
-FIRST_MONTH, LAST_MONTH = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
+def _months(*raw: DataFrame) -> tuple[dt.date, dt.date]:
+    """First and last snapshot of some raw sources."""
+    ends = [df.agg(F.min("snapshot_date"), F.max("snapshot_date")).first() for df in raw]
+    return min(e[0] for e in ends), max(e[1] for e in ends)
 
 
 def _backfilled(spark, sf_dir):
     mart = Mart(working_folder(spark, "mart"))
     paths = _write_raw(spark, sf_dir, mart.root)
-    mart_jobs.backfill(spark, mart, paths, FIRST_MONTH, LAST_MONTH)
+    first, last = _months(s.loans_raw(spark, sf_dir), s.clicks_raw(spark, sf_dir))
+    mart_jobs.backfill(spark, mart, paths, first, last)
     return mart
 
 
@@ -848,7 +854,84 @@ def stream_ingest(spark, sf_dir):
             spark, f"{root}/raw", f"{root}/bronze", f"{root}/silver", f"{root}/checkpoint"
         )
     names = [*LOAN_TYPES, "mob", "installments_missed", "first_missed_date", "dpd"]
-    return shown(read_table(spark, f"{root}/silver").select(*names))
+    return shown_loans(read_table(spark, f"{root}/silver").select(*names))
+
+
+@query(
+    "stream_ingest_clicks",
+    o.with_(*o.CLICKS) + f"SELECT Customer_ID, {o.day()}, {', '.join(CLICK_FEATURES)} FROM clicks",
+)
+def stream_ingest_clicks(spark, sf_dir):
+    """Click files that arrive in two batches, both with rows for the same months."""
+    root = working_folder(spark, "stream")
+    raw = s.clicks_raw(spark, sf_dir).select(*CLICKSTREAM_RAW_SCHEMA.names)
+    early = F.crc32(F.col("Customer_ID").cast("binary")) % 2 == 0
+    for rows in (raw.where(early), raw.where(~early)):
+        rows.write.mode("append").option("header", True).csv(f"{root}/raw")
+        ingest.ingest_available(
+            spark,
+            f"{root}/raw",
+            f"{root}/bronze",
+            f"{root}/silver",
+            f"{root}/checkpoint",
+            CLICKSTREAM_RAW_SCHEMA,
+            silver.silver_clickstream,
+        )
+    got = read_table(spark, f"{root}/silver")
+    return shown(got.select("Customer_ID", "snapshot_date", *CLICK_FEATURES))
+
+
+def _written_loans(spark, sf_dir):
+    """Silver loans as a table of snapshots."""
+    path = working_folder(spark, "loans")
+    overwrite_snapshots(loans(spark, sf_dir), path)
+    return path
+
+
+@query(
+    "snapshot_read",
+    o.with_(*o.LOANS)
+    + f"SELECT {o.LOAN_OUT} FROM loans WHERE snapshot_date BETWEEN DATE '1997-03-01' AND DATE '1997-04-01'",
+)
+def snapshot_read(spark, sf_dir):
+    """Two snapshots opened by their folders."""
+    names = [*LOAN_TYPES, "mob", "installments_missed", "first_missed_date", "dpd"]
+    got = read_range(spark, _written_loans(spark, sf_dir), dt.date(1997, 3, 1), dt.date(1997, 4, 1))
+    return shown_loans(got.select(*names))
+
+
+@query(
+    "rerun_emptied_month",
+    o.with_(*o.LOANS)
+    + f"SELECT {o.day()}, count(*) AS n FROM loans WHERE snapshot_date <> DATE '1997-06-01' GROUP BY snapshot_date",
+)
+def rerun_emptied_month(spark, sf_dir):
+    """A run over a year again, in which June has no rows any more: no row of June is left."""
+    path = _written_loans(spark, sf_dir)
+    year = (dt.date(1997, 1, 1), dt.date(1997, 12, 1))
+    again = loans(spark, sf_dir).where(
+        F.col("snapshot_date").between(*[F.lit(d) for d in year])
+        & (F.col("snapshot_date") != F.lit(dt.date(1997, 6, 1)))
+    )
+    overwrite_snapshots(again, path, replaced={"snapshot_date": year})
+    got = read_table(spark, path).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
+    return shown(got)
+
+
+@query(
+    "relabel_other_mob",
+    o.with_(*o.LOANS)
+    + f"SELECT {o.day()}, '30dpd_3mob' AS label_def, count(*) AS n FROM loans WHERE mob = 3 GROUP BY snapshot_date",
+)
+def relabel_other_mob(spark, sf_dir):
+    """Labels at month three after labels at month six: nothing of the old definition stays."""
+    mart = Mart(working_folder(spark, "labels"))
+    overwrite_snapshots(loans(spark, sf_dir), mart.silver("lms_loan_daily"))
+    first, last = _months(s.loans_raw(spark, sf_dir))
+    for mob in (6, 3):
+        mart_jobs.build_labels(spark, mart, first, last, mob=mob)
+    got = read_table(spark, mart.label_store).groupBy("snapshot_date", "label_def")
+    return shown(got.agg(F.count(F.lit(1)).alias("n")))
 
 
 def _gold_tables(spark, sf_dir, root):

@@ -55,7 +55,8 @@ FINANCIAL_COLUMNS = [
     "AS Annual_Income",
     f"CASE WHEN k % 31 = 0 THEN NULL WHEN k % 29 = 0 THEN '0' ELSE {money('c % 1200000')} END "
     "AS Monthly_Inhand_Salary",
-    "CASE WHEN k % 53 = 0 THEN '-1' WHEN k % 59 = 0 THEN NULL ELSE CAST(k % 12 AS STRING) END "
+    "CASE WHEN k % 53 = 0 THEN '-1' WHEN k % 59 = 0 THEN NULL WHEN k % 151 = 0 THEN '10.5' "
+    "WHEN k % 149 = 0 THEN '9.5' ELSE CAST(k % 12 AS STRING) END "
     "AS Num_Bank_Accounts",
     "CASE WHEN k % 61 = 0 THEN 'abc' WHEN k % 67 = 0 THEN NULL WHEN k % 71 = 0 THEN '1499' "
     "ELSE CAST(k % 22 AS STRING) END AS Num_Credit_Card",
@@ -66,13 +67,13 @@ FINANCIAL_COLUMNS = [
     "AS Num_of_Loan",
     "CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '' WHEN k % 2 = 0 THEN 'Auto Loan' "
     "ELSE 'Student Loan, and Payday Loan' END AS Type_of_Loan",
-    "CASE WHEN k % 83 = 0 THEN NULL ELSE CAST(k % 65 - 3 AS STRING) END AS Delay_from_due_date",
+    "CASE WHEN k % 83 = 0 THEN NULL WHEN k % 157 = 0 THEN '-0.5' ELSE CAST(k % 65 - 3 AS STRING) END AS Delay_from_due_date",
     "CASE WHEN k % 89 = 0 THEN '4344' WHEN k % 97 = 0 THEN NULL "
     "WHEN k % 7 = 0 THEN CAST(k % 28 AS STRING) || '_' ELSE CAST(k % 28 - 1 AS STRING) END "
     "AS Num_of_Delayed_Payment",
     f"CASE WHEN k % 101 = 0 THEN '_' WHEN k % 6 = 0 THEN '-' || {money('c % 3000')} "
     f"ELSE {money('c % 3000')} END AS Changed_Credit_Limit",
-    "CASE WHEN k % 103 = 0 THEN NULL WHEN k % 107 = 0 THEN '2589' "
+    "CASE WHEN k % 103 = 0 THEN NULL WHEN k % 107 = 0 THEN '2589' WHEN k % 139 = 0 THEN '50.5' "
     "ELSE CAST(k % 20 - 2 AS STRING) END AS Num_Credit_Inquiries",
     "CASE k % 5 WHEN 0 THEN '_' WHEN 1 THEN 'Good' WHEN 2 THEN 'Bad' ELSE 'Standard' END "
     "AS Credit_Mix",

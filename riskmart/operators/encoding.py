@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 VOCABULARY_SCHEMA = "feature string, idx int, category string"
 
@@ -22,27 +23,51 @@ def category_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def vocabulary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, idx, category): categories by frequency, ties by name, however many there are."""
+    order = Window.partitionBy("feature").orderBy(F.col("n").desc(), "category")
+    ranked = category_ranks(df, columns).withColumn("idx", F.row_number().over(order) - 1)
+    return ranked.select("feature", "idx", "category")
+
+
 def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Categories by frequency, ties by name: one job for all columns.
+    """The vocabulary of features that become one column per category, one job for all.
 
-    Each category becomes a column, so the result is as small as a table is
-    narrow; more than Spark's own pivot limit is refused instead of collected.
+    A table has few columns, so few categories reach the driver. A feature of very many
+    goes by vocabulary_table and one_hot_sparse instead and stays in Spark.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = (
-        category_ranks(df, columns)
-        .orderBy("feature", F.col("n").desc(), "category")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories in {list(columns)}; not one-hot material")
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
+    for row in vocabulary_table(df, columns).orderBy("feature", "idx").collect():
         found[row["feature"]].append(row["category"])
     return found
 
 
+def index_categories(df: DataFrame, column: str, vocabulary: DataFrame, name: str) -> DataFrame:
+    """Adds the category's place in the vocabulary table; NULL for NULL and unseen ones."""
+    places = vocabulary.where(F.col("feature") == column).select(
+        F.col("category").alias("_category"), F.col("idx").alias(name)
+    )
+    same = F.col(f"`{column}`").cast("string") == F.col("_category")
+    return df.join(places, same, "left").drop("_category")
+
+
+def one_hot_sparse(
+    df: DataFrame, column: str, vocabulary: DataFrame, name: str | None = None
+) -> DataFrame:
+    """One-hot encoding as a sparse ML vector of the vocabulary's width; NULL and unseen are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    of_column = vocabulary.where(F.col("feature") == column).select(F.col("idx").cast("double").alias("_idx"))
+    width = of_column.count()
+    # A last place more for what is unseen, which the encoder leaves out again.
+    fitted = OneHotEncoder(
+        inputCols=["_idx"], outputCols=[name or f"{column}_ohe"], handleInvalid="keep", dropLast=True
+    ).fit(of_column)
+    indexed = index_categories(df, column, vocabulary, "_idx")
+    known = F.coalesce(F.col("_idx").cast("double"), F.lit(float(width)))
+    return fitted.transform(indexed.withColumn("_idx", known)).drop("_idx")
+
+
 def vocabulary_frame(spark: SparkSession, vocabulary: Mapping[str, Sequence[str]]) -> DataFrame:
     """The vocabulary as a table, so that later runs use the same columns."""
     rows = [(f, i, c) for f, names in vocabulary.items() for i, c in enumerate(names)]

@@ -157,12 +157,20 @@ def silver_financials(
         SNAPSHOT: cast_column(F.col(SNAPSHOT), df.schema[SNAPSHOT].dataType, "date"),
         "Credit_History_Age_In_Months": history_months(raw["Credit_History_Age"]),
     }
+    # Bounds hold for the number as read; only then is it cut to a whole one.
+    read = {
+        "_banks": text_to_double(raw["Num_Bank_Accounts"]),
+        "_delay": text_to_double(raw["Delay_from_due_date"]),
+        "_asked": text_to_double(raw["Num_Credit_Inquiries"]),
+    }
     # A comparison with NULL is no match, so these also drop what could not be typed.
     row_rules = [
-        F.col("Num_Bank_Accounts").between(0, MAX_BANK_ACCOUNTS),
+        F.col("Num_Bank_Accounts").isNotNull(),
+        F.col("_banks").between(0, MAX_BANK_ACCOUNTS),
         F.col("Num_Credit_Card") <= MAX_CREDIT_CARDS,
         F.col("Num_of_Loan").between(*LOANS_RANGE),
-        F.col("Delay_from_due_date") >= 0,
+        F.col("Delay_from_due_date").isNotNull(),
+        F.col("_delay") >= 0,
         F.col("Num_of_Delayed_Payment").between(*DELAYED_PAYMENTS_RANGE),
         F.col("Changed_Credit_Limit").isNotNull(),
     ]
@@ -174,8 +182,8 @@ def silver_financials(
     ratio = F.try_divide(F.col("Amount_invested_monthly"), salary).cast("float").cast("double")
     ranged = {
         # No number or a negative one means no activity; an implausible one is unknown.
-        "Num_Credit_Inquiries": F.when(asked.isNull() | (asked < 0), F.lit(0)).when(
-            asked <= MAX_INQUIRIES, asked
+        "Num_Credit_Inquiries": F.when(asked.isNull() | (F.col("_asked") < 0), F.lit(0)).when(
+            F.col("_asked") <= MAX_INQUIRIES, asked
         ),
         "Total_EMI_per_month": null_outside(F.col("Total_EMI_per_month"), 0),
         "Monthly_Balance": F.when(F.col("Monthly_Balance") < 0, F.lit(0.0)).otherwise(
@@ -184,7 +192,8 @@ def silver_financials(
         ratio_name: F.when(salary.isNull() | (salary == 0), F.lit(0.0)).otherwise(ratio),
     }
     return (
-        df.select(*[c.alias(name) for name, c in typed.items()])
+        df.select(*[c.alias(name) for name, c in {**typed, **read}.items()])
         .where(reduce(and_, row_rules))
         .withColumns(ranged)
+        .drop(*read)
     )

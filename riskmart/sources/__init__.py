@@ -2,6 +2,7 @@
 
 from riskmart.sources.raw import read_raw
 from riskmart.sources.tables import (
+    existing_days,
     overwrite_snapshots,
     overwrite_table,
     read_merged,
@@ -14,6 +15,7 @@ from riskmart.sources.workspace import ensure_checkpoint_dir, working_folder
 
 __all__ = [
     "ensure_checkpoint_dir",
+    "existing_days",
     "overwrite_snapshots",
     "overwrite_table",
     "read_merged",

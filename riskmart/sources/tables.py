@@ -23,16 +23,41 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str, day: dt.date) -> DataFrame:
-    """One snapshot; the filter prunes partitions, no other month is listed or read."""
-    return read_table(spark, path).where(F.col(SNAPSHOT) == F.lit(day))
+    """One snapshot; only its own folder is opened."""
+    return read_range(spark, path, day, day)
 
 
 def read_range(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
-    """All snapshots of a closed date range."""
-    return read_table(spark, path).where(F.col(SNAPSHOT).between(F.lit(start), F.lit(end)))
+    """All snapshots of a closed date range.
+
+    For a table whose first partition column is the snapshot the range's folders are opened by
+    name, so that the files of no other snapshot are listed. A range without a folder
+    gives no rows, with the table's columns.
+    """
+    inside = F.col(SNAPSHOT).between(F.lit(start), F.lit(end))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = f"{SNAPSHOT}="
+    names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
+    days = [n for n in names if n.startswith(mark)]
+    wanted = [n for n in days if f"{start:%Y-%m-%d}" <= n.removeprefix(mark) <= f"{end:%Y-%m-%d}"]
+    if not days or len(wanted) == len(days):
+        return read_table(spark, path).where(inside)
+    opened = wanted or days[:1]
+    found = spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in sorted(opened)])
+    return found.where(inside)
+
+
+def existing_days(spark: SparkSession, path: str, days: Sequence[dt.date]) -> list[str]:
+    """The folders of those snapshots that a table has."""
+    named = [f"{path}/{SNAPSHOT}={day:%Y-%m-%d}" for day in days]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [n for n in named if store.exists(spark._jvm.org.apache.hadoop.fs.Path(n))]
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table can be read there."""
     try:
         return bool(spark.read.parquet(path).columns)
     except AnalysisException as error:

@@ -1,9 +1,10 @@
-"""New loan files -> bronze and silver, each file taken once.
+"""New files of a source -> bronze and silver, each file taken once.
 
 The stream's checkpoint remembers which files were taken. A batch may run
-again after a failure, so both writes replace instead of append: bronze holds
-one partition per snapshot and source file, and silver is derived again from
-all bronze files of every snapshot the batch touched. A file that brings late
+again after a failure, so its writes replace instead of append: bronze keeps
+the layout of the batch jobs (one partition per snapshot) with the source file's name as a
+column, and a batch replaces the rows of its own files in the snapshots it touches. Silver is derived again from
+all bronze rows of these snapshots. A file that brings late
 rows for an old month therefore adds to that month and never erases it.
 """
 
@@ -16,11 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.operators.silver import parse_snapshot, silver_loan
-from riskmart.sources import overwrite_snapshots
+from riskmart.sources import existing_days, overwrite_snapshots, working_folder
 from riskmart.sources.schemas import LOAN_RAW_SCHEMA, SNAPSHOT
 
 FILE = "source_file"
-NAMED_DAYS = 1000
 
 
 def ingest_available(
@@ -33,7 +33,12 @@ def ingest_available(
     clean: Callable[[DataFrame], DataFrame] = silver_loan,
     max_files: int | None = None,
 ) -> None:
-    """Take all files not taken before, then stop; call again when new files may be there."""
+    """Take all files not taken before, then stop; call again when new files may be there.
+
+    `schema` and `clean` choose the source: loans by default, clicks with theirs. A file
+    whose header does not name the schema's columns in order stops the stream. A batch
+    names few days and files; both are metadata, as small as the listing that found the files.
+    """
     reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -56,17 +61,27 @@ def ingest_available(
 def _take_batch(
     batch: DataFrame, bronze: str, silver: str, clean: Callable[[DataFrame], DataFrame]
 ) -> None:
+    """One batch; rows without a readable date belong to no snapshot and are left out."""
     spark = batch.sparkSession
+    columns = batch.columns
+    # Read once: a batch's files are parsed for days and rows alike.
     dated = parse_snapshot(batch).where(F.col(SNAPSHOT).isNotNull())
-    overwrite_snapshots(dated, bronze, [SNAPSHOT, FILE], compact=False)
+    held = working_folder(spark, "batch")
+    dated.write.parquet(held)
+    dated = spark.read.schema(dated.schema).parquet(held)
+    days = [r[SNAPSHOT] for r in dated.select(SNAPSHOT).distinct().orderBy(SNAPSHOT).collect()]
+    if not days:
+        return
 
-    # Named days prune the bronze partitions before anything is listed or read.
-    # Each day is a partition, so there are few; a file of stray dates is joined instead.
-    stored = spark.read.parquet(bronze)
-    touched = dated.select(SNAPSHOT).distinct()
-    days = [row[SNAPSHOT] for row in touched.limit(NAMED_DAYS + 1).collect()]
-    if len(days) <= NAMED_DAYS:
-        months = stored.where(F.col(SNAPSHOT).isin(days))
-    else:
-        months = stored.join(touched, SNAPSHOT, "left_semi")
-    overwrite_snapshots(clean(months.drop(FILE)), silver)
+    folders = existing_days(spark, bronze, days)
+    rows = dated
+    if folders:
+        before = spark.read.schema(dated.schema).option("basePath", bronze).parquet(*folders)
+        others = before.join(F.broadcast(dated.select(FILE).distinct()), FILE, "left_anti")
+        rows = others.select(*columns).unionByName(dated.select(*columns))
+    # Partitions are read and replaced in one job, so the new rows stand in a folder of their own first.
+    merged = working_folder(spark, "batch-merged")
+    rows.write.partitionBy(SNAPSHOT).parquet(merged)
+    ready = spark.read.schema(dated.schema).parquet(merged)
+    overwrite_snapshots(ready.select(*columns), bronze)
+    overwrite_snapshots(clean(ready.drop(FILE)), silver)

@@ -291,3 +291,25 @@ def test_only_firsts_of_a_month_are_snapshots(spark):
     df = spark.createDataFrame([(d,) for d in days], "snapshot_date date")
     got = jobs.in_months(df, dt.date(2023, 1, 20), dt.date(2023, 2, 28))
     assert [r[0] for r in got.orderBy("snapshot_date").collect()] == [days[0], days[3]]
+
+
+def test_stream_survives_a_batch_without_a_date(spark, tmp_path):
+    source, bronze, silver, checkpoint = (str(tmp_path / n) for n in ("in", "bronze", "silver", "checkpoint"))
+    write_month(spark, source, "bad", [dict(loan_id="x", snapshot_date="someday")])
+    ingest_available(spark, source, bronze, silver, checkpoint)
+    assert not table_exists(spark, silver)
+    write_month(spark, source, "good", [dict(loan_id="y", snapshot_date="1/1/2023")])
+    ingest_available(spark, source, bronze, silver, checkpoint)
+    assert [r.loan_id for r in read_table(spark, silver).collect()] == ["y"]
+    assert not [n for n in os.listdir(bronze) if n.startswith("source_file")]
+
+
+def test_a_range_opens_its_own_folders(spark, tmp_path):
+    path = str(tmp_path / "table")
+    days = [dt.date(2023, m, 1) for m in (1, 2, 3)]
+    tables.overwrite_snapshots(spark.createDataFrame([(d, i) for i, d in enumerate(days)], "snapshot_date date, x int"), path)
+    one = tables.read_snapshot(spark, path, days[1])
+    assert [r.x for r in one.collect()] == [1] and len(one.inputFiles()) == 1
+    none = tables.read_range(spark, path, dt.date(2024, 1, 1), dt.date(2024, 2, 1))
+    assert none.count() == 0 and sorted(none.columns) == ["snapshot_date", "x"]
+    assert tables.read_range(spark, path, days[0], days[2]).count() == 3

@@ -211,14 +211,30 @@ def test_vocabulary_matches_the_ml_encoder(spark):
     assert encoding.fit_vocabulary(df, ["kind"])["kind"] == list(fitted.labels)
 
 
-def test_vocabulary_refuses_what_is_no_category(spark):
-    df = spark.range(200).selectExpr("cast(id as string) as kind")
-    spark.conf.set("spark.sql.pivotMaxValues", "100")
-    try:
-        with pytest.raises(ValueError):
-            encoding.fit_vocabulary(df, ["kind"])
-    finally:
-        spark.conf.unset("spark.sql.pivotMaxValues")
+def test_vocabulary_of_very_many_categories(spark):
+    df = spark.range(30_000).selectExpr("cast(id % 20000 as string) as kind", "id")
+    table = encoding.vocabulary_table(df, ["kind"])
+    assert table.count() == 20_000
+    found = encoding.fit_vocabulary(df, ["kind"])["kind"]
+    assert len(found) == 20_000
+    rows = spark.createDataFrame([(found[0],), (found[19_999],), ("new",), (None,)], "kind string")
+    got = encoding.one_hot_sparse(rows, "kind", table).collect()
+    by = {r["kind"]: r["kind_ohe"] for r in got}
+    assert {len(v) for v in by.values()} == {20_000}
+    assert [by[k].indices.tolist() for k in (found[0], found[19_999], "new", None)] == [[0], [19_999], [], []]
+
+
+def test_bounds_hold_before_numbers_are_cut(spark):
+    rows = [
+        dict(Customer_ID="ok", Num_Bank_Accounts="9.5", Num_Credit_Inquiries="-0.5"),
+        dict(Customer_ID="banks", Num_Bank_Accounts="10.5"),
+        dict(Customer_ID="delay", Delay_from_due_date="-0.5"),
+        dict(Customer_ID="asked", Num_Credit_Inquiries="50.5"),
+    ]
+    got = {r["Customer_ID"]: r for r in silver.silver_financials(finance_rows(spark, rows)).collect()}
+    assert set(got) == {"ok", "asked"}
+    assert got["ok"]["Num_Bank_Accounts"] == 9 and got["ok"]["Num_Credit_Inquiries"] == 0
+    assert got["asked"]["Num_Credit_Inquiries"] is None
 
 
 def test_feature_store_equals_chained_joins_with_repeated_customers(spark):
