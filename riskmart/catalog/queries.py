@@ -39,8 +39,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# One point of the search space, small enough for a check.
-CHECK_GRID = {"n_estimators": [3], "max_depth": [2], "learning_rate": [0.1], "subsample": [0.8]}
+# A search space of small trees: several points are drawn, each is fitted on three folds.
+CHECK_GRID = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.3], "scale_pos_weight": [1, 3]}
+CHECK_DRAWS = 3
 
 TRAIN_DATE = dt.date(1999, 1, 1)
 BASELINE = dt.date.fromisoformat(o.BASELINE)
@@ -941,9 +942,14 @@ def _gold_tables(spark, sf_dir, root):
     return read_table(spark, f"{root}/labels"), read_table(spark, f"{root}/features")
 
 
-@query("train_score_gbt")
+@query(
+    "train_score_gbt",
+    o.with_(*o.STORE)
+    + f"SELECT {o.day()}, count(*) AS n, TRUE AS same_when_reloaded, TRUE AS probabilities "
+    "FROM store GROUP BY snapshot_date",
+)
 def train_score_gbt(spark, sf_dir):
-    """Fit on scaled click features of twelve months, then score every month."""
+    """Search on scaled click features of twelve months; every month scored, and again after a reload."""
     root = working_folder(spark, "model")
     labels, features = _gold_tables(spark, sf_dir, root)
     trained = training.train_model(
@@ -954,25 +960,35 @@ def train_score_gbt(spark, sf_dir):
         f"{root}/bank",
         oot_months=2,
         grid=CHECK_GRID,
-        draws=1,
+        draws=CHECK_DRAWS,
         feature_columns=CLICK_FEATURES,
         scale=True,
         keep_missing=True,
     )
-    overwrite_table(scoring.score(features, trained), f"{root}/predictions")
-    return shown(
-        read_table(spark, f"{root}/predictions")
-        .groupBy("model_name", "snapshot_date")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("model_predictions").alias("mean_score"))
-    )
+    again = training.load_model(spark, f"{root}/bank", trained.version)
+    for name, model in (("fresh", trained), ("reloaded", again)):
+        overwrite_table(scoring.score(features, model), f"{root}/{name}")
+    sums = [
+        read_table(spark, f"{root}/{name}")
+        .groupBy("snapshot_date")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("model_predictions").alias(name),
+            F.bool_and(F.col("model_predictions").between(0, 1)).alias("probabilities"),
+        )
+        for name in ("fresh", "reloaded")
+    ]
+    both = sums[0].join(sums[1].select("snapshot_date", "reloaded"), "snapshot_date")
+    same = F.abs(F.col("fresh") - F.col("reloaded")) < 1e-6
+    return shown(both.select("snapshot_date", "n", same.alias("same_when_reloaded"), "probabilities"))
 
 
-@query("model_bank_entry")
+@query("model_bank_entry", "SELECT TRUE AS auc_is_that_of_the_scores, TRUE AS best_point_chosen, 3 AS points, TRUE AS no_leakage")
 def model_bank_entry(spark, sf_dir):
-    """The bank's entry of a model fitted on all features: rows, label rate, auc per split."""
+    """A model on all features: its stored figures recomputed, its choice, and what it looked at."""
     root = working_folder(spark, "model")
     labels, features = _gold_tables(spark, sf_dir, root)
-    training.train_model(
+    trained = training.train_model(
         spark,
         labels,
         features,
@@ -980,7 +996,26 @@ def model_bank_entry(spark, sf_dir):
         f"{root}/bank",
         oot_months=2,
         grid=CHECK_GRID,
-        draws=1,
+        draws=CHECK_DRAWS,
         keep_missing=True,
     )
-    return shown(training.bank_entries(spark, f"{root}/bank"))
+    windows = splitting.training_windows(TRAIN_DATE, 2)
+    late = F.col("snapshot_date").between(F.lit(windows.oot_start), F.lit(windows.oot_end))
+    rows = splitting.training_set(labels.where(late), features.where(late), False)
+    scored = training.model_inputs(rows, trained.features, trained.scaler, True)
+    scored = trained.model.transform(scored).select("label", training.positive_probability().alias("model_predictions"))
+    auc = metrics.auc_by_group(scored, []).select(F.col("auc").alias("again"))
+    stored = training.bank_entries(spark, f"{root}/bank").where("split = 'oot'").select(F.col("auc").alias("stored"))
+    searched = read_table(spark, f"{root}/bank/searches").agg(
+        (F.max("mean_auc") == F.max(F.when(F.col("chosen"), F.col("mean_auc")))).alias("best_point_chosen"),
+        F.count(F.lit(1)).cast("int").alias("points"),
+    )
+    leaking = set(trained.features) & {"dpd", "installments_missed", "overdue_ratio", "payment_ratio", "balance", "label"}
+    one = F.lit(1).alias("one")
+    joined = auc.select("again", one).join(stored.select("stored", one), "one").join(searched.select("*", one), "one")
+    return joined.select(
+        (F.abs(F.col("again") - F.col("stored")) < 1e-6).alias("auc_is_that_of_the_scores"),
+        "best_point_chosen",
+        "points",
+        F.lit(not leaking).alias("no_leakage"),
+    )

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 import json
+import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -28,7 +28,13 @@ from riskmart.operators.splitting import (
     training_set,
     training_windows,
 )
-from riskmart.sources import ensure_checkpoint_dir, overwrite_snapshots, read_table, working_folder
+from riskmart.sources import (
+    ensure_checkpoint_dir,
+    overwrite_snapshots,
+    read_table,
+    remove_folder,
+    working_folder,
+)
 from riskmart.sources.schemas import LABEL, NOT_FEATURES, SNAPSHOT
 
 # Search spaces. The regularisation weights of other boosting
@@ -72,25 +78,16 @@ class TrainedModel:
 
 def draw_params(grid: Mapping[str, Sequence], draws: int, seed: int) -> list[dict]:
     """Different points of the grid, at most as many as it has."""
-    names = list(grid)
-    points = list(itertools.product(*grid.values())) if _size(grid) <= 200_000 else None
-    rng = random.Random(seed)
-    if points is not None:
-        chosen = rng.sample(points, min(draws, len(points)))
-    else:
-        chosen = []
-        while len(chosen) < draws:
-            point = tuple(rng.choice(v) for v in grid.values())
-            if point not in chosen:
-                chosen.append(point)
-    return [dict(zip(names, p)) for p in chosen]
-
-
-def _size(grid: Mapping[str, Sequence]) -> int:
-    size = 1
-    for values in grid.values():
-        size *= len(values)
-    return size
+    size = math.prod(len(values) for values in grid.values())
+    points = []
+    # Points are numbered, the last name changing fastest; the product itself is never built.
+    for number in random.Random(seed).sample(range(size), min(draws, size)):
+        point = {}
+        for name in reversed(list(grid)):
+            number, place = divmod(number, len(grid[name]))
+            point[name] = grid[name][place]
+        points.append({name: point[name] for name in grid})
+    return points
 
 
 def _weight_column(weight: float) -> str:
@@ -144,8 +141,13 @@ def fit_search(
     folds: int,
     seed: int,
     parallelism: int,
-) -> tuple[PipelineModel, dict]:
-    """Best of the drawn parameter points by mean cross-validated AUC on scores."""
+    folder: str,
+) -> tuple[PipelineModel, dict, DataFrame]:
+    """Best of the drawn parameter points by mean cross-validated AUC on scores.
+
+    Inputs are assembled and written with their folds once below `folder`; every fit only reads them. The
+    third result has one row per point: its parameters, mean and deviation of the AUC over the folds.
+    """
     weights = sorted(set(grid.get("scale_pos_weight", [1])))
     prepared = train.withColumns(
         {
@@ -158,9 +160,13 @@ def fit_search(
     )
     gbt = GBTClassifier(labelCol=LABEL, featuresCol="inputs", seed=seed)
     assembler = VectorAssembler(inputCols=list(features), outputCol="inputs")
+    weighted = [_weight_column(w) for w in weights]
+    ready = assembler.transform(prepared).select(LABEL, "fold", "inputs", *weighted)
+    ready.write.parquet(f"{folder}/inputs")
+    rows = read_table(train.sparkSession, f"{folder}/inputs")
     points = draw_params(grid, draws, seed)
     search = CrossValidator(
-        estimator=Pipeline(stages=[assembler, gbt]),
+        estimator=gbt,
         estimatorParamMaps=[_param_map(gbt, p) for p in points],
         evaluator=BinaryClassificationEvaluator(
             labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
@@ -168,9 +174,16 @@ def fit_search(
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
-    ).fit(prepared)
+    ).fit(rows)
     best = max(range(len(points)), key=lambda i: search.avgMetrics[i])
-    return search.bestModel, points[best]
+    results = train.sparkSession.createDataFrame(
+        [
+            (i, json.dumps(p, sort_keys=True), float(mean), float(spread), i == best)
+            for i, (p, mean, spread) in enumerate(zip(points, search.avgMetrics, search.stdMetrics))
+        ],
+        "point int, params string, mean_auc double, deviation double, chosen boolean",
+    )
+    return PipelineModel(stages=[assembler, search.bestModel]), points[best], results
 
 
 def train_model(
@@ -215,7 +228,7 @@ def train_model(
     train = rows.where(F.col("split") == "train")
     scaler = fit_scaler(train, names) if scale else None
     folded = stratified_folds(train, folds, seed=seed + 1)
-    model, params = fit_search(
+    model, params, searched = fit_search(
         model_inputs(folded, names, scaler, keep_missing),
         names,
         grid,
@@ -223,11 +236,19 @@ def train_model(
         folds,
         seed,
         parallelism,
+        folder,
     )
     trained = TrainedModel(
         model_version(train_date), model, names, scaler, params, keep_missing
     )
     save_model(spark, trained, evaluate(trained, rows), windows, bank)
+    overwrite_snapshots(
+        searched.withColumn("model_version", F.lit(trained.version)).coalesce(1),
+        f"{bank}/searches",
+        ["model_version"],
+        compact=False,
+    )
+    remove_folder(spark, folder)
     return trained
 
 

@@ -11,7 +11,7 @@ from riskmart.sources.tables import (
     read_table,
     table_exists,
 )
-from riskmart.sources.workspace import ensure_checkpoint_dir, working_folder
+from riskmart.sources.workspace import ensure_checkpoint_dir, remove_folder, working_folder
 
 __all__ = [
     "ensure_checkpoint_dir",
@@ -23,6 +23,7 @@ __all__ = [
     "read_raw",
     "read_snapshot",
     "read_table",
+    "remove_folder",
     "table_exists",
     "working_folder",
 ]

@@ -35,3 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run's tables."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a run's folder on its own file system, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
