@@ -507,8 +507,7 @@ def hot_key_left_join(spark, sf_dir):
     right = s.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("k"), "o_orderkey", "o_orderpriority"
     )
-    hot = joins.hot_keys(right, ["k"], min_rows=15)
-    return joins.spread_left_join(left, right, ["k"], hot, buckets=8)
+    return joins.spread_left_join(left, right, ["k"], rows=8)
 
 
 # --- labels, splits, scaling -----------------------------------------------

@@ -95,45 +95,31 @@ def gold_clickstream(clicks: DataFrame) -> DataFrame:
     return cast_columns(clicks, CLICKSTREAM_TYPES).select(*CLICK_FEATURES, CUSTOMER, SNAPSHOT)
 
 
-def customer_profile(financials: DataFrame, attributes: DataFrame) -> DataFrame:
-    """All per-customer features in one table; a customer may be in only one of the two.
-
-    Rows without a customer can never match a loan and are left out first.
-    """
-    known = F.col(CUSTOMER).isNotNull()
-    return financials.where(known).join(attributes.where(known), CUSTOMER, "full")
-
-
 def feature_store(
     loan_features: DataFrame,
     financial_features: DataFrame,
     attribute_features: DataFrame,
     click_features: DataFrame,
-    hot_customers: Mapping[str, DataFrame] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Loans at month on book with everything known about the customer.
 
-    The two per-customer tables are joined with each other first: the loans are
-    then shuffled once per join key instead of running two joins off one
-    shuffle, and each join stays splittable when one customer holds a large
-    share of the loans (a chain on one shuffle is not). Rows are the same as
-    joining the tables one after the other, repeated customers included.
-
-    Customers with very many rows in a per-customer or click table are named in
-    `hot_customers` (keys 'financials', 'attributes', 'clicks', see `hot_keys`);
-    those tables are joined one after the other with their hot keys dealt out.
+    Three left joins, repeated customers included. The per-customer tables are first
+    cut to the customers of these loans: a customer without a loan costs
+    nothing however many rows it has, and what is left is broadcast where it is measured
+    to be small. With `spread`, keys that hold very many rows of a right side are dealt out over
+    buckets by their counts (see spread_left_join); without it only hot keys of the loans
+    are split, by the runtime planner.
     """
-    hot = dict(hot_customers or {})
     keys = [CUSTOMER, SNAPSHOT]
-    if hot.get("financials") is None and hot.get("attributes") is None:
-        profile = customer_profile(financial_features, attribute_features)
-        joined = loan_features.join(profile, CUSTOMER, "left")
-    else:
-        joined = spread_left_join(
-            loan_features, financial_features, [CUSTOMER], hot.get("financials")
-        )
-        joined = spread_left_join(joined, attribute_features, [CUSTOMER], hot.get("attributes"))
-    joined = spread_left_join(joined, click_features, keys, hot.get("clicks"))
+    customers = loan_features.select(CUSTOMER).where(F.col(CUSTOMER).isNotNull()).distinct()
+    joined = loan_features
+    for right, on in (
+        (financial_features.join(customers, CUSTOMER, "left_semi"), [CUSTOMER]),
+        (attribute_features.join(customers, CUSTOMER, "left_semi"), [CUSTOMER]),
+        (click_features, keys),
+    ):
+        joined = spread_left_join(joined, right, on) if spread else joined.join(right, on, "left")
     return joined.select(*keys, *[f"`{c}`" for c in joined.columns if c not in keys])
 
 

@@ -1,10 +1,11 @@
-"""Left joins that stay spread out when one key holds much of the right side.
+"""Left joins that stay spread out when keys hold much of the right side.
 
 The runtime planner splits a hot key of the left side by itself, but never the
-right side of a left join. Keys that are hot on the right are therefore found
-first and joined apart: their right rows are dealt out over many buckets
-and the few left rows repeated once per bucket. A hot key always has a match,
-so that part is an inner join and the result is the plain left join's, row for row.
+right side of a left join. So the right side's rows are counted per key, each key gets as many
+buckets as its rows need, its right rows are dealt out over them and its left rows
+repeated once per bucket. A key of few rows has one bucket and joins as
+always; there is no other path for hot keys. Counted keys have a match, so theirs is an inner join, and the
+result is the plain left join's, row for row.
 """
 
 from __future__ import annotations
@@ -16,61 +17,41 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-HOT_SHARE = 0.001
-TRACKED = 10_000
-BUCKETS = 256
+#: Right rows of one key in one bucket.
+BUCKET_ROWS = 100_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, share: float = HOT_SHARE
-) -> DataFrame | None:
-    """Keys with about `share` of all rows and more than `min_rows`, or None.
-
-    A frequent-items sketch per task: one scan, only the sketches are moved, and
-    at most 1/share keys come back. Which keys are named only decides how the
-    join is spread; it never changes the join's result.
-    """
-    named = [F.col(f"`{k}`") for k in keys]
-    complete = reduce(and_, [c.isNotNull() for c in named])
-    item = F.when(complete, F.to_json(F.struct(*named)))
-    row = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.call_function(
-            "approx_top_k", item, F.lit(int(1 / share)), F.lit(TRACKED)
-        ).alias("top"),
-    ).first()
-    least = max(min_rows, row["total"] * share)
-    hot = [(t["item"],) for t in row["top"] if t["item"] is not None and t["count"] > least]
-    if not hot:
-        return None
-    found = df.sparkSession.createDataFrame(hot, "item string")
-    return found.select(F.inline(F.array(F.from_json("item", df.select(*named).schema))))
+def key_buckets(df: DataFrame, keys: Sequence[str], rows: int = BUCKET_ROWS) -> DataFrame:
+    """(keys..., __buckets): how many buckets the rows of each complete key need."""
+    complete = reduce(and_, [F.col(f"`{k}`").isNotNull() for k in keys])
+    counted = df.where(complete).groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("__buckets", F.ceil(F.col("n") / rows)).drop("n")
 
 
 def spread_left_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    hot: DataFrame | None,
-    buckets: int = BUCKETS,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """left ⟕ right on equal key columns; `hot` are the right side's hot keys.
+    """left ⟕ right on equal key columns, at most `rows` right rows of a key together.
 
-    The dealing follows the row's position in its input split, which a lost
-    task finds again, so `right` should be a scan with narrow steps only. Copies
-    of one row are dealt out like any others.
+    A left row is repeated once per `rows` matches, so the repeated rows are a small part of
+    the result whatever the left side holds. The dealing follows the row's position in its
+    input split, which a lost task finds again, so `right` should be a scan with narrow steps only.
+    Copies of one row are dealt out like any others.
     """
     keys = list(keys)
-    if hot is None:
-        return left.join(right, keys, "left")
-    small = F.broadcast(hot)
-    rest = left.join(small, keys, "left_anti").join(
-        right.join(small, keys, "left_anti"), keys, "left"
-    )
-    dealt = right.withColumn("__bucket", F.monotonically_increasing_id() % buckets).join(
-        small, keys, "left_semi"
+    buckets = key_buckets(right, keys, rows)
+    position = F.monotonically_increasing_id().alias("__at")
+    dealt = (
+        right.select("*", position)
+        .join(buckets, keys)
+        .withColumn("__bucket", F.col("__at") % F.col("__buckets"))
+        .drop("__at", "__buckets")
     )
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint")))
-    repeated = left.join(small, keys, "left_semi").withColumn("__bucket", every)
-    return rest.unionByName(repeated.join(dealt, [*keys, "__bucket"]).drop("__bucket"))
+    known = left.join(buckets, keys, "left")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__buckets") - 1))
+    repeated = known.where(F.col("__buckets").isNotNull()).withColumn("__bucket", every)
+    matched = repeated.join(dealt, [*keys, "__bucket"]).drop("__bucket", "__buckets")
+    own = set(left.columns)
+    gaps = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in own]
+    alone = known.where(F.col("__buckets").isNull()).drop("__buckets").select("*", *gaps)
+    return matched.unionByName(alone)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskmart.functions import add_months_py
+from riskmart.operators.joins import spread_left_join
 from riskmart.sources.schemas import CUSTOMER, LABEL, LOAN, SNAPSHOT
 
 # The usual training set-up.
@@ -183,8 +184,10 @@ def training_set(labels: DataFrame, features: DataFrame, complete_only: bool = T
     keys = [CUSTOMER, SNAPSHOT]
     extra = [c for c in features.columns if c in keys or c not in labels.columns]
     right = features.select(*[f"`{c}`" for c in extra])
-    joined = labels.join(right, keys, "inner" if complete_only else "left")
-    return joined.na.drop("any") if complete_only else joined
+    if complete_only:
+        return labels.join(right, keys, "inner").na.drop("any")
+    # A left join never splits its right side: feature rows of a repeated key are dealt out.
+    return spread_left_join(labels, right, keys)
 
 
 def split_training_set(

@@ -19,7 +19,6 @@ from riskmart.operators.gold import (
     gold_labels,
     gold_loan_features,
 )
-from riskmart.operators.joins import hot_keys
 from riskmart.operators.silver import (
     parse_snapshot,
     silver_attributes,
@@ -40,7 +39,6 @@ from riskmart.sources.schemas import (
     ATTRIBUTE_CATEGORIES,
     ATTRIBUTES_RAW_SCHEMA,
     CLICKSTREAM_RAW_SCHEMA,
-    CUSTOMER,
     FINANCIAL_CATEGORIES,
     FINANCIALS_RAW_SCHEMA,
     LOAN_RAW_SCHEMA,
@@ -163,11 +161,7 @@ def build_feature_store(
         gold_financials(financials, vocabulary),
         gold_attributes(attributes, vocabulary),
         gold_clickstream(clicks),
-        {
-            "financials": hot_keys(financials, [CUSTOMER]),
-            "attributes": hot_keys(attributes, [CUSTOMER]),
-            "clicks": hot_keys(clicks, [CUSTOMER, SNAPSHOT]),
-        },
+        spread=True,
     )
     overwrite_snapshots(store, mart.feature_store, replaced=months_of(start, end))
 

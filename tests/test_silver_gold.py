@@ -261,29 +261,33 @@ def test_feature_store_equals_chained_joins_with_repeated_customers(spark):
     assert as_set(store) == as_set(chained)
     assert store.count() == 8
 
-    hot = {
-        "financials": joins.hot_keys(fin, ["Customer_ID"], min_rows=1),
-        "attributes": joins.hot_keys(att, ["Customer_ID"], min_rows=1),
-        "clicks": joins.hot_keys(clicks, ["Customer_ID", "snapshot_date"], min_rows=0),
-    }
-    assert values(hot["financials"], "Customer_ID") == [("A",)]
-    assert values(hot["attributes"], "Customer_ID") == [("B",)]
-    spread = gold.feature_store(loans, fin, att, clicks, hot)
-    assert spread.columns == chained.columns
+    spread = gold.feature_store(loans, fin, att, clicks, spread=True)
+    assert sorted(spread.columns) == sorted(chained.columns)
     assert as_set(spread) == as_set(chained)
 
 
-def test_hot_keys_keep_every_row_and_copy(spark):
+def test_dealt_keys_keep_every_row_and_copy(spark):
     left = spark.range(40).selectExpr("cast(id % 4 as string) as k", "id")
+    left = left.union(spark.createDataFrame([(None, 99)], "k string, id bigint"))
     hot_rows = spark.range(900).selectExpr("'1' as k", "cast(7 as bigint) as v")
     right = hot_rows.union(spark.createDataFrame([("2", 5), (None, 6)], "k string, v bigint"))
-    hot = joins.hot_keys(right, ["k"], min_rows=100)
-    assert values(hot, "k") == [("1",)]
-    assert joins.hot_keys(right, ["k"]) is None
-    spread = joins.spread_left_join(left, right, ["k"], hot, buckets=16)
+    buckets = {r["k"]: r["__buckets"] for r in joins.key_buckets(right, ["k"], 60).collect()}
+    assert buckets == {"1": 15, "2": 1}
     plain = left.join(right, "k", "left")
-    assert spread.count() == plain.count() == 9000 + 30
-    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+    for rows in (1, 60, 100_000):
+        spread = joins.spread_left_join(left, right, ["k"], rows)
+        assert spread.count() == plain.count() == 9000 + 31
+        assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+
+def test_a_customer_without_a_loan_builds_no_pairs(spark):
+    day = dt.date(2023, 7, 1)
+    loans = spark.createDataFrame([("l1", "A", day)], "loan_id string, Customer_ID string, snapshot_date date")
+    many = spark.range(100_000).selectExpr("'big' as Customer_ID", "id as income")
+    others = many.selectExpr("Customer_ID", "income as age")
+    clicks = spark.createDataFrame([("A", day, 1)], "Customer_ID string, snapshot_date date, fe_1 int")
+    for spread in (False, True):
+        assert gold.feature_store(loans, many, others, clicks, spread).count() == 1
 
 
 def test_loan_features_truncate_balance(spark):
