@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskmart.operators.casting import drop_any_null, is_complete, numeric_columns
 from riskmart.operators.quantiles import exact_quantiles
+from riskmart.sources import remove_folder, working_folder
 from riskmart.sources.schemas import SNAPSHOT
 
 # Binning, smoothing and alert levels.
@@ -71,7 +72,11 @@ def fit_drift_bins(
     The result is features x buckets numbers; store it and every later snapshot
     is compared without touching the baseline again.
     """
-    clean = drop_any_null(baseline)
+    # The counting rounds below read these rows several times: written once, what derives them runs once.
+    spark, folder = baseline.sparkSession, working_folder(baseline.sparkSession, "baseline")
+    doubles = [F.col(f"`{c}`").cast("double").alias(c) for c in features]
+    drop_any_null(baseline).select(*doubles).write.parquet(folder)
+    clean = spark.read.parquet(folder)
     step = 1 / buckets
     inner = [i * step for i in range(1, buckets)]
     edges = exact_quantiles(clean, features, inner)
@@ -80,6 +85,7 @@ def fit_drift_bins(
     if usable:
         for row in _bin_counts(clean, usable, []).collect():
             counted[row["feature"]][row["bin"]] = row["n"]
+    remove_folder(spark, folder)
     return DriftBins(edges, counted)
 
 
