@@ -85,8 +85,130 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+# Lines of five words and more; their offsets are running sums of line lengths.
+OP10 = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(len(string_split(text, chr(10))))) AS no
+  FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT doc_id, no, line,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM l
+), w AS (
+  SELECT doc_id, no, start, start + length(line) AS stop,
+    {_WORDS.format("translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM p
+), u AS (
+  SELECT doc_id, start, stop, len(w) AS n_words, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS paragraph,
+    list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+  FROM w WHERE len(w) >= 5
+), c AS (
+  SELECT s, row_number() OVER () AS c FROM (SELECT DISTINCT s FROM u)
+), e AS (
+  SELECT c, len(s) AS n, unnest(s) AS g FROM c
+), pairs AS (
+  SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.g = y.g AND x.c < y.c
+  GROUP BY x.c, y.c, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), both AS NOT MATERIALIZED (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT a AS c, b AS other FROM both
+  UNION
+  SELECT r.c, k.b FROM reached r JOIN both k ON r.other = k.a
+), k AS (
+  SELECT c.c, c.s, least(c.c, coalesce(min(other), c.c)) AS component
+  FROM c LEFT JOIN reached ON reached.c = c.c GROUP BY c.c, c.s
+), hits AS (
+  SELECT u.*, component,
+    min(doc_id) OVER (PARTITION BY component) AS cluster_id,
+    max(doc_id) OVER (PARTITION BY component) AS last_id,
+    count(*) OVER (PARTITION BY component) AS copies,
+    row_number() OVER (PARTITION BY component ORDER BY doc_id, paragraph) AS place
+  FROM u JOIN k ON u.s = k.s
+), runs AS (
+  SELECT *, paragraph - row_number() OVER (PARTITION BY doc_id ORDER BY paragraph) AS run
+  FROM hits WHERE cluster_id <> last_id
+), long AS (
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS passage_words FROM runs
+)
+SELECT doc_id, paragraph::BIGINT AS paragraph, start::BIGINT AS start, stop::BIGINT AS "end", n_words::BIGINT AS n_words,
+  passage_words::BIGINT AS passage_words, cluster_id, copies::BIGINT AS copies, place > 1 AS removed
+FROM long WHERE passage_words >= 50
+""".replace("both", "linked")
+
+
+def _spread(name: str, edges: str, seeds: str, rounds: int = 12, damping: float = 0.85) -> str:
+    """Rounds of personalised PageRank, one CTE each."""
+    out = f"""{name}_out AS (SELECT a, sum(weight) AS total FROM {edges} GROUP BY a),
+{name}_share AS (SELECT e.a, e.b, e.weight / o.total AS share FROM {edges} e JOIN {name}_out o ON e.a = o.a),
+{name}_0 AS (SELECT host, mass / (SELECT sum(mass) FROM {seeds}) AS mass FROM {seeds}),
+"""
+    for k in range(rounds):
+        out += f"""{name}_{k + 1} AS (SELECT host, sum(mass) AS mass FROM (
+  SELECT s.b AS host, {damping} * r.mass * s.share AS mass FROM {name}_share s JOIN {name}_{k} r ON s.a = r.host
+  UNION ALL SELECT host, {round(1 - damping, 9)} * mass FROM {name}_0) GROUP BY host),
+"""
+    return out
+
+
+_HOST = "translate(coalesce(regexp_extract({}, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+# (rule, verdict), the longest first; fixed values.
+_RULES = (
+    ("example.org", "/en/1", "block"),
+    ("example.org", "/es/", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+    ("org", "/", "allow"),
+)
+_RULE = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _RULES) + " END"
+_RULED = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _RULES) + " END"
+_LINK = r"""(?i)(?:href|src)\s*=\s*["'']?((?:https?:)?//[^\s"''<>]+)"""
+
+OP3 = f"""
+WITH u AS (
+  SELECT page_id, html, {_HOST.format("url")} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), j AS (
+  SELECT page_id, html, host, path, {_RULE} AS rule, {_RULED} AS ruled FROM u
+), l AS (
+  SELECT host AS a, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS t FROM j
+), m AS (
+  SELECT a, {_HOST.format("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS b FROM l
+), links AS (
+  SELECT a, b, count(*)::DOUBLE AS weight FROM m WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b
+), hosts AS (
+  SELECT host FROM j WHERE host <> '' UNION SELECT b FROM links
+), chains AS (
+  SELECT list_append(list_transform(range(2, len(string_split(host, '.'))),
+    lambda i: array_to_string(string_split(host, '.')[-i:], '.')), host) AS c FROM hosts
+), steps AS (
+  SELECT DISTINCT unnest(c[:len(c) - 1]) AS x, unnest(c[2:]) AS y FROM chains
+), edges AS (
+  SELECT a, b, sum(weight) AS weight FROM (
+    SELECT * FROM links UNION ALL SELECT x, y, 1.0 FROM steps UNION ALL SELECT y, x, 1.0 FROM steps) GROUP BY a, b
+), back AS (
+  SELECT b AS a, a AS b, weight FROM edges
+), good AS (
+  SELECT host, count(*)::DOUBLE AS mass FROM j WHERE ruled = 'allow' AND host <> '' GROUP BY host
+), bad AS (
+  SELECT host, count(*)::DOUBLE AS mass FROM j WHERE ruled = 'block' AND host <> '' GROUP BY host
+),
+{_spread("trust", "edges", "good")}{_spread("distrust", "back", "bad")}masses AS (
+  SELECT coalesce(t.host, d.host) AS host, coalesce(t.mass, 0) AS t, coalesce(d.mass, 0) AS d
+  FROM trust_12 t FULL JOIN distrust_12 d ON t.host = d.host
+)
+SELECT page_id, j.host, path, rule,
+  coalesce(ruled, CASE WHEN coalesce(d, 0) > 0.5 * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN masses ON j.host = masses.host
+"""
+
 ORACLES = {
     "op7_chat_formatting": OP7,
     "op1_benchmark_decontamination": OP1,
+    "op3_url_filters": OP3,
+    "op10_substring_dedup": OP10,
     "op2_ngram_jaccard_join": OP2,
 }
