@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm.tables import ceil_div
-from riskmart.llm.words import U64
+from riskmart.llm.words import U64, release
 
 #: Entries in a block on average; blocks at least, so that little data is spread, too.
 BLOCK_ENTRIES = 8_000_000
@@ -96,6 +96,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     if len(marked):
         hit = marked[np.minimum(np.searchsorted(marked, once), len(marked) - 1)] == once
     keys, shared = np.unique(owner[hit], return_counts=True)
+    release()
     return pa.table(
         {
             "c": np.concatenate([home_key, keys]).view(np.int64),

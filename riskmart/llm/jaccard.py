@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
 from riskmart.llm.blocks import blocks_for, pack_pieces, shared_counts
+from riskmart.llm.setjoin import exact, labelled, leader_pairs, open_pairs, prefixes
 from riskmart.llm.shipping import ship
 from riskmart.llm.tables import components, stored
 
@@ -125,80 +126,13 @@ def class_sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, gram: i
     return texts.select("text").mapInArrow(read, "c long, n long, grams array<long>").dropDuplicates(["c"])
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, c, n, pos, reach): the shared columns among each class's first ones, in order of rarity."""
-    entries = sets.select("c", "n", F.explode("grams").alias("h"))
-    often = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    by_class = Window.partitionBy("c")
-    return (
-        entries.join(often, "h")
-        .withColumn("rank", F.row_number().over(by_class.orderBy("df", "h")))
-        .withColumn("shared", F.count("*").over(by_class))
-        # Columns that no other class has come first.
-        .withColumn("pos", F.expr("n - shared + rank - 1"))
-        .where(F.expr(f"pos <= n - ceil({percent} * n / 100.0D)"))
-        # With its first `pos` columns gone, the class only reaches partners up to this size.
-        .withColumn("reach", F.expr(f"(n - pos) * {100 + percent} div {percent} - n"))
-        .select("h", "c", "n", "pos", "reach")
-    )
-
-
-def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, by their whole sets."""
-    left = sets.select(F.col("c").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("c").alias("b"), F.col("grams").alias("gb"))
-    return (
-        pairs.select("a", "b")
-        .join(right, "b")
-        .join(left, "a")
-        .withColumn("both", F.size(F.array_intersect("ga", "gb")).cast("long"))
-        .where(F.expr(f"100 * both >= {percent} * (size(ga) + size(gb) - both)"))
-        .select("a", "b")
-    )
-
-
-def _sized(percent: int) -> str:
-    """May a class (n, reach) and another one (n2, reach2) that meet in a column be similar, by their sizes?"""
-    return f"100 * least(n, n2) >= {percent} * greatest(n, n2) and n2 <= reach and n <= reach2"
-
-
-def leader_pairs(prefix: DataFrame, salt: int, percent: int) -> DataFrame:
-    """At most one candidate per class: the leader of one of its columns, in another component.
-
-    Leaders are first the classes with the fewest columns of their own, then random ones.
-    """
-    order = F.xxhash64("c", F.lit(salt)) if salt else F.col("pos").cast("long")
-    lead = prefix.groupBy("h").agg(F.min(F.struct(order.alias("order"), "c", "n", "reach", "component")).alias("l"))
-    lead = lead.select("h", F.col("l.c").alias("a"), F.col("l.n").alias("n2"), F.col("l.reach").alias("reach2"), F.col("l.component").alias("k2"))
-    near = prefix.join(lead, "h").where(F.expr(f"component <> k2 and {_sized(percent)}"))
-    best = near.groupBy("c").agg(F.min(F.struct("pos", F.abs(F.col("n") - F.col("n2")), "a")).alias("m"))
-    return best.select(F.col("m.a").alias("a"), F.col("c").alias("b"))
-
-
-def open_pairs(prefix: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components whose accumulated overlap can still reach the bound."""
-    sizes = prefix.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
-    left = prefix.join(sizes.where("lo <> hi"), "h").where("least <= reach").select("h", "c", "n", "pos", "reach", "component")
-    right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "reach", "component")])
-    met = left.join(right, "h").where(F.expr(f"c < c2 and component <> component2 and {_sized(percent)}"))
-    counted = met.groupBy("c", "c2", "n", "n2").agg(F.count("*").alias("overlap"), F.max("pos").alias("p"), F.max("pos2").alias("p2"))
-    most = "overlap + least(n - p - 1, n2 - p2 - 1)"
-    return counted.where(F.expr(f"{100 + percent} * ({most}) >= {percent} * (n + n2)")).select(F.col("c").alias("a"), F.col("c2").alias("b"))
-
-
-def _labelled(prefix: DataFrame, found: DataFrame) -> DataFrame:
-    known = found.select(F.col("node").alias("c"), "component")
-    joined = prefix.drop("component").join(known, "c", "left")
-    return joined.withColumn("component", F.coalesce("component", "c"))
-
-
 def class_components(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between classes that span their components, and (node, component)."""
     prefix = stored(prefixes(sets, percent).withColumn("component", F.col("c")), "prefix")
     links, found = None, None
     for salt in range(LEADER_ROUNDS + 1):
         last = salt == LEADER_ROUNDS
-        here = prefix if found is None else _labelled(prefix, found)
+        here = prefix if found is None else labelled(prefix, found)
         pairs = open_pairs(here, percent) if last else leader_pairs(here, salt, percent)
         new = exact(pairs, sets, percent)
         links = stored(new if links is None else links.unionByName(new), "jaccard-links")

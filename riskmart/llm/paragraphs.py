@@ -5,9 +5,9 @@ lower-cased; paragraphs with equal sets are one class. Every class gets a MinHas
 signature cut into bands; paragraphs that agree in a band collide. The number
 of bands and rows is tuned so that paragraphs at the wanted similarity collide almost
 surely. Collisions are found in packed blocks of band keys, so only classes
-that collide with another class are looked at again. Colliding classes are joined and
-verified by the exact Jaccard similarity of their sets; large groups are tied to leaders first,
-and only pairs in different components are joined beyond that. Components of
+that collide with another class are looked at again. These are joined, first with a leader per band and
+then, where that leaves different components, pair by pair as far as
+their rarest shingles allow; all are verified by the exact Jaccard similarity of their sets. Components of
 classes are the clusters: their first paragraph stays, the others are removals.
 
 Removals are reported where neighbouring repeated paragraphs make a passage of
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
 from riskmart.llm.blocks import blocks_for, pack_pieces, shared_counts
+from riskmart.llm.setjoin import exact, labelled, leader_pairs, open_pairs, prefixes
 from riskmart.llm.shipping import ship
 from riskmart.llm.tables import components, stored
 
@@ -33,7 +34,8 @@ GRAM = 5
 PERCENT = 80
 RECALL = 0.999
 MIN_PASSAGE = 50
-LEADER_ROUNDS = 2
+#: Rounds of leaders; each joins what its links allow, what is left goes pair by pair.
+LEADER_ROUNDS = 4
 PIECE_ENTRIES = 1_000_000
 
 
@@ -174,60 +176,22 @@ def class_sets(documents: DataFrame, places: DataFrame, wanted: DataFrame) -> Da
     return sets.join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
-def _reach(sets: DataFrame, percent: int) -> DataFrame:
-    """(c, n, reach): the largest partner each class can have, given the shingles that no other class has."""
-    entries = sets.select("c", "n", F.explode("grams").alias("g"))
-    often = entries.groupBy("g").agg(F.count("*").alias("df")).where("df > 1").select("g")
-    shared = entries.join(often, "g", "left_semi").groupBy("c", "n").agg(F.count("*").alias("shared"))
-    reach = shared.withColumn("reach", F.expr(f"shared * {100 + percent} div {percent} - n"))
-    return reach.where(F.expr(f"100 * reach >= {percent} * n")).select("c", "n", "reach")
-
-
-_FITS = "100 * least(n, n2) >= {0} * greatest(n, n2) and n2 <= reach and n <= reach2"
-
-
-def _leader_pairs(bands: DataFrame, salt: int, percent: int) -> DataFrame:
-    """At most one candidate per class: the leader of one of its bands, in another component."""
-    order = F.xxhash64("c", F.lit(salt)) if salt else -F.col("reach")
-    lead = bands.groupBy("h").agg(F.min(F.struct(order.alias("order"), "c", "n", "reach", "component")).alias("l"))
-    lead = lead.select("h", F.col("l.c").alias("a"), F.col("l.n").alias("n2"), F.col("l.reach").alias("reach2"), F.col("l.component").alias("k2"))
-    near = bands.join(lead, "h").where(F.expr(f"component <> k2 and {_FITS.format(percent)}"))
-    votes = near.groupBy("c", "a").agg(F.count("*").alias("bands"))
-    best = votes.groupBy("c").agg(F.max(F.struct("bands", "a")).alias("m"))
-    return best.select(F.col("m.a").alias("a"), F.col("c").alias("b"))
-
-
-def _open_pairs(bands: DataFrame, percent: int) -> DataFrame:
-    """All colliding pairs in different components that sizes do not rule out."""
-    mixed = bands.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
-    columns = ("c", "n", "reach", "component")
-    left = bands.join(mixed.where("lo <> hi"), "h").where("least <= reach").select("h", *columns)
-    right = left.select("h", *[F.col(x).alias(f"{x}2") for x in columns])
-    met = left.join(right, "h").where(F.expr(f"c < c2 and component <> component2 and {_FITS.format(percent)}"))
-    return met.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("c").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("c").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    joined = pairs.join(right, "b").join(left, "a").withColumn("both", both)
-    return joined.where(F.expr(f"100 * both >= {percent} * (size(ga) + size(gb) - both)")).select("a", "b")
-
-
 def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the classes with a verified partner."""
-    reach = _reach(sets, percent)
-    bands = sets.select("c", F.explode("bands").alias("h")).join(reach, "c")
-    bands = stored(bands.withColumn("component", F.col("c")), "bands")
+    """(node, component) of the classes with a verified partner.
+
+    Colliding paragraphs are first joined with one leader per band. Then all
+    pairs in different components follow that their rarest shingles do not rule out.
+    """
+    prefix = stored(prefixes(sets, percent).withColumn("component", F.col("c")), "paragraph-prefixes")
+    able = prefix.groupBy("c", "n").agg(F.min("pos").alias("pos"), F.max("reach").alias("reach"))
+    bands = stored(sets.select("c", F.explode("bands").alias("h")).join(able, "c").withColumn("component", F.col("c")), "bands")
     links, found = [], None
     for salt in range(LEADER_ROUNDS + 1):
-        here = bands
-        if found is not None:
-            known = found.select(F.col("node").alias("c"), F.col("component").alias("k"))
-            here = bands.join(known, "c", "left").withColumn("component", F.coalesce("k", "component")).drop("k")
-        pairs = _open_pairs(here, percent) if salt == LEADER_ROUNDS else _leader_pairs(here, salt, percent)
-        links.append(stored(_verified(pairs, sets, percent), "paragraph-links"))
+        if salt < LEADER_ROUNDS:
+            pairs = leader_pairs(bands if found is None else labelled(bands, found), salt, percent, every=salt > 0)
+        else:
+            pairs = open_pairs(labelled(prefix, found), percent)
+        links.append(stored(exact(pairs, sets, percent), "paragraph-links"))
         found = components(reduce(DataFrame.unionByName, links))
     return found
 

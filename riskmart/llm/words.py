@@ -7,6 +7,7 @@ array over all bytes, words or shingles of all texts, plus counts per text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 U64 = np.uint64
 #: Bytes of text taken into one set of arrays; some forty times that is needed for a moment.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
@@ -75,6 +76,14 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, bounds - bounds[0])
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay for later tasks and would hold it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about SLICE_BYTES of text; a longer text stands alone."""
     for batch in batches:
@@ -87,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    release()
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
