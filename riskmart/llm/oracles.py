@@ -85,60 +85,6 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-# Lines of five words and more; their offsets are running sums of line lengths.
-OP10 = f"""
-WITH RECURSIVE l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-    unnest(range(len(string_split(text, chr(10))))) AS no
-  FROM documents WHERE text IS NOT NULL
-), p AS (
-  SELECT doc_id, no, line,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM l
-), w AS (
-  SELECT doc_id, no, start, start + length(line) AS stop,
-    {_WORDS.format("translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
-  FROM p
-), u AS (
-  SELECT doc_id, start, stop, len(w) AS n_words, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS paragraph,
-    list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
-  FROM w WHERE len(w) >= 5
-), c AS (
-  SELECT s, row_number() OVER () AS c FROM (SELECT DISTINCT s FROM u)
-), e AS (
-  SELECT c, len(s) AS n, unnest(s) AS g FROM c
-), pairs AS (
-  SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.g = y.g AND x.c < y.c
-  GROUP BY x.c, y.c, x.n, y.n
-  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
-), both AS NOT MATERIALIZED (
-  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
-), reached AS (
-  SELECT a AS c, b AS other FROM both
-  UNION
-  SELECT r.c, k.b FROM reached r JOIN both k ON r.other = k.a
-), k AS (
-  SELECT c.c, c.s, least(c.c, coalesce(min(other), c.c)) AS component
-  FROM c LEFT JOIN reached ON reached.c = c.c GROUP BY c.c, c.s
-), hits AS (
-  SELECT u.*, component,
-    min(doc_id) OVER (PARTITION BY component) AS cluster_id,
-    max(doc_id) OVER (PARTITION BY component) AS last_id,
-    count(*) OVER (PARTITION BY component) AS copies,
-    row_number() OVER (PARTITION BY component ORDER BY doc_id, paragraph) AS place
-  FROM u JOIN k ON u.s = k.s
-), runs AS (
-  SELECT *, paragraph - row_number() OVER (PARTITION BY doc_id ORDER BY paragraph) AS run
-  FROM hits WHERE cluster_id <> last_id
-), long AS (
-  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS passage_words FROM runs
-)
-SELECT doc_id, paragraph::BIGINT AS paragraph, start::BIGINT AS start, stop::BIGINT AS "end", n_words::BIGINT AS n_words,
-  passage_words::BIGINT AS passage_words, cluster_id, copies::BIGINT AS copies, place > 1 AS removed
-FROM long WHERE passage_words >= 50
-""".replace("both", "linked")
-
-
 def _spread(name: str, edges: str, seeds: str, rounds: int = 12, damping: float = 0.85) -> str:
     """Rounds of personalised PageRank, one CTE each."""
     out = f"""{name}_out AS (SELECT a, sum(weight) AS total FROM {edges} GROUP BY a),
@@ -209,6 +155,5 @@ ORACLES = {
     "op7_chat_formatting": OP7,
     "op1_benchmark_decontamination": OP1,
     "op3_url_filters": OP3,
-    "op10_substring_dedup": OP10,
     "op2_ngram_jaccard_join": OP2,
 }

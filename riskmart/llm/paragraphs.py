@@ -12,6 +12,11 @@ classes are the clusters: their first paragraph stays, the others are removals.
 
 Removals are reported where neighbouring repeated paragraphs make a passage of
 MIN_PASSAGE words or more that other documents have, too.
+
+Passages in the middle of longer lines are no paragraphs, so content-defined windows stand in for
+them: of every NEIGHBOURS neighbouring windows of MIN_PASSAGE words the one with the smallest hash. A
+run of MIN_PASSAGE + NEIGHBOURS - 1 words that two documents share always has a window in common, a shorter one
+mostly. Windows that two documents have are equal word by word, and overlapping ones make one passage.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ RECALL = 0.999
 MIN_PASSAGE = 50
 #: Rounds of leaders; each joins what its links allow, what is left goes pair by pair.
 LEADER_ROUNDS = 4
+#: Of so many neighbouring windows one is kept.
+NEIGHBOURS = 10
 PIECE_ENTRIES = 1_000_000
 
 
@@ -108,6 +115,48 @@ class Paragraphs:
         self.name = W.set_digest(self.values, self.counts)[0]
 
 
+class Windows:
+    """The content-defined windows of MIN_PASSAGE words of some texts."""
+
+    def __init__(self, column: pa.Array):
+        found = W.texts(column)
+        split = W.words(found, lower=True)
+        size, count = MIN_PASSAGE, len(split.hash)
+        per_text = np.maximum(split.per_text - size + 1, 0)
+        at = np.flatnonzero(W.gram_mask(split.per_text, size))
+        # Sums of words times powers of an odd base; dividing by the base moves a window to its start.
+        base = 0x9E3779B97F4A7C15
+        back = pow(base, -1, 1 << 64)
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate([one, np.full(count, base, np.uint64)]))
+        undo = np.cumprod(np.concatenate([one, np.full(count, back, np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(split.hash * power[:count])])
+        value = W.mix((sums[at + size] - sums[at]) * undo[at])
+        keep = self._kept(value, per_text)
+        at, self.value = at[keep], value[keep]
+        owner = np.repeat(np.arange(found.count), per_text)[keep]
+        self.text, self.counts = owner, np.bincount(owner, minlength=found.count)
+        self.word = at - (np.cumsum(split.per_text) - split.per_text)[owner]
+        points = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+        first = points[found.bounds[:-1]][owner]
+        self.start, self.end = points[split.start[at]] - first, points[split.end[at + size - 1]] - first
+
+    @staticmethod
+    def _kept(value: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        """True for windows that are smallest among NEIGHBOURS neighbours, or in a text of fewer windows."""
+        keep = np.zeros(len(value), bool)
+        if len(value) >= NEIGHBOURS:
+            groups = np.lib.stride_tricks.sliding_window_view(value, NEIGHBOURS)
+            inside = W.gram_mask(per_text, NEIGHBOURS)[: len(groups)]
+            least = np.flatnonzero(inside)
+            keep[least + groups[least].argmin(axis=1)] = True
+        few = np.flatnonzero((per_text > 0) & (per_text < NEIGHBOURS))
+        first = np.cumsum(per_text) - per_text
+        for text in few:
+            keep[first[text] + value[first[text] : first[text] + per_text[text]].argmin()] = True
+        return keep
+
+
 def row_key():
     """A fingerprint of doc_id and text."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
@@ -152,28 +201,101 @@ def colliding(documents: DataFrame, paragraphs: int) -> DataFrame:
     return shared_counts(documents.select("text").mapInArrow(pieces, "block int, packed binary")).where("shared > 0").select("c")
 
 
-def class_sets(documents: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, n, grams, bands) of the wanted classes, read from one document each."""
+def sharing(documents: DataFrame, words: int) -> DataFrame:
+    """row_key of all documents that have a window in common with another document."""
+    blocks = blocks_for(2 * words // (NEIGHBOURS + 1))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in W.slices(batches):
+            found = Windows(batch.column("text"))
+            values, counts = W.distinct_per_text(found.value, found.counts)
+            names = batch.column("row_key").to_numpy(zero_copy_only=False).view(np.uint64)
+            some = counts > 0
+            if some.any():
+                held.append((values, counts[some], names[some]))
+                size += len(values)
+            if size >= PIECE_ENTRIES:
+                yield pack_pieces(held, blocks)
+                held, size = [], 0
+        if held:
+            yield pack_pieces(held, blocks)
+
+    keyed = documents.select(row_key().alias("row_key"), "text")
+    return shared_counts(keyed.mapInArrow(pieces, "block int, packed binary")).where("shared > 0").select(F.col("c").alias("row_key"))
+
+
+def reread(documents: DataFrame, places: DataFrame, wanted: DataFrame, shared: DataFrame) -> DataFrame:
+    """What a second look at some texts gives, in one pass.
+
+    Rows with c: (c, n, grams, bands) of paragraphs, for each wanted class from one document. Rows
+    without, one per sharing document: row_key, doc_id, the n hashes of its windows in grams, and in
+    bands their first words, then their starts, then their ends.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c", "n", "grams", "bands", "row_key", "doc_id"]
         for batch in W.slices(batches):
-            p = Paragraphs(batch.column("text"))
-            bands = band_keys(p.values, p.counts) if len(p.counts) else np.zeros((0, BANDS), np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(p.name.view(np.int64)),
-                    pa.array(p.counts.astype(np.int64)),
-                    W.list_column(p.values, p.counts),
-                    W.list_column(bands.reshape(-1), np.full(len(bands), BANDS)),
-                ],
-                names=["c", "n", "grams", "bands"],
-            )
+            id_kind = batch.schema.field("doc_id").type
+            part = batch.filter(batch.column("sets"))
+            if part.num_rows:
+                p = Paragraphs(part.column("text"))
+                bands = band_keys(p.values, p.counts) if len(p.counts) else np.zeros((0, BANDS), np.uint64)
+                grams, keys = W.list_column(p.values, p.counts), W.list_column(bands.reshape(-1), np.full(len(bands), BANDS))
+                nothing = [pa.nulls(len(p.counts), t) for t in (pa.int64(), id_kind)]
+                columns = [pa.array(p.name.view(np.int64)), pa.array(p.counts.astype(np.int64)), grams, keys, *nothing]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            part = batch.filter(batch.column("windows"))
+            if part.num_rows:
+                w = Windows(part.column("text"))
+                # Per document the words, starts and ends of its windows, one list after the other.
+                owner = np.concatenate([w.text] * 3)
+                order = np.argsort(owner, kind="stable")
+                ats = np.concatenate([w.word, w.start, w.end])[order].astype(np.int64)
+                rows = part.num_rows
+                columns = [pa.nulls(rows, pa.int64()), pa.array(w.counts.astype(np.int64)), W.list_column(w.value, w.counts)]
+                columns += [W.list_column(ats.view(np.uint64), 3 * w.counts), part.column("row_key"), part.column("doc_id")]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     first = places.groupBy("c").agg(F.min("row_key").alias("row_key"))
-    chosen = first.join(wanted, "c", "left_semi").select("row_key").distinct()
-    texts = documents.select(row_key().alias("row_key"), "text").join(chosen, "row_key", "left_semi")
-    sets = texts.select("text").mapInArrow(read, "c long, n long, grams array<long>, bands array<long>")
-    return sets.join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    of_sets = first.join(wanted, "c", "left_semi").select("row_key", F.lit(True).alias("sets"), F.lit(False).alias("windows"))
+    of_windows = shared.select("row_key", F.lit(False).alias("sets"), F.lit(True).alias("windows"))
+    chosen = of_sets.unionByName(of_windows).groupBy("row_key").agg(F.max("sets").alias("sets"), F.max("windows").alias("windows"))
+    texts = documents.select(row_key().alias("row_key"), "doc_id", "text").join(chosen, "row_key")
+    schema = f"c long, n long, grams array<long>, bands array<long>, row_key long, doc_id {kind}"
+    return texts.mapInArrow(read, schema)
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """Overlapping windows that other documents have, joined to passages."""
+    flat = windows.select("row_key", "doc_id", F.posexplode("grams").alias("i", "c"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    heads = flat.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"), F.min(place).alias("head"), F.count("*").alias("copies"))
+    hits = flat.select("row_key", "i", "c").join(heads.where("lo <> hi").drop("lo", "hi"), "c")
+    # The windows of one document, as they follow each other in it.
+    listed = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("i", "head", "copies"))).alias("hits"))
+    rows = windows.dropDuplicates(["row_key"]).join(listed, "row_key").select("row_key", "doc_id", "n", "bands", F.explode("hits").alias("h"))
+    at = rows.select(
+        "row_key",
+        "doc_id",
+        "h.head",
+        "h.copies",
+        *[F.expr(f"bands[h.i + {k} * n]").alias(name) for k, name in enumerate(("word", "start", "end"))],
+    ).withColumn("later", F.col("row_key") != F.col("head.row_key"))
+    order = Window.partitionBy("row_key").orderBy("word")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = at.withColumn("new", F.when(F.col("start") > before, 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
+    words = F.max("word") + MIN_PASSAGE - F.min("word")
+    return runs.groupBy("row_key", "doc_id", "run").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        words.alias("n_words"),
+        words.alias("passage_words"),
+        F.min("head").getField("doc_id").alias("cluster_id"),
+        F.max("copies").alias("copies"),
+        F.max("later").alias("removed"),
+    )
 
 
 def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -197,10 +319,10 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words: int = MIN_PASSAGE) -> DataFrame:
-    """One row per paragraph that is part of a passage which other documents repeat.
+    """One row per paragraph that is part of a passage which other documents repeat, and per other passage.
 
     `documents` has doc_id and text; other columns are ignored. Columns:
-    doc_id, paragraph (number among the document's lines of five words and more), start
+    kind (paragraph, or passage for what stands inside longer lines), doc_id, paragraph (number among the document's lines of five words and more), start
     and end (code points, end exclusive), n_words, passage_words (of the run of repeated paragraphs
     it stands in), cluster_id (smallest doc_id of its cluster), copies
     (paragraphs of the cluster), removed (false for the cluster's first
@@ -212,7 +334,10 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
     documents = documents.select("doc_id", "text")
     places = stored(occurrences(documents), "paragraphs")
     wanted = stored(colliding(documents, places.count()), "paragraphs-colliding")
-    sets = stored(class_sets(documents, places, wanted), "paragraph-sets")
+    shared = stored(sharing(documents, places.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]), "documents-sharing")
+    again = stored(reread(documents, places, wanted, shared), "paragraphs-again")
+    whole = again.where("c is not null").select("c", "n", "grams", "bands")
+    sets = stored(whole.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "paragraph-sets")
     found = clusters(sets, percent)
     once = places.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"))
     named = once.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -225,7 +350,8 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "paragraph")
     heads = hits.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     out = runs.where(F.col("passage_words") >= least_words).join(heads, "component")
-    return out.select(
+    lines = out.select(
+        F.lit("paragraph").alias("kind"),
         "row_key",
         "doc_id",
         "paragraph",
@@ -237,3 +363,12 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
         "copies",
         (place != F.col("first")).alias("removed"),
     )
+    lines = stored(lines, "paragraphs-repeated")
+    inside = stored(shared_windows(again.where("c is null and n > 0")), "passages-repeated")
+    covered = lines.groupBy(F.col("row_key").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("lines"))
+    # A passage of whole lines that are reported as such is not listed again; lists are of one document.
+    rest = inside.join(covered, F.col("row_key") == F.col("_row"), "left")
+    body = F.expr("aggregate(filter(lines, x -> x.end > start and x.start < `end`), 0L, (a, x) -> a + least(x.end, `end`) - greatest(x.start, start))")
+    rest = rest.where(F.coalesce(body, F.lit(0)) < 0.9 * (F.col("end") - F.col("start")))
+    others = rest.select(F.lit("passage").alias("kind"), F.lit(None).cast("long").alias("paragraph"), *[c for c in lines.columns if c not in ("kind", "paragraph")])
+    return lines.unionByName(others)

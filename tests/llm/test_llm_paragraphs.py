@@ -28,7 +28,7 @@ def test_repeated_passages_are_those_of_brute_force(spark):
     rows += [(300, None), (301, ""), (302, (passages[0] + "\n") * 3), (303, prose(rng, 30000)), (304, "é \n" * 5 + passages[2])]
     rows += [(305, prose(rng, 80) + "\n" + rows[-1][1][:0] + "solo " * 70 + "\n" + "solo " * 70)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, c string")
-    got = repeated_passages(docs).collect()
+    got = repeated_passages(docs).where("kind = 'paragraph'").collect()
     assert {(r.doc_id, r.paragraph): (r.start, r.end, r.n_words, r.passage_words, r.copies) for r in got} == repeated_paragraphs(rows)
     clusters = {}
     for r in got:
@@ -46,3 +46,31 @@ def test_null_ids_are_documents(spark):
     text = prose(random.Random(1), 70)
     got = repeated_passages(spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.removed, r.cluster_id) for r in got) == [("7", False, 7), ("None", True, 7)]
+
+
+def test_passages_inside_lines(spark):
+    """Every shared run of 59 words is covered, nothing that is not shared is listed."""
+    rng = random.Random(8)
+    passages = [prose(rng, n) for n in (52, 59, 80, 200)]
+    rows = []
+    for number in range(60):
+        body = passages[number % 4] if number % 3 else prose(rng, 60)
+        rows.append((number, f"é {prose(rng, rng.randrange(40))} {body.upper() if number % 2 else body} {prose(rng, rng.randrange(40))}"))
+    rows += [(100, prose(rng, 51)), (101, prose(rng, 51) + " x"), (102, passages[0]), (103, passages[0])]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    words = {d: t.lower().split() for d, t in rows}
+    runs = {}
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            runs.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    for r in got:
+        part = texts[r.doc_id][r.start : r.end].lower().split()
+        assert len(part) == r.n_words >= 50
+        if r.kind == "passage":
+            assert all(len(runs[tuple(part[i : i + 50])]) > 1 for i in (0, len(part) - 50))
+    long = {d for d, w in words.items() for i in range(len(w) - 58) if sum(w[i : i + 59] == v[j : j + 59] for e, v in words.items() if e != d for j in range(len(v) - 58))}
+    found = {r.doc_id for r in got}
+    assert long <= found and {102, 103} <= found
+    assert found <= {d for ids in runs.values() if len(ids) > 1 for d in ids}
+    assert not found & {100, 101}
