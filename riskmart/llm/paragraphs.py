@@ -13,10 +13,11 @@ classes are the clusters: their first paragraph stays, the others are removals.
 Removals are reported where neighbouring repeated paragraphs make a passage of
 MIN_PASSAGE words or more that other documents have, too.
 
-Passages in the middle of longer lines are no paragraphs, so content-defined windows stand in for
-them: of every NEIGHBOURS neighbouring windows of MIN_PASSAGE words the one with the smallest hash. A
-run of MIN_PASSAGE + NEIGHBOURS - 1 words that two documents share always has a window in common, a shorter one
-mostly. Windows that two documents have are equal word by word, and overlapping ones make one passage.
+Passages in the middle of longer lines are no paragraphs, so content-defined windows lead to
+them: of every NEIGHBOURS neighbouring windows of WINDOW words the one with the smallest hash. MIN_PASSAGE words
+have NEIGHBOURS windows, so documents that share as many in a row always have a kept window in common. Around each
+window that several documents have, all runs of MIN_PASSAGE words are compared; those that
+other documents have make the passages, to their true ends.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ MIN_PASSAGE = 50
 LEADER_ROUNDS = 4
 #: Of so many neighbouring windows one is kept.
 NEIGHBOURS = 10
+#: Words of a window; MIN_PASSAGE words are NEIGHBOURS windows.
+WINDOW = MIN_PASSAGE - NEIGHBOURS + 1
 PIECE_ENTRIES = 1_000_000
 
 
@@ -115,47 +119,58 @@ class Paragraphs:
         self.name = W.set_digest(self.values, self.counts)[0]
 
 
+def run_values(split: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every run of `size` words of one text."""
+    count = len(split.hash)
+    at = np.flatnonzero(W.gram_mask(split.per_text, size))
+    # Sums of words times powers of an odd base; dividing by the base moves a run to its start.
+    base = 0x9E3779B97F4A7C15
+    back = pow(base, -1, 1 << 64)
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate([one, np.full(count, base, np.uint64)]))
+    undo = np.cumprod(np.concatenate([one, np.full(count, back, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(split.hash * power[:count])])
+    return at, W.mix((sums[at + size] - sums[at]) * undo[at])
+
+
 class Windows:
-    """The content-defined windows of MIN_PASSAGE words of some texts."""
+    """The content-defined windows of WINDOW words of some texts."""
 
     def __init__(self, column: pa.Array):
-        found = W.texts(column)
-        split = W.words(found, lower=True)
-        size, count = MIN_PASSAGE, len(split.hash)
-        per_text = np.maximum(split.per_text - size + 1, 0)
-        at = np.flatnonzero(W.gram_mask(split.per_text, size))
-        # Sums of words times powers of an odd base; dividing by the base moves a window to its start.
-        base = 0x9E3779B97F4A7C15
-        back = pow(base, -1, 1 << 64)
-        one = np.ones(1, np.uint64)
-        power = np.cumprod(np.concatenate([one, np.full(count, base, np.uint64)]))
-        undo = np.cumprod(np.concatenate([one, np.full(count, back, np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(split.hash * power[:count])])
-        value = W.mix((sums[at + size] - sums[at]) * undo[at])
+        self.found = W.texts(column)
+        self.split = W.words(self.found, lower=True)
+        per_text = np.maximum(self.split.per_text - WINDOW + 1, 0)
+        at, value = run_values(self.split, WINDOW)
         keep = self._kept(value, per_text)
-        at, self.value = at[keep], value[keep]
-        owner = np.repeat(np.arange(found.count), per_text)[keep]
-        self.text, self.counts = owner, np.bincount(owner, minlength=found.count)
-        self.word = at - (np.cumsum(split.per_text) - split.per_text)[owner]
-        points = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
-        first = points[found.bounds[:-1]][owner]
-        self.start, self.end = points[split.start[at]] - first, points[split.end[at + size - 1]] - first
+        self.at, self.value = at[keep], value[keep]
+        self.counts = np.bincount(np.repeat(np.arange(self.found.count), per_text)[keep], minlength=self.found.count)
 
     @staticmethod
     def _kept(value: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-        """True for windows that are smallest among NEIGHBOURS neighbours, or in a text of fewer windows."""
+        """True for windows that are smallest among NEIGHBOURS neighbours; fewer hold no MIN_PASSAGE words."""
         keep = np.zeros(len(value), bool)
         if len(value) >= NEIGHBOURS:
             groups = np.lib.stride_tricks.sliding_window_view(value, NEIGHBOURS)
             inside = W.gram_mask(per_text, NEIGHBOURS)[: len(groups)]
             least = np.flatnonzero(inside)
             keep[least + groups[least].argmin(axis=1)] = True
-        few = np.flatnonzero((per_text > 0) & (per_text < NEIGHBOURS))
-        first = np.cumsum(per_text) - per_text
-        for text in few:
-            keep[first[text] + value[first[text] : first[text] + per_text[text]].argmin()] = True
         return keep
 
+    def passages(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, first word, start, end, hash) of all runs of MIN_PASSAGE words that hold one of the `chosen` windows."""
+        split, found = self.split, self.found
+        edges = np.zeros(len(split.hash) + 1, np.int64)
+        np.add.at(edges, np.maximum(self.at[chosen] - NEIGHBOURS + 1, 0), 1)
+        np.add.at(edges, self.at[chosen] + 1, -1)
+        at, value = run_values(split, MIN_PASSAGE)
+        near = np.cumsum(edges)[at] > 0
+        at, value = at[near], value[near]
+        text = np.repeat(np.arange(found.count), split.per_text)[at]
+        word = at - (np.cumsum(split.per_text) - split.per_text)[text]
+        points = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+        first = points[found.bounds[:-1]][text]
+        return text, word, points[split.start[at]] - first, points[split.end[at + MIN_PASSAGE - 1]] - first, value
+
 
 def row_key():
     """A fingerprint of doc_id and text."""
@@ -229,13 +244,13 @@ def reread(documents: DataFrame, places: DataFrame, wanted: DataFrame, shared: D
     """What a second look at some texts gives, in one pass.
 
     Rows with c: (c, n, grams, bands) of paragraphs, for each wanted class from one document. Rows
-    without, one per sharing document: row_key, doc_id, the n hashes of its windows in grams, and in
-    bands their first words, then their starts, then their ends.
+    without, one per sharing document: row_key, doc_id, the n hashes of its windows in grams, and its text.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["c", "n", "grams", "bands", "row_key", "doc_id"]
+        grams_kind = pa.list_(pa.int64())
+        names = ["c", "n", "grams", "bands", "row_key", "doc_id", "text"]
         for batch in W.slices(batches):
             id_kind = batch.schema.field("doc_id").type
             part = batch.filter(batch.column("sets"))
@@ -243,19 +258,15 @@ def reread(documents: DataFrame, places: DataFrame, wanted: DataFrame, shared: D
                 p = Paragraphs(part.column("text"))
                 bands = band_keys(p.values, p.counts) if len(p.counts) else np.zeros((0, BANDS), np.uint64)
                 grams, keys = W.list_column(p.values, p.counts), W.list_column(bands.reshape(-1), np.full(len(bands), BANDS))
-                nothing = [pa.nulls(len(p.counts), t) for t in (pa.int64(), id_kind)]
+                nothing = [pa.nulls(len(p.counts), t) for t in (pa.int64(), id_kind, pa.string())]
                 columns = [pa.array(p.name.view(np.int64)), pa.array(p.counts.astype(np.int64)), grams, keys, *nothing]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             part = batch.filter(batch.column("windows"))
             if part.num_rows:
                 w = Windows(part.column("text"))
-                # Per document the words, starts and ends of its windows, one list after the other.
-                owner = np.concatenate([w.text] * 3)
-                order = np.argsort(owner, kind="stable")
-                ats = np.concatenate([w.word, w.start, w.end])[order].astype(np.int64)
                 rows = part.num_rows
                 columns = [pa.nulls(rows, pa.int64()), pa.array(w.counts.astype(np.int64)), W.list_column(w.value, w.counts)]
-                columns += [W.list_column(ats.view(np.uint64), 3 * w.counts), part.column("row_key"), part.column("doc_id")]
+                columns += [pa.nulls(rows, grams_kind), part.column("row_key"), part.column("doc_id"), part.column("text").cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     first = places.groupBy("c").agg(F.min("row_key").alias("row_key"))
@@ -263,31 +274,42 @@ def reread(documents: DataFrame, places: DataFrame, wanted: DataFrame, shared: D
     of_windows = shared.select("row_key", F.lit(False).alias("sets"), F.lit(True).alias("windows"))
     chosen = of_sets.unionByName(of_windows).groupBy("row_key").agg(F.max("sets").alias("sets"), F.max("windows").alias("windows"))
     texts = documents.select(row_key().alias("row_key"), "doc_id", "text").join(chosen, "row_key")
-    schema = f"c long, n long, grams array<long>, bands array<long>, row_key long, doc_id {kind}"
+    schema = f"c long, n long, grams array<long>, bands array<long>, row_key long, doc_id {kind}, text string"
     return texts.mapInArrow(read, schema)
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
-    """Overlapping windows that other documents have, joined to passages."""
-    flat = windows.select("row_key", "doc_id", F.posexplode("grams").alias("i", "c"))
+def around(windows: DataFrame) -> DataFrame:
+    """(row_key, doc_id, word, start, end, c): all runs of MIN_PASSAGE words around windows that other documents have."""
+    flat = windows.select("row_key", F.posexplode("grams").alias("i", "c"))
+    heads = flat.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).where("lo <> hi").select("c")
+    listed = flat.join(heads, "c").groupBy("row_key").agg(F.collect_set("i").alias("hits"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches):
+            w = Windows(batch.column("text"))
+            hits = batch.column("hits")
+            first = np.repeat(np.cumsum(w.counts) - w.counts, pc.list_value_length(hits).to_numpy(zero_copy_only=False))
+            text, word, start, end, value = w.passages(first + hits.flatten().to_numpy(zero_copy_only=False))
+            at = pa.array(text)
+            columns = [batch.column("row_key").take(at), batch.column("doc_id").take(at)]
+            columns += [pa.array(x.astype(np.int64)) for x in (word, start, end)] + [pa.array(value.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "word", "start", "end", "c"])
+
+    kind = windows.schema["doc_id"].dataType.simpleString()
+    texts = windows.select("row_key", "doc_id", "text").dropDuplicates(["row_key"]).join(listed, "row_key")
+    return texts.mapInArrow(rows, f"row_key long, doc_id {kind}, word long, start long, end long, c long")
+
+
+def shared_passages(runs: DataFrame) -> DataFrame:
+    """Neighbouring runs of MIN_PASSAGE words that other documents have, joined to passages."""
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    heads = flat.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"), F.min(place).alias("head"), F.count("*").alias("copies"))
-    hits = flat.select("row_key", "i", "c").join(heads.where("lo <> hi").drop("lo", "hi"), "c")
-    # The windows of one document, as they follow each other in it.
-    listed = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("i", "head", "copies"))).alias("hits"))
-    rows = windows.dropDuplicates(["row_key"]).join(listed, "row_key").select("row_key", "doc_id", "n", "bands", F.explode("hits").alias("h"))
-    at = rows.select(
-        "row_key",
-        "doc_id",
-        "h.head",
-        "h.copies",
-        *[F.expr(f"bands[h.i + {k} * n]").alias(name) for k, name in enumerate(("word", "start", "end"))],
-    ).withColumn("later", F.col("row_key") != F.col("head.row_key"))
+    heads = runs.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"), F.min(place).alias("head"), F.count("*").alias("copies"))
+    at = runs.join(heads.where("lo <> hi").drop("lo", "hi"), "c").withColumn("later", F.col("row_key") != F.col("head.row_key"))
     order = Window.partitionBy("row_key").orderBy("word")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = at.withColumn("new", F.when(F.col("start") > before, 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
+    follows = F.col("word") == F.lag("word").over(order) + 1
+    named = at.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     words = F.max("word") + MIN_PASSAGE - F.min("word")
-    return runs.groupBy("row_key", "doc_id", "run").agg(
+    return named.groupBy("row_key", "doc_id", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         words.alias("n_words"),
@@ -364,7 +386,8 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
         (place != F.col("first")).alias("removed"),
     )
     lines = stored(lines, "paragraphs-repeated")
-    inside = stored(shared_windows(again.where("c is null and n > 0")), "passages-repeated")
+    near = stored(around(again.where("c is null and n > 0")), "passages-near")
+    inside = stored(shared_passages(near), "passages-repeated")
     covered = lines.groupBy(F.col("row_key").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("lines"))
     # A passage of whole lines that are reported as such is not listed again; lists are of one document.
     rest = inside.join(covered, F.col("row_key") == F.col("_row"), "left")

@@ -74,3 +74,18 @@ def test_passages_inside_lines(spark):
     assert long <= found and {102, 103} <= found
     assert found <= {d for ids in runs.values() if len(ids) > 1 for d in ids}
     assert not found & {100, 101}
+
+
+def test_passages_of_51_to_58_words_are_found_whole(spark):
+    rng = random.Random(31)
+    rows, spans = [], {}
+    for number in range(80):
+        body = prose(rng, 50 + number % 9)
+        for doc in (2 * number, 2 * number + 1):
+            before = f"é{doc} " + prose(rng, rng.randrange(30, 70)) + f" a{doc} "
+            rows.append((doc, before + body + f" z{doc} " + prose(rng, rng.randrange(30, 70))))
+            spans[doc] = (len(before), len(before) + len(body), 50 + number % 9)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.kind for r in got} == {"passage"} and len(got) == len(rows)
+    assert {r.doc_id: (r.start, r.end, r.n_words) for r in got} == spans
+    assert all(r.cluster_id == r.doc_id // 2 * 2 and r.removed == (r.doc_id % 2 == 1) for r in got)
