@@ -301,12 +301,16 @@ def around(windows: DataFrame) -> DataFrame:
 
 
 def shared_passages(runs: DataFrame) -> DataFrame:
-    """Neighbouring runs of MIN_PASSAGE words that other documents have, joined to passages."""
+    """Neighbouring runs of MIN_PASSAGE words with one first document, joined to passages.
+
+    Where the first document changes, the next passage begins; it overlaps the one before.
+    """
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     heads = runs.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"), F.min(place).alias("head"), F.count("*").alias("copies"))
     at = runs.join(heads.where("lo <> hi").drop("lo", "hi"), "c").withColumn("later", F.col("row_key") != F.col("head.row_key"))
     order = Window.partitionBy("row_key").orderBy("word")
-    follows = F.col("word") == F.lag("word").over(order) + 1
+    head = F.col("head.row_key")
+    follows = (F.col("word") == F.lag("word").over(order) + 1) & (head == F.lag(head).over(order))
     named = at.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     words = F.max("word") + MIN_PASSAGE - F.min("word")
     return named.groupBy("row_key", "doc_id", "run").agg(

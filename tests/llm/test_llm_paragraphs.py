@@ -89,3 +89,19 @@ def test_passages_of_51_to_58_words_are_found_whole(spark):
     assert {r.kind for r in got} == {"passage"} and len(got) == len(rows)
     assert {r.doc_id: (r.start, r.end, r.n_words) for r in got} == spans
     assert all(r.cluster_id == r.doc_id // 2 * 2 and r.removed == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_a_passage_has_one_first_document(spark):
+    """Words 0-149, 0-299 and 100-299 of a text, all inside longer lines."""
+    rng = random.Random(41)
+    text = prose(rng, 300).split(" ")
+    rows, at = [], {}
+    for doc, (a, b) in {1: (0, 150), 2: (0, 300), 3: (100, 300)}.items():
+        words = [*prose(rng, 400).split(" "), f"a{doc}", *text[a:b], f"z{doc}", *prose(rng, 400).split(" ")]
+        rows.append((doc, " ".join(words)))
+        at[doc] = 401 - a
+    got = []
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        first = len(dict(rows)[r.doc_id][: r.start].split()) - at[r.doc_id]
+        got.append((r.doc_id, first, first + r.n_words, r.cluster_id, r.removed))
+    assert sorted(got) == [(1, 0, 150, 1, False), (2, 0, 150, 1, True), (2, 101, 300, 2, False), (3, 100, 150, 1, True), (3, 101, 300, 2, True)]
