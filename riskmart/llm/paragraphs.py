@@ -113,6 +113,7 @@ class Paragraphs:
         base = points[bounds[:-1]][self.text]
         self.start, self.end = points[opens] - base, points[ends] - base
         self.n_words = b - a
+        self.word = a - (np.cumsum(split.per_text) - split.per_text)[self.text]
         inside = np.arange(int(self.n_words.sum())) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
         values, counts = W.shingles(split.hash[np.repeat(a, self.n_words) + inside], self.n_words, GRAM)
         self.values, self.counts = W.distinct_per_text(values, counts)
@@ -178,19 +179,19 @@ def row_key():
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(row_key, doc_id, paragraph, start, end, n_words, n, c): every paragraph with the name of its set."""
+    """(row_key, doc_id, paragraph, word, start, end, n_words, n, c): every paragraph with its first word and the name of its set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             p = Paragraphs(batch.column("text"))
             at = pa.array(p.text)
-            numbers = (p.order, p.start, p.end, p.n_words, p.counts)
+            numbers = (p.order, p.word, p.start, p.end, p.n_words, p.counts)
             columns = [batch.column("row_key").take(at), batch.column("doc_id").take(at)]
             columns += [pa.array(x.astype(np.int64)) for x in numbers] + [pa.array(p.name.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "paragraph", "start", "end", "n_words", "n", "c"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "paragraph", "word", "start", "end", "n_words", "n", "c"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"row_key long, doc_id {kind}, paragraph long, start long, end long, n_words long, n long, c long"
+    schema = f"row_key long, doc_id {kind}, paragraph long, word long, start long, end long, n_words long, n long, c long"
     return documents.select(row_key().alias("row_key"), "doc_id", "text").mapInArrow(rows, schema)
 
 
@@ -314,6 +315,7 @@ def shared_passages(runs: DataFrame) -> DataFrame:
     named = at.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     words = F.max("word") + MIN_PASSAGE - F.min("word")
     return named.groupBy("row_key", "doc_id", "run").agg(
+        F.min("word").alias("word"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         words.alias("n_words"),
@@ -381,6 +383,7 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
         "row_key",
         "doc_id",
         "paragraph",
+        "word",
         "start",
         "end",
         "n_words",
@@ -392,10 +395,10 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
     lines = stored(lines, "paragraphs-repeated")
     near = stored(around(again.where("c is null and n > 0")), "passages-near")
     inside = stored(shared_passages(near), "passages-repeated")
-    covered = lines.groupBy(F.col("row_key").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("lines"))
-    # A passage of whole lines that are reported as such is not listed again; lists are of one document.
+    covered = lines.groupBy(F.col("row_key").alias("_row")).agg(F.collect_list(F.struct("word", "n_words")).alias("lines"))
+    # A passage all of whose words stand in reported lines is not listed again; lists are of one document.
     rest = inside.join(covered, F.col("row_key") == F.col("_row"), "left")
-    body = F.expr("aggregate(filter(lines, x -> x.end > start and x.start < `end`), 0L, (a, x) -> a + least(x.end, `end`) - greatest(x.start, start))")
-    rest = rest.where(F.coalesce(body, F.lit(0)) < 0.9 * (F.col("end") - F.col("start")))
+    body = F.expr("aggregate(lines, 0L, (a, x) -> a + greatest(0L, least(x.word + x.n_words, word + n_words) - greatest(x.word, word)))")
+    rest = rest.where(F.coalesce(body, F.lit(0)) < F.col("n_words"))
     others = rest.select(F.lit("passage").alias("kind"), F.lit(None).cast("long").alias("paragraph"), *[c for c in lines.columns if c not in ("kind", "paragraph")])
-    return lines.unionByName(others)
+    return lines.unionByName(others).drop("word")

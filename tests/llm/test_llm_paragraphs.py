@@ -105,3 +105,15 @@ def test_a_passage_has_one_first_document(spark):
         first = len(dict(rows)[r.doc_id][: r.start].split()) - at[r.doc_id]
         got.append((r.doc_id, first, first + r.n_words, r.cluster_id, r.removed))
     assert sorted(got) == [(1, 0, 150, 1, False), (2, 0, 150, 1, True), (2, 101, 300, 2, False), (3, 100, 150, 1, True), (3, 101, 300, 2, True)]
+
+
+def test_a_passage_is_listed_unless_lines_cover_all_its_words(spark):
+    """1,000 shared words, the first 80 in lines that differ otherwise; and 120 in whole equal lines with a blank one."""
+    rng = random.Random(51)
+    part, lines = prose(rng, 80), "\n".join(prose(rng, 92) for _ in range(10))
+    both = prose(rng, 60) + "\n \n" + prose(rng, 60)
+    rows = [(doc, f"{prose(rng, 80)} a{doc} {part}\n{lines}") for doc in (1, 2)] + [(doc, f"a{doc}\n{both}\nz{doc}") for doc in (3, 4)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.kind == "paragraph" for r in got) == 24
+    inside = {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in got if r.kind == "passage"}
+    assert inside == {doc: part + "\n" + lines for doc in (1, 2)}
