@@ -153,6 +153,11 @@ def jaccard_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT)
     while another is there. Extra columns are ignored; an empty table gives no
     rows. Sets are named by 128 bits, n-grams by 64 bits.
     """
+    return _joined(documents, gram, percent).drop("component")
+
+
+def _joined(documents: DataFrame, gram: int, percent: int) -> DataFrame:
+    """jaccard_join with `component`, which names the component whatever its doc_ids; NULL for rows without words."""
     ship(documents.sparkSession)
     documents = documents.select("doc_id", "text")
     rows = stored(describe(documents, gram), "jaccard-rows")
@@ -166,7 +171,7 @@ def jaccard_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT)
     grouped = classes.join(found.withColumnRenamed("node", "c"), "c", "left")
     known = stored(grouped.withColumn("component", F.coalesce("component", "c")), "jaccard-classes")
     least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = known.join(least, "component").select("c", "c2", "class_id", "class_size", "component_id")
+    named = known.join(least, "component").select("c", "c2", "class_id", "class_size", "component_id", "component")
     out = rows.join(named, ["c", "c2"], "left")
     own = F.col("doc_id")
     return out.select(
@@ -176,6 +181,7 @@ def jaccard_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT)
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(own).alias("class_id"),
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own).alias("component_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        "component",
     )
 
 
@@ -185,8 +191,8 @@ def keep_one_per_component(documents: DataFrame, gram: int = GRAM, percent: int
     The row with the component's smallest doc_id stays; where several rows have
     it, one of them. Rows without words are linked with nothing and all stay.
     """
-    joined = jaccard_join(documents, gram, percent).where("n_shingles > 0")
-    least = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m"))
+    joined = _joined(documents, gram, percent).where("n_shingles > 0")
+    least = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m"))
     stay = least.select(F.col("m.row_key").alias("_row_key"))
     keyed = documents.withColumn("_row_key", row_key())
     worded = F.coalesce(F.col("text").rlike(W.WORD), F.lit(False))

@@ -46,6 +46,14 @@ def test_one_row_per_component_stays(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [rows[0], *rows[3:]]))
 
 
+def test_components_are_not_told_apart_by_doc_id(spark):
+    a, b, c, d = ("one two three four five six", "un deux trois quatre cinq six", "uno dos tres cuatro cinco seis", "ein zwei drei vier elf sechs")
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (4, d)]
+    docs, _ = run(spark, rows)
+    kept = jaccard.keep_one_per_component(docs).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(None, a), (None, b), (3, c), (3, d)]))
+
+
 def test_empty_table(spark):
     docs, joined = run(spark, [])
     assert joined.count() == 0 and jaccard.keep_one_per_component(docs).count() == 0
