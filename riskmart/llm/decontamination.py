@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
 A window of a document has as many words as a benchmark item. It can only be
-similar to the item if the two share a shingle, so windows are laid where a
-shared shingle puts the item's first word. Windows and
+similar to the item if the two share shingles, so windows are laid where a
+shared shingle puts the item's first word, and, for an item whose parts stand in another order,
+wherever a window holds enough of its shingles. Windows and
 items get 64-bit SimHashes. Fingerprints are cut into RADIUS + 1 blocks: two that differ in
 at most RADIUS bits agree in a whole block, so equal blocks give all
 fingerprints within the radius. Candidates are verified by their bags of
@@ -14,7 +15,7 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.llm.tables import stored
@@ -80,8 +81,28 @@ def blocks_of(fp: str) -> Column:
     return F.explode(F.expr(f"array({', '.join(parts)})"))
 
 
-def windows(documents: DataFrame, items: DataFrame, short: list[int], shingles: int) -> DataFrame:
-    """(row_key, doc_id, start, n_words, bag, fp): item-sized windows around shared shingles.
+def reordered(keyed: DataFrame, items: DataFrame, percent: int, shingles: int) -> DataFrame:
+    """(row_key, start, n_words): all item-sized windows with enough shingles of one item, in whatever order.
+
+    Similarity needs percent of the item's shingles. How many stand in a window changes by
+    one where a shared shingle comes in or leaves, so the starts between two changes are counted once.
+    """
+    shared = items.where(F.col("n_words") >= GRAM).select("item_id", "n_words", F.size("bag").alias("m"), F.explode(F.array_distinct("bag")).alias("h"))
+    if shingles <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    runs = keyed.select("row_key", F.posexplode(grams_of(GRAM)).alias("pos", "h"))
+    key = ["row_key", "item_id", "n_words", "m"]
+    held = runs.join(shared, "h").groupBy(*key).agg(F.collect_list("pos").alias("at")).where(F.expr(f"100 * size(at) >= {percent} * m"))
+    step = f"explode(array(named_struct('start', pos - n_words + {GRAM}, 'd', 1), named_struct('start', pos + 1, 'd', -1))) as e"
+    steps = held.select(*key, F.explode("at").alias("pos")).selectExpr(*key, step).groupBy(*key, "e.start").agg(F.sum("e.d").alias("d"))
+    order = Window.partitionBy(*key).orderBy("start")
+    counted = steps.withColumn("count", F.sum("d").over(order)).withColumn("next", F.lead("start").over(order))
+    enough = counted.where(F.expr(f"100 * count >= {percent} * m"))
+    return enough.select("row_key", F.explode(F.expr("sequence(start, next - 1)")).alias("start"), "n_words")
+
+
+def windows(documents: DataFrame, items: DataFrame, short: list[int], shingles: int, percent: int = PERCENT) -> DataFrame:
+    """(row_key, doc_id, start, n_words, aligned, bag, fp): item-sized windows around shared shingles.
 
     A window is cut at the ends of its document.
     """
@@ -95,15 +116,16 @@ def windows(documents: DataFrame, items: DataFrame, short: list[int], shingles:
         same = F.col("n_words") >= GRAM if size == GRAM else F.col("n_words") == size
         hits = runs.join(anchors.where(same), "h").select("row_key", (F.col("pos") - F.col("offset")).alias("start"), "n_words")
         met = hits if met is None else met.unionByName(hits)
+    met = met.withColumn("aligned", F.lit(True)).unionByName(reordered(keyed, items, percent, shingles).withColumn("aligned", F.lit(False)))
     # Bounded by one document's words and the items' lengths.
-    places = met.groupBy("row_key").agg(F.collect_set(F.struct("start", "n_words")).alias("places"))
+    places = met.groupBy("row_key").agg(F.collect_set(F.struct("start", "n_words", "aligned")).alias("places"))
     inside = keyed.join(places, "row_key").select("row_key", "doc_id", "places", "w", grams_of(GRAM).alias("g"))
     first, last = "greatest(p.start, 0)", "least(p.start + p.n_words, size(w))"
     bag = f"when p.n_words >= {GRAM} and {last} - {first} >= {GRAM} then slice(g, {first} + 1, {last} - {first} - {GRAM - 1})"
     for size in short:
         run = ", ".join(f"w[{first} + {k}]" for k in range(size))
         bag += f" when p.n_words = {size} and {last} - {first} = {size} then array(xxhash64({run}))"
-    cut = f"transform(places, p -> named_struct('start', {first}, 'n_words', p.n_words, 'bag', case {bag} end))"
+    cut = f"transform(places, p -> named_struct('start', {first}, 'n_words', p.n_words, 'aligned', p.aligned, 'bag', case {bag} end))"
     each = inside.select("row_key", "doc_id", F.explode(F.expr(cut)).alias("p")).select("row_key", "doc_id", "p.*")
     return each.where("bag is not null").withColumn("fp", simhash("bag"))
 
@@ -130,18 +152,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = PERC
     lower-cased and split at ASCII white space, other columns are ignored. Columns: row_key,
     doc_id, item_id, start (first word of the window), n_words, distance
     (bits), similarity. NULL and empty texts contain nothing and are contained
-    nowhere. Of equally similar windows the first counts. Items of fewer than five
+    nowhere. Windows in which a shared shingle has its place of the item go before others; of equally similar windows the first counts. Items of fewer than five
     words are looked for as a whole. Rows that repeat doc_id and text give one
     result, NULL doc_ids are searched too. Empty tables give no rows.
     """
     items, short, shingles = benchmark_items(benchmark)
     items = stored(items, "benchmark-items", compact=True)
-    laid = stored(windows(documents, items, short, shingles), "windows", compact=True)
+    laid = stored(windows(documents, items, short, shingles, percent), "windows", compact=True)
     near = within_radius(laid.select("n_words", "fp").distinct(), items)
     pairs = laid.join(near, ["n_words", "fp"]).join(items.select("item_id", F.col("bag").alias("ibag")), "item_id")
     scored = pairs.withColumn("both", _overlap("bag", "ibag")).withColumn("all", F.expr("size(bag) + size(ibag) - both"))
     found = scored.where(F.expr(f"100 * both >= {percent} * all")).withColumn("similarity", F.col("both") / F.col("all"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), "n_words")).alias("b")
+    best = F.max(F.struct("aligned", "similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), "n_words")).alias("b")
     return found.groupBy("row_key", "doc_id", "item_id").agg(best).select(
         "row_key",
         "doc_id",

@@ -27,6 +27,17 @@ def test_every_similar_window_is_found(spark):
     assert sorted(map(repr, (r.doc_id for r in clean.collect()))) == sorted(repr(d) for d, _ in rows if d not in bad)
 
 
+def test_an_item_with_its_parts_in_another_order_is_found(spark):
+    rng = random.Random(12)
+    x, y, z = (prose(rng, 30) for _ in range(3))
+    rows = [(1, f"{prose(rng, 40)} {y} {x} {prose(rng, 40)}"), (2, f"{prose(rng, 9)} {x} {y} {prose(rng, 9)}"), (3, f"{y} {prose(rng, 30)} {x}"), (4, f"{y} {x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, f"{x} {y}"), (8, f"{z} {prose(rng, 20)}")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 9)) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 7): (40, round(52 / 60, 9)), (2, 7): (9, 1.0), (4, 7): (0, round(52 / 60, 9))}
+    assert [r.doc_id for r in without_benchmark(docs, bench).collect()] == [3]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
