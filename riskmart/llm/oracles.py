@@ -151,7 +151,91 @@ SELECT page_id, j.host, path, rule,
 FROM j LEFT JOIN masses ON j.host = masses.host
 """
 
+_SPACE = r"\x20\x09-\x0D"
+
+
+def _edit(state: str, cost: str, initial: str) -> str:
+    """A state is its cost in nine digits and its audit, so the least string is the cheapest and then the ASCII-least."""
+    return f"lpad((substr({state}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{initial}'"
+
+
+_U = ("s0", "s1", "s3")
+_ARRIVED = f"""
+    {_edit("s0", "2", "D")} AS a0,
+    least({_edit("s1", "2", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_edit("s0", "pen", "K")} END) AS a1,
+    least({_edit("s2", "2", "D")},
+      CASE WHEN NOT gone AND initial = 'u' THEN least({", ".join(_edit(s, "pen", "K") for s in _U)}) END,
+      CASE WHEN NOT gone THEN least({", ".join(_edit(s, "pen + 1", "R") for s in _U)}) END) AS a2,
+    least({_edit("s3", "2", "D")},
+      CASE WHEN NOT gone AND initial = 'a' THEN {_edit("s2", "pen", "K")} END,
+      CASE WHEN NOT gone THEN {_edit("s2", "pen + 1", "R")} END) AS a3"""
+_INSERTED = f"least(a2, {_edit('a0', '5', 'I')}, {_edit('a1', '5', 'I')}, {_edit('a3', '5', 'I')})"
+
+# crc32 bit by bit; the repair row by row over four states; roles of the repaired turns alternate behind a kept system turn.
+OP11 = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), c AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1),
+      lambda i: [ascii(substr(k, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 20 AS fault
+  FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+    regexp_matches(text, '[^{_SPACE}]') AS body,
+    regexp_extract(text, '([^{_SPACE}])[{_SPACE}]*$', 1) AS final
+  FROM p
+), f AS (
+  SELECT *, NOT body AS blank, body AND seen > 1 AS duplicate, NOT body OR seen > 1 AS gone,
+    body AND seen = 1 AND final NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
+    CASE WHEN body AND seen = 1 AND final NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS pen
+  FROM n
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM f GROUP BY conv_id
+), r AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, '000000005I' AS s2, '000000010II' AS s3 FROM g
+  UNION ALL
+  SELECT conv_id, i, a0, a1, {_INSERTED}, least(a3, {_edit(f"({_INSERTED})", "5", "I")}) FROM (
+    SELECT r.conv_id, f.i, {_ARRIVED}
+    FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1)
+), b AS (
+  SELECT g.*, least(s0, s3) AS s FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.rows
+), e AS (
+  SELECT conv_id, substr(s, 10) AS audit, unnest(range(1, length(s) - 8)) AS p FROM b
+), t AS (
+  SELECT e.conv_id, p, audit[p] AS edit, length(replace(audit[1:p], 'I', '')) AS i, length(replace(audit[1:p], 'D', '')) AS q FROM e
+), o AS (
+  SELECT t.conv_id, p, q, edit, f.role, f.text,
+    max(CASE WHEN q = 1 AND edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS led
+  FROM t LEFT JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.i = f.i WHERE edit <> 'D'
+), h AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (q - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+  FROM o GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(substr(s, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(s, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN b ON i.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN h ON i.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
 ORACLES = {
+    "op11_conversation_repair": OP11,
     "op7_chat_formatting": OP7,
     "op1_benchmark_decontamination": OP1,
     "op3_url_filters": OP3,

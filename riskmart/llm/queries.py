@@ -12,6 +12,7 @@ from riskmart.llm.jaccard import jaccard_join
 from riskmart.llm.mixing import mix
 from riskmart.llm.paragraphs import repeated_passages
 from riskmart.llm.quality import fit_forest, judge
+from riskmart.llm.repair import audited, damaged
 from riskmart.llm.secrets import listing, secret_spans
 from riskmart.llm.tables import stored
 from riskmart.llm.tokencounts import token_counts
@@ -86,6 +87,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule: its faults, the cheapest edits that repair it, and the digest of the repaired turns."""
+    return audited(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,5 +105,6 @@ QUERIES = {
         op8_source_mixing,
         op9_quality_rules,
         op10_substring_dedup,
+        op11_conversation_repair,
     )
 }
