@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskmart.llm.chat import formatted, read_back
 from riskmart.llm.decontamination import contaminated
 from riskmart.llm.jaccard import jaccard_join
+from riskmart.llm.languages import fit, identified, read_pieces
 from riskmart.llm.mixing import mix
 from riskmart.llm.paragraphs import repeated_passages
 from riskmart.llm.quality import fit_forest, judge
@@ -92,6 +93,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(damaged(table(spark, sf_dir, "conversations")))
 
 
+#: Documents with this remainder of crc32(doc_id) are not learned from.
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by its text; languages are learned from the documents that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    learned = documents.where("crc32(cast(doc_id as string)) % 4 <> 2").select("text", "lang")
+    model = fit(learned, read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    found = identified(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,5 +120,6 @@ QUERIES = {
         op9_quality_rules,
         op10_substring_dedup,
         op11_conversation_repair,
+        op12_language_id,
     )
 }
