@@ -11,6 +11,7 @@ from riskmart.llm.decontamination import contaminated
 from riskmart.llm.jaccard import jaccard_join
 from riskmart.llm.languages import fit, identified, read_pieces
 from riskmart.llm.mixing import mix
+from riskmart.llm.negatives import hard_negatives
 from riskmart.llm.paragraphs import repeated_passages
 from riskmart.llm.quality import fit_forest, judge
 from riskmart.llm.repair import audited, damaged
@@ -106,6 +107,19 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's positives with their hard negatives, over vectors in steps of 1/256."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").where(F.coalesce(finite, F.lit(False))).select(
+        "vec_id",
+        label.alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
+        (F.col("vec_id") % 100 == 0).alias("anchor"),
+    )
+    return hard_negatives(rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,5 +135,6 @@ QUERIES = {
         op10_substring_dedup,
         op11_conversation_repair,
         op12_language_id,
+        op13_hard_negatives,
     )
 }
