@@ -312,7 +312,7 @@ def meeting(packs: DataFrame, blocks: DataFrame, sectors: Sectors, windows) -> D
 
     spread = packs.mapInArrow(sent, f"sector long, part long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in packs.schema)}")
     named = blocks.select("sector", "part", "block", *[F.col(c).alias(f"b_{c}") for c in _PACK_NAMES])
-    return spread.join(named, ["sector", "part"]).select("block", *extra, *_PACK_NAMES, *[f"b_{c}" for c in _PACK_NAMES])
+    return spread.join(named.hint("merge"), ["sector", "part"]).select("block", *extra, *_PACK_NAMES, *[f"b_{c}" for c in _PACK_NAMES])
 
 
 def both_sides(row: dict) -> tuple[Rows, Rows]:
