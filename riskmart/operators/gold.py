@@ -104,19 +104,16 @@ def feature_store(
 ) -> DataFrame:
     """Loans at month on book with everything known about the customer.
 
-    Three left joins, repeated customers included. The per-customer tables are first
-    cut to the customers of these loans: a customer without a loan costs
-    nothing however many rows it has, and what is left is broadcast where it is measured
-    to be small. With `spread`, keys that hold very many rows of a right side are dealt out over
-    buckets by their counts (see spread_left_join); without it only hot keys of the loans
-    are split, by the runtime planner.
+    Three left joins, repeated customers included; each table is read once, and what
+    is measured to be small at run time is broadcast. With `spread`, keys that hold very many
+    rows of a right side are dealt out over buckets (see spread_left_join); without it
+    only hot keys of the loans are split, by the runtime planner.
     """
     keys = [CUSTOMER, SNAPSHOT]
-    customers = loan_features.select(CUSTOMER).where(F.col(CUSTOMER).isNotNull()).distinct()
     joined = loan_features
     for right, on in (
-        (financial_features.join(customers, CUSTOMER, "left_semi"), [CUSTOMER]),
-        (attribute_features.join(customers, CUSTOMER, "left_semi"), [CUSTOMER]),
+        (financial_features, [CUSTOMER]),
+        (attribute_features, [CUSTOMER]),
         (click_features, keys),
     ):
         joined = spread_left_join(joined, right, on) if spread else joined.join(right, on, "left")

@@ -15,9 +15,11 @@ THRESHOLD = 0.5
 AUC_CRITICAL = 0.70
 AUC_WARNING = 0.75
 
-# The score's fraction is read 16 bits at a time.
-DIGIT = 65536.0
-DIGITS = 2
+# A score's bits are read 16 at a time.
+DIGIT_BITS = 16
+LEVELS = 4
+# Fixed values of the double format: bits of the fraction, least and largest exponent.
+FRACTION_BITS, LEAST_EXPONENT, LARGEST_EXPONENT = 52, -1022, 1023
 
 
 def binary_prediction(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -65,38 +67,48 @@ def f1_by_group(
     return counts.where(F.col("low") != F.col("high")).select(*by, f1.alias("f1"))
 
 
-def _squash(score: Column) -> Column:
-    """Order-keeping map of any double into [0, 1]; only used to form balanced groups."""
-    finite = F.greatest(F.least(score, F.lit(1e308)), F.lit(-1e308))
-    return 0.5 + 0.5 * finite / (1 + F.abs(finite))
+def ordered_bits(score: Column) -> Column:
+    """The bits of a double as a whole number that grows with it; equal numbers, 0 and -0 included, have one.
 
+    Exponent and fraction are taken apart by powers of two, which is exact. The
+    logarithm only guesses the exponent; the comparisons settle it.
+    """
+    size = F.abs(score)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(LARGEST_EXPONENT)), F.lit(LEAST_EXPONENT)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e)
+    exponent = (
+        F.when(power(guess) > size, F.greatest(guess - 1, F.lit(LEAST_EXPONENT)))
+        .when(size / 2 >= power(guess), guess + 1)
+        .otherwise(guess)
+    )
+    fraction = (size / power(exponent) * 2.0**FRACTION_BITS).cast("bigint")
+    bits = (exponent - LEAST_EXPONENT).cast("bigint") * (1 << FRACTION_BITS) + fraction
+    largest = (LARGEST_EXPONENT - LEAST_EXPONENT + 2) * (1 << FRACTION_BITS)
+    whole = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(largest)).otherwise(bits)
+    return F.when(score < 0, -whole).otherwise(whole)
 
-def _levels(score: Column) -> Column:
+
+def _levels(bits: Column) -> Column:
     """Where a score stands at each level: (level, group so far, position in the group).
 
-    Level k groups scores that agree in their first k digits and orders them by
-    the next digit; the last level orders what agrees in all digits by the score
-    itself. Two different scores part at exactly one level.
+    Level k groups scores whose bits agree before digit k and orders them by that
+    digit. Two different scores part at exactly one level, and the last digit ends them,
+    so no group has more positions than a digit has values.
     """
-    unit = F.least(_squash(score), F.lit(1.0 - 2.0**-53))
     levels = []
-    for k in range(DIGITS):
-        group = F.floor(unit * DIGIT**k)
-        digit = F.floor(unit * DIGIT ** (k + 1)) - group * int(DIGIT)
-        levels.append((k, group, digit.cast("double")))
-    levels.append((DIGITS, F.floor(unit * DIGIT**DIGITS), score))
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("level"), g.alias("grp"), p.alias("pos"))
-            for k, g, p in levels
-        ]
-    )
+    for k in range(LEVELS):
+        after = DIGIT_BITS * (LEVELS - 1 - k)
+        head = F.shiftright(bits, after)
+        group = F.shiftright(head, DIGIT_BITS) if k else F.lit(0).cast("bigint")
+        position = head.bitwiseAND((1 << DIGIT_BITS) - 1) if k else head
+        levels.append(F.struct(F.lit(k).alias("level"), group.alias("grp"), position.cast("int").alias("pos")))
+    return F.array(*levels)
 
 
-def _pair_sums(
-    df: DataFrame, by: Sequence[str], score: str, label: str, threshold: float
+def level_cells(
+    df: DataFrame, by: Sequence[str], score: str = "model_predictions", label: str = "label"
 ) -> DataFrame:
-    """Won pairs and class counts per group, from one pass over the scored rows."""
+    """(by..., level, grp, pos, p, n): positives and negatives at every position of every level."""
     bad = F.col(label) == 1
     value = F.col(score).cast("double")
     distinct = (
@@ -105,18 +117,27 @@ def _pair_sums(
         .groupBy(*by, "score")
         .agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
     )
-    cells = (
-        distinct.select(*by, "p", "n", F.inline(_levels(F.col("score"))))
+    return (
+        distinct.select(*by, "p", "n", ordered_bits(F.col("score")).alias("bits"))
+        .select(*by, "p", "n", F.inline(_levels(F.col("bits"))))
         .groupBy(*by, "level", "grp", "pos")
         .agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     )
+
+
+def _pair_sums(
+    df: DataFrame, by: Sequence[str], score: str, label: str, threshold: float
+) -> DataFrame:
+    """Won pairs and class counts per group, from one pass over the scored rows."""
+    cells = level_cells(df, by, score, label)
     below = (
         Window.partitionBy(*by, "level", "grp")
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    leaf = F.col("level") == DIGITS
-    chosen = leaf & (F.col("pos") > threshold)
+    leaf = F.col("level") == LEVELS - 1
+    bits = F.col("grp") * (1 << DIGIT_BITS) + F.col("pos")
+    chosen = leaf & (bits > ordered_bits(F.lit(float(threshold))))
     tied = F.when(leaf, F.col("n") / 2).otherwise(F.lit(0.0))
     return (
         cells.withColumn("n_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
@@ -146,9 +167,9 @@ def auc_by_group(
 
     The area is the share of (bad, good) pairs with the bad scored higher, ties
     counting half. Scores are first counted per distinct value. Every pair of
-    different scores is then counted at the one level where the two part. A
-    running total spans at most 65,536 positions, and on the last level only
-    scores that agree in their first 32 bits, however many scores a group has.
+    different scores is then counted at the one level where the two part: level k
+    compares the k-th 16 bits of scores that agree before. A running total spans
+    at most 65,536 positions, whatever the scores are.
     Rows without score or label take no part.
     """
     return _pair_sums(df, list(by), score, label, THRESHOLD).select(

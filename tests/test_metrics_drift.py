@@ -75,6 +75,35 @@ def test_auc_of_extreme_scores_and_gaps(spark):
     )
 
 
+def test_bits_order_as_doubles_do(spark):
+    import random
+    import struct
+
+    rng = random.Random(5)
+    values = [struct.unpack("<d", rng.getrandbits(64).to_bytes(8, "little"))[0] for _ in range(3000)]
+    values += [s * 2.0**e * f for e in range(-1074, 1024) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52) for s in (1, -1)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    values = [v for v in values if v == v]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", metrics.ordered_bits(F.col("v")).alias("b")).collect()
+    for row in got:
+        bits = struct.unpack("<q", struct.pack("<d", abs(row["v"])))[0]
+        assert row["b"] == (-bits if row["v"] < 0 else bits)
+
+
+@pytest.mark.parametrize("score", ["1e-5 + cast(id as double) * 1e-18", "1e300 * (1 + cast(id as double) * 2.3e-16)"])
+def test_close_scores_never_stand_in_one_window(spark, score):
+    rows = spark.range(1_000_000).selectExpr("1 as g", f"{score} as model_predictions", "cast(id % 3 = 0 as int) as label")
+    cells = metrics.level_cells(rows, ["g"])
+    assert cells.groupBy("level", "grp").count().agg(F.max("count")).first()[0] <= 65_536
+    distinct = rows.select("model_predictions").distinct().count()
+    assert distinct > 900_000
+    if distinct == 1_000_000:
+        # Every third score is bad: of the good ones about as many stand below as above.
+        below = sum(i - (i + 2) // 3 for i in range(0, 1_000_000, 3))
+        good = 1_000_000 - 333_334
+        assert metrics.auc_by_group(rows, ["g"]).first()["auc"] == pytest.approx(below / (333_334 * good), abs=1e-12)
+
+
 def test_auc_matches_the_ml_evaluator(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 

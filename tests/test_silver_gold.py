@@ -271,8 +271,8 @@ def test_dealt_keys_keep_every_row_and_copy(spark):
     left = left.union(spark.createDataFrame([(None, 99)], "k string, id bigint"))
     hot_rows = spark.range(900).selectExpr("'1' as k", "cast(7 as bigint) as v")
     right = hot_rows.union(spark.createDataFrame([("2", 5), (None, 6)], "k string, v bigint"))
-    buckets = {r["k"]: r["__buckets"] for r in joins.key_buckets(right, ["k"], 60).collect()}
-    assert buckets == {"1": 15, "2": 1}
+    buckets = {r["k"]: r["__buckets"] for r in joins.hot_keys(right, ["k"], 60).collect()}
+    assert buckets == {"1": 15}
     plain = left.join(right, "k", "left")
     for rows in (1, 60, 100_000):
         spread = joins.spread_left_join(left, right, ["k"], rows)
@@ -280,6 +280,35 @@ def test_dealt_keys_keep_every_row_and_copy(spark):
         assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
 
 
+def test_dealing_survives_a_retry(spark):
+    """A lost task may find its rows in another order: buckets follow from rows, not from places."""
+    rows = spark.range(4000).selectExpr("cast(id % 3 as string) as k", "id % 700 as v", "cast(id % 7 as double) as w")
+    one = rows.repartition(7, "v")
+    other = rows.orderBy(F.col("v").desc()).repartition(3)
+    hot = joins.hot_keys(one, ["k"], 100)
+    assert hot.count() == 3
+    first, second = (joins.dealt(r, hot, ["k"]) for r in (one, other))
+    assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
+    assert first.drop("__bucket").exceptAll(rows).isEmpty() and first.count() == 4000
+    sizes = [r["count"] for r in first.groupBy("k", "__bucket").count().collect()]
+    assert len(sizes) == 3 * 14 and max(sizes) < 250
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    rows = spark.range(1000).selectExpr("'a' as k", "1 as v")
+    hot = joins.hot_keys(rows, ["k"], 100)
+    assert {r["count"] for r in joins.dealt(rows, hot, ["k"]).groupBy("__bucket").count().collect()} == {100}
+
+
+def test_keys_beyond_the_hottest_join_all_the_same(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    left = spark.range(12).selectExpr("id % 6 as k", "id")
+    right = spark.range(600).selectExpr("id % 5 as k", "id as v")
+    assert joins.hot_keys(right, ["k"], 10).count() == 2
+    spread, plain = joins.spread_left_join(left, right, ["k"], 10), left.join(right, "k", "left")
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+
 def test_a_customer_without_a_loan_builds_no_pairs(spark):
     day = dt.date(2023, 7, 1)
     loans = spark.createDataFrame([("l1", "A", day)], "loan_id string, Customer_ID string, snapshot_date date")
