@@ -1,104 +1,132 @@
 """Exact quantiles of many columns without sorting or collecting their values.
 
-Each round counts, per column and interval of interest, how many values fall in
-each of a few thousand equal cells, and keeps only the cells that hold a wanted
-rank together with the smallest and largest value seen in them. A round is one
-scan with map-side counting; what is shuffled and what reaches the driver
-depends on the number of columns and ranks only. Cells with few rows are
-resolved value by value, so even a value that makes up a third of a column, or
-an outlier that stretches its range, only costs another round.
+One aggregate gives row counts, ends and a KLL sketch of every column. The sketch
+brackets each wanted rank by two values. A counting scan then counts,
+per bracket, the values below it and those in each of a few thousand equal cells of it, or every
+value of a small one, inside each task over whole batches. Rows are never unfolded or joined; what is
+shuffled and what reaches the driver depends on the number of columns and
+ranks only. Small brackets are settled by that one scan. Of a larger one the cell that holds the rank is
+counted again, and so is the whole range where a sketch was wrong.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CELLS = 4096
 SMALL = 65536
+SKETCH_SIZE = 4096
+#: A sketched rank is off by more than this share of the rows only by bad luck, which costs another scan.
+SKETCH_ERROR = 2.5 / SKETCH_SIZE**0.9
+LARGEST = sys.float_info.max
 
 
-def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, value) rows with the values as doubles."""
-    values = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    return df.select(*keep, *values).unpivot(list(keep), list(columns), "feature", "value")
+@dataclass(frozen=True)
+class Interval:
+    """Values from low to high of a column, about `size` of them, and the zero-based ranks wanted there."""
 
+    column: str
+    low: float
+    high: float
+    size: int
+    wanted: tuple[int, ...]
 
-def _cell(value: Column) -> Column:
-    """Cell of a value inside [low, high]; a small interval uses the value itself."""
-    # Halves: the distance of two finite numbers may be too large for a double.
-    width = F.col("high") / 2 - F.col("low") / 2
-    zoomed = F.floor((value / 2 - F.col("low") / 2) / width * CELLS).cast("double")
-    return (
-        F.when(width == 0, value)
-        .when(F.col("size") <= SMALL, value)
-        .otherwise(F.least(zoomed, F.lit(float(CELLS - 1))))
-    )
 
+def cell_counts(df: DataFrame, intervals: Sequence[Interval]) -> DataFrame:
+    """(interval, cell, n, cell_low, cell_high) of all intervals in one scan; cell -inf counts the values below.
 
-def order_statistics(
-    df: DataFrame, ranks: dict[str, Sequence[int]], bounds: dict[str, tuple[float, float, int]]
-) -> dict[tuple[str, int], float]:
-    """The values at zero-based ranks per column; bounds give (min, max, row count)."""
-    spark = df.sparkSession
+    A task gives at most CELLS cells or the distinct values of a small interval.
+    """
+    cells, small = CELLS, SMALL
+    columns = sorted({i.column for i in intervals})
+    plan = [(columns.index(i.column), i.low, i.high, i.size <= small) for i in intervals]
+    names = ["interval", "cell", "n", "cell_low", "cell_high"]
+
+    def place(values: np.ndarray, low: float, high: float, single: bool) -> np.ndarray:
+        width = high / 2 - low / 2  # halves: the distance of two finite numbers may be too large for a double
+        if single or width == 0:
+            return values
+        return np.minimum(np.floor((values / 2 - low / 2) / width * cells), cells - 1.0)
+
+    def merged(held: list[tuple]) -> tuple:
+        cell, n, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(cell, kind="stable")
+        cell, n, low, high = cell[order], n[order], low[order], high[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
+        if not len(first):
+            return cell, n, low, high
+        return cell[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = [0] * len(plan)
+        found: list[list[tuple]] = [[] for _ in plan]
+        for batch in batches:
+            for c in range(len(columns)):
+                values = batch.column(c).drop_null().to_numpy()
+                values = np.sort(values[np.isfinite(values)]) + 0.0  # -0 is 0
+                for i, (at, low, high, single) in enumerate(plan):
+                    if at != c:
+                        continue
+                    first, last = np.searchsorted(values, low, "left"), np.searchsorted(values, high, "right")
+                    below[i] += int(first)
+                    inside = values[first:last]
+                    if len(inside):
+                        found[i].append((place(inside, low, high, single), np.ones(len(inside), np.int64), inside, inside))
+                        if len(found[i]) > 8 or len(inside) > cells:
+                            found[i] = [merged(found[i])]
+        for i in range(len(plan)):
+            cell, n, low, high = merged(found[i]) if found[i] else [np.zeros(0)] * 4
+            nothing = np.array([np.nan])
+            columns_out = [np.full(len(cell) + 1, i), np.append(-np.inf, cell), np.append(below[i], n).astype(np.int64), np.append(nothing, low), np.append(nothing, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns_out], names=names)
+
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{k}") for k, c in enumerate(columns)])
+    each = values.mapInArrow(count, "interval long, cell double, n long, cell_low double, cell_high double")
+    return each.groupBy("interval", "cell").agg(F.sum("n").alias("n"), F.min("cell_low").alias("cell_low"), F.max("cell_high").alias("cell_high"))
+
+
+def order_statistics(df: DataFrame, intervals: Sequence[Interval], whole: dict[str, Interval]) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks per column; `whole` has each column's full range for ranks that an interval misses."""
     found: dict[tuple[str, int], float] = {}
-    # An interval: column, low, high, rows inside, rows before it, ranks wanted from it.
-    open_intervals = [
-        (c, *bounds[c][:2], bounds[c][2], 0, sorted(set(ranks[c]))) for c in ranks if ranks[c]
-    ]
-    while open_intervals:
-        pending = []
-        for c, low, high, size, before, wanted in open_intervals:
-            if low == high:
-                found.update({(c, r): low for r in wanted})
-            else:
-                pending.append((c, low, high, size, before, wanted))
-        if not pending:
-            break
-        intervals = spark.createDataFrame(
-            pending,
-            "feature string, low double, high double, size bigint, before bigint, wanted array<bigint>",
-        )
-        values = long_form(df, sorted({p[0] for p in pending}))
-        cells = (
-            values.join(F.broadcast(intervals), "feature")
-            .where(F.col("value").between(F.col("low"), F.col("high")))
-            .select("feature", "low", "value", _cell(F.col("value")).alias("cell"))
-            .groupBy("feature", "low", "cell")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("value").alias("cell_low"),
-                F.max("value").alias("cell_high"),
-            )
-        )
-        # At most CELLS cells or SMALL values per interval, so no window group grows with the data.
-        order = Window.partitionBy("feature", "low").orderBy("cell")
-        hit = (
-            cells.withColumn("upto", F.sum("n").over(order))
-            .join(
-                F.broadcast(intervals.select("feature", "low", "before", "wanted")),
-                ["feature", "low"],
-            )
-            .withColumn("first", F.col("before") + F.col("upto") - F.col("n"))
-            .withColumn(
-                "wanted",
-                F.filter(
-                    "wanted",
-                    lambda r: (r >= F.col("first")) & (r < F.col("before") + F.col("upto")),
-                ),
-            )
-            .where(F.size("wanted") > 0)
+    pending = list(intervals)
+    while pending:
+        # At most CELLS cells or the values of a small interval, so no window group grows with the data.
+        order = Window.partitionBy("interval").orderBy("cell")
+        wanted = [(i, r) for i, x in enumerate(pending) for r in x.wanted]
+        ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "interval long, rank long"))
+        hits = (
+            cell_counts(df, pending)
+            .withColumn("upto", F.sum("n").over(order))
+            .join(ranks, "interval")
+            .where("cell > double('-inf') and rank < upto and rank >= upto - n")
+            .collect()
         )
-        asked = {p[:4] for p in pending}
-        open_intervals = [
-            (r["feature"], r["cell_low"], r["cell_high"], r["n"], r["first"], list(r["wanted"]))
-            for r in hit.collect()
-        ]
-        stuck = asked & {i[:4] for i in open_intervals}
+        missing = set(wanted)
+        following: dict[tuple, list[int]] = {}
+        for hit in hits:
+            interval = pending[hit["interval"]]
+            missing.discard((hit["interval"], hit["rank"]))
+            if hit["cell_low"] == hit["cell_high"]:
+                found[interval.column, hit["rank"]] = hit["cell_low"]
+            else:
+                following.setdefault((interval.column, hit["cell_low"], hit["cell_high"], hit["n"]), []).append(hit["rank"])
+        for i, rank in missing:
+            if pending[i] == whole[pending[i].column] or rank in whole[pending[i].column].wanted:
+                raise ArithmeticError(f"rank {rank} of {pending[i].column} is not there")
+            all_of = whole[pending[i].column]
+            following.setdefault((all_of.column, all_of.low, all_of.high, all_of.size), []).append(rank)
+        before = {(x.column, x.low, x.high) for x in pending}
+        pending = [Interval(*place, tuple(sorted(r))) for place, r in following.items()]
+        stuck = before & {(x.column, x.low, x.high) for x in pending if x.low != x.high}
         if stuck:
             raise ArithmeticError(f"no progress in {sorted(stuck)}")
     return found
@@ -136,40 +164,57 @@ def exact_quantiles(
             for c in columns
         ]
     )
-    finite = clean.select(
-        *[F.when(F.abs(F.col(f"`{c}`")) < math.inf, F.col(f"`{c}`")).alias(c) for c in columns]
-    )
     # Infinite values are counted and left out: they have no place in cells of equal width.
-    row = clean.select(
+    finite = [F.when(F.abs(F.col(f"`{c}`")) < math.inf, F.col(f"`{c}`")) for c in columns]
+    counted = clean.select(
+        *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)], *[f.alias(f"f{i}") for i, f in enumerate(finite)]
+    ).agg(
         *[
-            f(F.col(f"`{c}`")).alias(f"{tag}{i}")
-            for i, c in enumerate(columns)
-            for tag, f in (
-                ("n", F.count),
-                ("less", lambda v: F.count_if(v == -math.inf)),
-                ("more", lambda v: F.count_if(v == math.inf)),
-                ("lo", lambda v: F.min(F.when(F.abs(v) < math.inf, v))),
-                ("hi", lambda v: F.max(F.when(F.abs(v) < math.inf, v))),
+            f(F.col(f"{of}{i}")).alias(f"{tag}{i}")
+            for i in range(len(columns))
+            for tag, of, f in (
+                ("n", "v", F.count),
+                ("less", "v", lambda v: F.count_if(v == -math.inf)),
+                ("more", "v", lambda v: F.count_if(v == math.inf)),
+                ("m", "f", F.count),
+                ("lo", "f", F.min),
+                ("hi", "f", F.max),
+                ("sketch", "v", lambda v: F.kll_sketch_agg_double(F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST)), F.lit(SKETCH_SIZE))),
             )
         ]
-    ).first()
+    )
+
+    def bracket(i: int, side: int):
+        """The sketch's values SKETCH_ERROR and a rank of a large column below or above each probability."""
+        share = side * (SKETCH_ERROR + 1 / SMALL)
+        shares = [F.lit(min(max(p + share, 0.0), 1.0)) for p in probabilities]
+        return F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"sketch{i}"), F.array(*shares)))
+
+    numbers = [f"{tag}{i}" for i in range(len(columns)) for tag in ("n", "less", "more", "m", "lo", "hi")]
+    sides = [bracket(i, side).alias(f"{tag}{i}") for i in range(len(columns)) for tag, side in (("from", -1), ("to", 1))]
+    row = counted.select(*numbers, *sides).first()
     counts = {c: (row[f"n{i}"], row[f"less{i}"], row[f"more{i}"]) for i, c in enumerate(columns)}
-    bounds = {
-        c: (row[f"lo{i}"], row[f"hi{i}"], counts[c][0] - counts[c][1] - counts[c][2])
-        for i, c in enumerate(columns)
-        if row[f"lo{i}"] is not None
-    }
     positions = {c: [p * (n - 1) for p in probabilities] for c, (n, _, _) in counts.items() if n}
-    ranks = {
-        c: [
-            r - counts[c][1]
-            for x in at
-            for r in (math.floor(x), math.ceil(x))
-            if counts[c][1] <= r < counts[c][0] - counts[c][2]
-        ]
-        for c, at in positions.items()
-    }
-    among_finite = order_statistics(finite, {c: r for c, r in ranks.items() if c in bounds}, bounds)
+    intervals: dict[tuple, set[int]] = {}
+    whole = {}
+    for i, c in enumerate(columns):
+        m = row[f"m{i}"]
+        if not m:
+            continue
+        low, high = row[f"lo{i}"] + 0.0, row[f"hi{i}"] + 0.0
+        whole[c] = Interval(c, low, high, m, ())
+        ends = [(k, r) for k, x in enumerate(positions[c]) for r in {math.floor(x), math.ceil(x)}]
+        for k, end in ends:
+            rank, a, b, size = end - counts[c][1], low, high, m
+            if not 0 <= rank < m:
+                continue
+            if m > SMALL:
+                a, b = max(low, row[f"from{i}"][k] + 0.0), min(high, row[f"to{i}"][k] + 0.0)
+                size = min(m, math.ceil(4 * abs(SKETCH_ERROR) * counts[c][0]) + 1)
+                a, b, size = (a, b, size) if a <= b else (low, high, m)
+            intervals.setdefault((c, a, b, size), set()).add(rank)
+    asked = [Interval(*place, tuple(sorted(ranks))) for place, ranks in intervals.items()]
+    among_finite = order_statistics(clean, asked, whole)
 
     def value_at(c: str, rank: int) -> float:
         n, less, more = counts[c]

@@ -312,3 +312,23 @@ def test_a_lost_column_is_not_compared(spark):
     lost = df.drop("b")
     got = drift.psi_by_feature(lost, drift.common_bins(bins, lost)).collect()
     assert [r.feature for r in got] == ["a"]
+
+
+def test_quantiles_take_two_scans(spark, monkeypatch):
+    calls = []
+    plain = quantiles.cell_counts
+    monkeypatch.setattr(quantiles, "cell_counts", lambda df, intervals: calls.append(len(intervals)) or plain(df, intervals))
+    df = spark.range(300_000).selectExpr("cast(id * 7919 % 300007 as double) as x", "cast(id % 5 as double) as y", "if(id % 3 = 0, 1.5, cast(id as double)) as z")
+    probabilities = [i / 10 for i in range(1, 10)]
+    got = quantiles.exact_quantiles(df, ["x", "y", "z"], probabilities)
+    rows = df.toPandas()
+    for c in "xyz":
+        assert got[c] == pytest.approx(list(np.quantile(rows[c], probabilities)))
+    assert len(calls) == 1
+
+
+def test_quantiles_when_the_sketch_is_wrong(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ERROR", -0.02)
+    monkeypatch.setattr(quantiles, "SMALL", 300)
+    df = spark.range(5000).selectExpr("cast(id as double) as x")
+    assert quantiles.exact_quantiles(df, ["x"], [0.1, 0.5])["x"] == pytest.approx([499.9, 2499.5])
