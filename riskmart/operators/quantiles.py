@@ -184,15 +184,12 @@ def exact_quantiles(
         ]
     )
 
-    def bracket(i: int, side: int):
-        """The sketch's values SKETCH_ERROR and a rank of a large column below or above each probability."""
-        share = side * (SKETCH_ERROR + 1 / SMALL)
-        shares = [F.lit(min(max(p + share, 0.0), 1.0)) for p in probabilities]
-        return F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"sketch{i}"), F.array(*shares)))
-
+    share = SKETCH_ERROR + 1 / SMALL  # and a rank of a large column more
+    shares = [min(max(p + side * share, 0.0), 1.0) for side in (-1, 1) for p in probabilities]
+    asked_shares = f"array({', '.join(f'double({x!r})' for x in shares)})"
     numbers = [f"{tag}{i}" for i in range(len(columns)) for tag in ("n", "less", "more", "m", "lo", "hi")]
-    sides = [bracket(i, side).alias(f"{tag}{i}") for i in range(len(columns)) for tag, side in (("from", -1), ("to", 1))]
-    row = counted.select(*numbers, *sides).first()
+    sketched = [f"if(n{i} > {SMALL}, kll_sketch_get_quantile_double(sketch{i}, {asked_shares}), null) as at{i}" for i in range(len(columns))]
+    row = counted.selectExpr(*numbers, *sketched).first()
     counts = {c: (row[f"n{i}"], row[f"less{i}"], row[f"more{i}"]) for i, c in enumerate(columns)}
     positions = {c: [p * (n - 1) for p in probabilities] for c, (n, _, _) in counts.items() if n}
     intervals: dict[tuple, set[int]] = {}
@@ -209,7 +206,8 @@ def exact_quantiles(
             if not 0 <= rank < m:
                 continue
             if m > SMALL:
-                a, b = max(low, row[f"from{i}"][k] + 0.0), min(high, row[f"to{i}"][k] + 0.0)
+                at = row[f"at{i}"]
+                a, b = max(low, at[k] + 0.0), min(high, at[len(probabilities) + k] + 0.0)
                 size = min(m, math.ceil(4 * abs(SKETCH_ERROR) * counts[c][0]) + 1)
                 a, b, size = (a, b, size) if a <= b else (low, high, m)
             intervals.setdefault((c, a, b, size), set()).add(rank)
