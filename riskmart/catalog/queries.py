@@ -32,7 +32,7 @@ from riskmart.sources.schemas import (
     FINANCIAL_CATEGORIES,
     LOAN_TYPES,
 )
-from riskmart.streaming import ingest
+from riskmart.streaming import ingest, readiness
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -513,6 +513,19 @@ def hot_key_left_join(spark, sf_dir):
 # --- labels, splits, scaling -----------------------------------------------
 
 
+@query(
+    "training_left_join",
+    o.with_(*o.STORE, o.LABELS)
+    + "SELECT l.loan_id, l.Customer_ID, CAST(l.snapshot_date AS VARCHAR) AS snapshot_date, "
+    "l.label, f.balance, f.Age, f.Num_of_Loan, f.fe_1 FROM labels_at AS l "
+    "LEFT JOIN store AS f ON l.Customer_ID = f.Customer_ID AND l.snapshot_date = f.snapshot_date",
+)
+def training_left_join(spark, sf_dir):
+    """Every label, with its features where there are any."""
+    joined = splitting.training_set(gold.gold_labels(loans(spark, sf_dir)), _store(spark, sf_dir), complete_only=False)
+    return shown(joined.select("loan_id", "Customer_ID", "snapshot_date", "label", "balance", "Age", "Num_of_Loan", "fe_1"))
+
+
 def _labelled(spark, sf_dir):
     return s.table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -722,6 +735,75 @@ def _flags(spark, sf_dir):
     return perf.unionByName(feat).withColumn("model_name", F.lit("credit_model"))
 
 
+#: Months that are monitored: a plain one, one without a feature, one with one class of labels, one without rows.
+WATCHED = [dt.date(1997, 7, 1), dt.date(1997, 9, 1), dt.date(1997, 10, 1), dt.date(2031, 1, 1)]
+_LOST, _ONE_CLASS = "1997-09-01", "1997-10-01"
+_IN_WATCHED = "snapshot_date IN (" + ", ".join(f"DATE '{d}'" for d in WATCHED) + ")"
+_WATCHED_SCORES = (
+    *o.SCORED[:-1],
+    (
+        "scored",
+        "SELECT Customer_ID, snapshot_date, model_predictions, "
+        f"CASE WHEN snapshot_date = DATE '{_ONE_CLASS}' THEN 0 ELSE label END AS label "
+        f"FROM preds JOIN labels_at USING (Customer_ID, snapshot_date) WHERE {_IN_WATCHED}",
+    ),
+)
+
+
+def _monitored(spark, sf_dir):
+    """A mart of written labels, scores and features, monitored month by month."""
+    mart = Mart(working_folder(spark, "monitored"))
+    rows = loans(spark, sf_dir)
+    day = F.col("snapshot_date")
+    kept = day.isin([*WATCHED, BASELINE])
+    labels = gold.gold_labels(rows).withColumn("label", F.when(day == F.lit(_ONE_CLASS).cast("date"), 0).otherwise(F.col("label")))
+    overwrite_snapshots(labels.where(kept), mart.label_store)
+    scores = s.predictions(spark, sf_dir).where(kept).withColumn("model_name", F.lit("credit_model"))
+    overwrite_snapshots(scores, mart.predictions, ["model_name", "snapshot_date"])
+    features = rows.where(kept).select("Customer_ID", "snapshot_date", *o.DRIFT_FEATURES)
+    lost = day == F.lit(_LOST).cast("date")
+    overwrite_snapshots(features.where(~lost), mart.feature_store)
+    overwrite_snapshots(features.where(lost).drop("balance"), mart.feature_store)
+    for month in WATCHED:
+        monitoring.monitor(spark, mart, "credit_model", month, BASELINE)
+    return mart
+
+
+@query(
+    "performance_written",
+    o.with_(*_WATCHED_SCORES, o.F1, *o.auc())
+    + f"SELECT 'credit_model' AS model_name, {o.day()}, {o.r6('f1')}, {o.r6('auc')}, {_SEVERITY} FROM auc "
+    "JOIN f1 USING (snapshot_date)",
+)
+def performance_written(spark, sf_dir):
+    """The metrics table after four monitored months; one class or no rows leave no metrics."""
+    return shown(read_table(spark, _monitored(spark, sf_dir).performance))
+
+
+@query(
+    "drift_flags_written",
+    o.with_(*o.DRIFT)
+    + f", seen AS (SELECT * FROM psi WHERE {_IN_WATCHED} AND NOT (snapshot_date = DATE '{_LOST}' AND feature = 'balance')), "
+    f"rolled AS ({o.ROLLUP[1].replace('FROM psi', 'FROM seen')}), "
+    f"warned AS ({o.ALERT[1].replace('FROM rollup_', 'FROM rolled')}), "
+    + ", ".join(f"{name} AS ({sql})" for name, sql in (*_WATCHED_SCORES[len(o.LOANS) :], o.F1, *o.auc()))
+    + ", months AS (SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in WATCHED) + "]) AS snapshot_date), "
+    f"known AS (SELECT snapshot_date, 'performance' AS kind, {_SEVERITY}, "
+    "format('area under the curve: {:.3f}', auc) AS detail FROM auc UNION ALL "
+    "SELECT snapshot_date, 'feature', CASE WHEN n_unknown = n_features THEN 'unknown' WHEN alert THEN 'critical' "
+    "WHEN n_critical + n_warning > 0 THEN 'warning' ELSE 'healthy' END, "
+    "format('of {} features {} strongly and {} slightly shifted, {} not comparable', n_features, n_critical, n_warning, n_unknown) "
+    "FROM warned) "
+    f"SELECT {o.day()}, kind, 'credit_model' AS model_name, coalesce(severity, 'unknown') AS severity, detail "
+    "FROM (SELECT snapshot_date, unnest(['performance', 'feature']) AS kind FROM months) AS asked "
+    "LEFT JOIN known USING (snapshot_date, kind)",
+)
+def drift_flags_written(spark, sf_dir):
+    """The flags table after four monitored months; what cannot be computed is unknown."""
+    flags = read_table(spark, _monitored(spark, sf_dir).drift_flags)
+    return shown(flags.select("snapshot_date", "kind", "model_name", "severity", "detail"))
+
+
 @query(
     "retrain_decision",
     o.with_(*o.DRIFT, o.ROLLUP, o.ALERT, *o.SCORED[len(o.LOANS) :], *o.auc())
@@ -881,6 +963,43 @@ def stream_ingest_clicks(spark, sf_dir):
     return shown(got.select("Customer_ID", "snapshot_date", *CLICK_FEATURES))
 
 
+#: Days after a month's first source within which the others are expected.
+SOURCE_DAYS = 14
+_NAMES = ", ".join(f"'{n}'" for n in readiness.SOURCES)
+
+
+@query(
+    "sources_ready",
+    f"WITH arrivals AS ({s.ARRIVALS_SQL}), timed AS (SELECT snapshot_date, k, first_day + CAST(delay AS INTEGER) AS day FROM arrivals), "
+    "months AS (SELECT snapshot_date, min(day) AS first, max(day) AS last, count(*) AS n FROM timed GROUP BY 1), "
+    f"ends AS (SELECT *, first + {SOURCE_DAYS} AS limit_day FROM months), "
+    "short AS (SELECT e.snapshot_date, limit_day, count(t.k) AS arrived, list(t.k) AS ks FROM ends e JOIN timed t "
+    "ON e.snapshot_date = t.snapshot_date AND t.day <= limit_day WHERE n < 4 OR last > limit_day GROUP BY ALL) "
+    "SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, CASE WHEN last > limit_day THEN 'late' ELSE 'ready' END AS status, "
+    "4 AS arrived, '' AS missing, CAST(last AS VARCHAR) AS day FROM ends WHERE n = 4 UNION ALL "
+    "SELECT CAST(snapshot_date AS VARCHAR), 'incomplete', CAST(arrived AS INTEGER), "
+    f"array_to_string(list_filter([{_NAMES}], lambda x, i: NOT list_contains(ks, i - 1)), ','), CAST(limit_day AS VARCHAR) FROM short",
+)
+def sources_ready(spark, sf_dir):
+    """Months whose four sources arrive in a stream, file by file: complete, incomplete at the limit, or late."""
+    readiness.use_state_store(spark)
+    root = working_folder(spark, "arrivals")
+    overwrite_table(s.source_arrivals(spark, sf_dir, list(readiness.SOURCES)), f"{root}/all")
+    held = read_table(spark, f"{root}/all")
+    half = F.lit(held.agg(F.percentile_approx("arrived_at", 0.5)).first()[0])
+    # The stream's clock runs past the last limit once two later arrivals were seen.
+    after = [spark.createDataFrame([("none", dt.date(2100, i, 1), dt.datetime(2100, i, 1))], held.schema) for i in (1, 2)]
+    for part in [held.where(F.col("arrived_at") <= half), held.where(F.col("arrived_at") > half), *after]:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    reader = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1)
+    months = readiness.months_ready(reader.parquet(f"{root}/in"), SOURCE_DAYS)
+    months.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    told = spark.read.schema(readiness.READY_SCHEMA).parquet(f"{root}/out")
+    return told.select(
+        F.col("snapshot_date").cast("string").alias("snapshot_date"), "status", "arrived", "missing", F.to_date("at").cast("string").alias("day")
+    )
+
+
 def _written_loans(spark, sf_dir):
     """Silver loans as a table of snapshots."""
     path = working_folder(spark, "loans")

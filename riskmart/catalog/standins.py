@@ -136,7 +136,7 @@ CLICK_SUMS = [
     for i in range(1, 21)
 ]
 
-# A score that rises with the overdue share, from line items at one month on book.
+# A score that rises with the overdue share, from all line items.
 SCORE = (
     "CAST((l_orderkey * 7919 + l_partkey * 104729) % 400003 AS DOUBLE) / 1000003 "
     "+ l_discount * 5 AS model_predictions"
@@ -153,6 +153,15 @@ DOCUMENT_COLUMNS = [
 ]
 
 
+# Arrivals of a month's four sources, one per line number and month: some come weeks late, some never.
+ARRIVALS_SQL = (
+    "SELECT k, snapshot_date, first_day, months, CASE WHEN k = 3 AND months % 5 = 0 THEN 40 ELSE k * 2 END AS delay FROM ("
+    "SELECT l_linenumber % 4 AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, "
+    "min(CAST(l_shipdate AS DATE)) AS first_day, max(year(l_shipdate) * 12 + month(l_shipdate)) AS months "
+    "FROM lineitem GROUP BY 1, 2) AS grouped WHERE NOT (k = 2 AND months % 7 = 0)"
+)
+
+
 def _select(columns: list[str], source: str) -> str:
     return f"SELECT {', '.join(columns)} FROM {source}"
 
@@ -170,7 +179,7 @@ CLICKS_SQL = (
     )
     + " GROUP BY Customer_ID, snapshot_date"
 )
-PREDICTIONS_SQL = _select(PREDICTION_COLUMNS, f"{LINES} WHERE l_linenumber = 6")
+PREDICTIONS_SQL = _select(PREDICTION_COLUMNS, LINES)
 SCORED_DOCUMENTS_SQL = _select(
     DOCUMENT_COLUMNS, "(SELECT labels.doc_id, quality, n_chars FROM labels "
     "JOIN documents ON labels.doc_id = documents.doc_id) AS joined"
@@ -206,9 +215,23 @@ def clicks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("l_linenumber = 6").selectExpr(*PREDICTION_COLUMNS)
+    return _lines(spark, sf_dir).selectExpr(*PREDICTION_COLUMNS)
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     return joined.selectExpr(*DOCUMENT_COLUMNS)
+
+
+def source_arrivals(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """(source, snapshot_date, arrived_at)."""
+    lines = table(spark, sf_dir, "lineitem")
+    month = F.trunc("l_shipdate", "month").alias("snapshot_date")
+    grouped = lines.groupBy((F.col("l_linenumber") % 4).alias("k"), month).agg(
+        F.min(F.to_date("l_shipdate")).alias("first_day"),
+        F.max(F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("months"),
+    )
+    kept = grouped.where("not (k = 2 and months % 7 = 0)")
+    delay = F.when((F.col("k") == 3) & (F.col("months") % 5 == 0), 40).otherwise(F.col("k") * 2)
+    source = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
+    return kept.select(source.alias("source"), "snapshot_date", F.date_add("first_day", delay).cast("timestamp").alias("arrived_at"))

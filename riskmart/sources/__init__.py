@@ -2,7 +2,6 @@
 
 from riskmart.sources.raw import read_raw
 from riskmart.sources.tables import (
-    existing_days,
     overwrite_snapshots,
     overwrite_table,
     read_merged,
@@ -15,7 +14,6 @@ from riskmart.sources.workspace import ensure_checkpoint_dir, remove_folder, wor
 
 __all__ = [
     "ensure_checkpoint_dir",
-    "existing_days",
     "overwrite_snapshots",
     "overwrite_table",
     "read_merged",

@@ -48,14 +48,6 @@ def read_range(spark: SparkSession, path: str, start: dt.date, end: dt.date) ->
     return found.where(inside)
 
 
-def existing_days(spark: SparkSession, path: str, days: Sequence[dt.date]) -> list[str]:
-    """The folders of those snapshots that a table has."""
-    named = [f"{path}/{SNAPSHOT}={day:%Y-%m-%d}" for day in days]
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [n for n in named if store.exists(spark._jvm.org.apache.hadoop.fs.Path(n))]
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table can be read there."""
     try:
@@ -94,6 +86,11 @@ def _partitions(
     }
 
 
+def folders_of(spark: SparkSession, path: str, by: Sequence[str], inside: Mapping[str, tuple]) -> list[str]:
+    """The partition folders whose values lie in the closed ranges."""
+    return sorted(_partitions(spark, path, by, inside))
+
+
 def _remove(spark: SparkSession, folders: Sequence[str]) -> None:
     for folder in folders:
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,26 +1,31 @@
 """New files of a source -> bronze and silver, each file taken once.
 
-The stream's checkpoint remembers which files were taken. A batch may run
-again after a failure, so its writes replace instead of append: bronze keeps
-the layout of the batch jobs (one partition per snapshot) with the source file's name as a
-column, and a batch replaces the rows of its own files in the snapshots it touches. Silver is derived again from
-all bronze rows of these snapshots. A file that brings late
-rows for an old month therefore adds to that month and never erases it.
+The stream's checkpoint remembers which files were taken. A batch adds files of its own,
+in folders by snapshot and batch, and touches no others, so it costs what its
+own rows cost, whatever the months hold already. A batch may run again after a failure: it replaces
+its own folders, and once its marker stands it is not taken again.
+`compact_months` puts the batches of a month together now and then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.operators.silver import parse_snapshot, silver_loan
-from riskmart.sources import existing_days, overwrite_snapshots, working_folder
+from riskmart.sources import overwrite_snapshots, remove_folder
 from riskmart.sources.schemas import LOAN_RAW_SCHEMA, SNAPSHOT
+from riskmart.sources.tables import folders_of
 
 FILE = "source_file"
+BATCH = "batch"
+MARKERS = "_taken"
+PLAN = "compacting.txt"
 
 
 def ingest_available(
@@ -35,9 +40,9 @@ def ingest_available(
 ) -> None:
     """Take all files not taken before, then stop; call again when new files may be there.
 
-    `schema` and `clean` choose the source: loans by default, clicks with theirs. A file
-    whose header does not name the schema's columns in order stops the stream. A batch
-    names few days and files; both are metadata, as small as the listing that found the files.
+    `schema` and `clean` choose the source: loans by default, clicks with theirs. `clean` works
+    row by row. A file whose header does not name the schema's columns in order stops the
+    stream. Both tables are partitioned by snapshot and batch.
     """
     reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files is not None:
@@ -46,8 +51,9 @@ def ingest_available(
         FILE, F.concat(F.lit("f_"), F.md5(F.col("_metadata.file_path").cast("binary")))
     )
 
-    def take(batch: DataFrame, _: int) -> None:
-        _take_batch(batch, bronze, silver, clean)
+    def take(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        take_batch(batch, f"{stream}-{number:09d}", bronze, silver, clean)
 
     query = (
         arrived.writeStream.foreachBatch(take)
@@ -58,30 +64,75 @@ def ingest_available(
     query.awaitTermination()
 
 
-def _take_batch(
-    batch: DataFrame, bronze: str, silver: str, clean: Callable[[DataFrame], DataFrame]
-) -> None:
-    """One batch; rows without a readable date belong to no snapshot and are left out."""
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def take_batch(
+    batch: DataFrame, name: str, bronze: str, silver: str, clean: Callable[[DataFrame], DataFrame]
+) -> bool:
+    """Add one batch to both tables unless its marker stands; whether it was added.
+
+    Rows without a readable date belong to no snapshot and are left out. `name` is
+    the stream's own id and the batch's number, the same whenever the batch runs.
+    """
     spark = batch.sparkSession
-    columns = batch.columns
-    # Read once: a batch's files are parsed for days and rows alike.
-    dated = parse_snapshot(batch).where(F.col(SNAPSHOT).isNotNull())
-    held = working_folder(spark, "batch")
-    dated.write.parquet(held)
-    dated = spark.read.schema(dated.schema).parquet(held)
-    days = [r[SNAPSHOT] for r in dated.select(SNAPSHOT).distinct().orderBy(SNAPSHOT).collect()]
-    if not days:
-        return
-
-    folders = existing_days(spark, bronze, days)
-    rows = dated
+    marker, store = _file(spark, f"{bronze}/{MARKERS}/{name}")
+    if store.exists(marker):
+        return False
+    dated = parse_snapshot(batch).where(F.col(SNAPSHOT).isNotNull()).withColumn(BATCH, F.lit(name))
+    by = [SNAPSHOT, BATCH]
+    overwrite_snapshots(dated, bronze, by)
+    folders = folders_of(spark, bronze, by, {BATCH: (name, name)})
     if folders:
-        before = spark.read.schema(dated.schema).option("basePath", bronze).parquet(*folders)
-        others = before.join(F.broadcast(dated.select(FILE).distinct()), FILE, "left_anti")
-        rows = others.select(*columns).unionByName(dated.select(*columns))
-    # Partitions are read and replaced in one job, so the new rows stand in a folder of their own first.
-    merged = working_folder(spark, "batch-merged")
-    rows.write.partitionBy(SNAPSHOT).parquet(merged)
-    ready = spark.read.schema(dated.schema).parquet(merged)
-    overwrite_snapshots(ready.select(*columns), bronze)
-    overwrite_snapshots(clean(ready.drop(FILE)), silver)
+        rows = spark.read.schema(dated.schema).option("basePath", bronze).parquet(*folders)
+        cleaned = clean(rows.drop(FILE, BATCH)).withColumn(BATCH, F.lit(name))
+        overwrite_snapshots(cleaned, silver, by)
+    store.create(marker, True).close()
+    return True
+
+
+def compact_months(spark: SparkSession, path: str, start: dt.date, end: dt.date, more_than: int = 1) -> list[str]:
+    """Put the batches of each month of the range into one folder; the months that were rewritten.
+
+    Months of at most `more_than` folders stay. Run it between batches of the stream. A month's
+    rows are first written beside the table, then a plan is noted, the old folders go and
+    the new one takes their place by renaming; a run that broke off is finished first.
+    """
+    finish_compaction(spark, path)
+    by = [SNAPSHOT, BATCH]
+    folders = folders_of(spark, path, by, {SNAPSHOT: (start, end)})
+    months: dict[str, list[str]] = {}
+    for folder in folders:
+        months.setdefault(folder.rsplit("/", 1)[0], []).append(folder)
+    many = {m: f for m, f in months.items() if len(f) > more_than}
+    for month, parts in sorted(many.items()):
+        _replace_folders(spark, path, month, parts)
+    return sorted(many)
+
+
+def _replace_folders(spark: SparkSession, path: str, month: str, parts: Sequence[str]) -> None:
+    name = uuid.uuid4().hex
+    whole = f"{path}/{MARKERS}/month-{name}"
+    spark.read.parquet(*parts).hint("rebalance").write.parquet(whole)
+    plan, store = _file(spark, f"{path}/{MARKERS}/{PLAN}")
+    out = store.create(plan, True)
+    out.write(bytearray("\n".join([f"{month}/{BATCH}=whole-{name}", whole, *parts]).encode()))
+    out.close()
+    finish_compaction(spark, path)
+
+
+def finish_compaction(spark: SparkSession, path: str) -> bool:
+    """Carry out a noted compaction from wherever it stopped; whether there was one."""
+    plan, store = _file(spark, f"{path}/{MARKERS}/{PLAN}")
+    if not store.exists(plan):
+        return False
+    target, whole, *parts = [r.value for r in spark.read.option("pathGlobFilter", PLAN).text(f"{path}/{MARKERS}/{PLAN}").collect()]
+    for part in parts:
+        remove_folder(spark, part)
+    ready, _ = _file(spark, whole)
+    if store.exists(ready):
+        store.rename(ready, _file(spark, target)[0])
+    store.delete(plan, False)
+    return True

@@ -10,6 +10,7 @@ from riskmart.plans import monitoring, scoring, training
 from riskmart.plans.layout import Mart
 from riskmart.sources import read_raw, read_table, table_exists, tables
 from riskmart.sources.schemas import CLICK_FEATURES, LOAN_RAW_SCHEMA, SNAPSHOT
+from riskmart.streaming import ingest
 from riskmart.streaming.ingest import ingest_available
 from tests.helpers import GOOD_FINANCES, as_set, loan_rows, text_rows
 
@@ -258,6 +259,107 @@ def test_stream_takes_each_file_once_and_late_rows_add(spark, tmp_path):
     assert as_set(got.select(*everything.columns)) == as_set(everything)
 
 
+def loan_files(spark, source, name, days, count=3):
+    write_month(spark, source, name, [dict(loan_id=f"{name}{i}", snapshot_date=d) for d in days for i in range(count)])
+
+
+def files_below(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    source, bronze, silver, checkpoint = (str(tmp_path / n) for n in ("in", "bronze", "silver", "checkpoint"))
+    loan_files(spark, source, "a", ["1/1/2023", "1/2/2023"], 4000)
+    ingest_available(spark, source, bronze, silver, checkpoint)
+    before = {p: files_below(p) for p in (bronze, silver)}
+    loan_files(spark, source, "b", ["1/1/2023"], 2)
+    ingest_available(spark, source, bronze, silver, checkpoint)
+    for path, old in before.items():
+        new = files_below(path)
+        assert {f: new[f] for f in old} == old
+        added = sum(os.path.getsize(f) for f in new.keys() - old.keys())
+        assert 0 < added < sum(os.path.getsize(f) for f in old) / 5
+    counts = {str(r[SNAPSHOT]): r["count"] for r in read_table(spark, silver).groupBy(SNAPSHOT).count().collect()}
+    assert counts == {"2023-01-01": 4002, "2023-02-01": 4000}
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    bronze, silver = str(tmp_path / "bronze"), str(tmp_path / "silver")
+    batch = loan_rows(spark, [dict(loan_id=str(i), snapshot_date="1/1/2023") for i in range(5)]).withColumn(ingest.FILE, F.lit("f"))
+    clean = silver_loan
+    with pytest.raises(ZeroDivisionError):  # broken off between bronze and silver
+        ingest.take_batch(batch, "s-1", bronze, silver, lambda df: 1 / 0)
+    assert ingest.take_batch(batch, "s-1", bronze, silver, clean)
+    assert not ingest.take_batch(batch, "s-1", bronze, silver, clean)
+    assert ingest.take_batch(batch.limit(2), "s-2", bronze, silver, clean)
+    assert read_table(spark, bronze).count() == read_table(spark, silver).count() == 7
+    rows = sorted(read_table(spark, silver).drop(ingest.BATCH).collect(), key=repr)
+    day = dt.date(2023, 1, 1)
+    assert len(ingest.compact_months(spark, silver, day, day)) == 1
+    assert ingest.compact_months(spark, silver, day, day) == []
+    assert sorted(read_table(spark, silver).drop(ingest.BATCH).collect(), key=repr) == rows
+    assert len(os.listdir(f"{silver}/{SNAPSHOT}=2023-01-01")) == 1
+    assert not ingest.take_batch(batch, "s-1", bronze, silver, clean)
+    assert ingest.take_batch(batch.limit(1), "s-3", bronze, silver, clean)
+    assert read_table(spark, silver).count() == 8
+
+
+def test_a_broken_compaction_is_finished(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "silver"), dt.date(2023, 1, 1)
+    for i in range(3):
+        one = spark.createDataFrame([(i, day, f"b{i}")], "x int, snapshot_date date, batch string")
+        tables.overwrite_snapshots(one, path, [SNAPSHOT, ingest.BATCH])
+    plain = ingest.remove_folder
+    calls = []
+
+    def breaks(spark, folder):
+        calls.append(folder)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        plain(spark, folder)
+
+    monkeypatch.setattr(ingest, "remove_folder", breaks)
+    with pytest.raises(RuntimeError):
+        ingest.compact_months(spark, path, day, day)
+    assert ingest.finish_compaction(spark, path) and not ingest.finish_compaction(spark, path)
+    assert sorted(r.x for r in read_table(spark, path).collect()) == [0, 1, 2]
+
+
+def test_months_are_ready_with_all_sources(spark, tmp_path):
+    from riskmart.streaming import readiness
+
+    readiness.use_state_store(spark)
+    a, b, c, d = readiness.SOURCES
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    months = [dt.date(2024, m, 1) for m in range(1, 7)]
+    batches = [
+        [(a, months[0], at(0)), (b, months[0], at(1)), (c, months[0], at(2)), (d, months[0], at(3)), (a, months[0], at(3))],
+        [(a, months[1], at(4)), (b, months[1], at(5)), (c, months[1], at(6)), ("other", months[1], at(6)), (None, months[1], at(6))],
+        [(x, months[2], at(7 + i)) for i, x in enumerate((a, b))],
+        [(c, months[2], at(12)), (d, months[2], at(16)), (d, months[1], at(16))],
+        [(a, months[3], at(20)), (b, months[3], at(21)), (c, months[3], at(22)), (d, months[3], at(40)), (a, months[4], at(41))],
+        [(a, months[5], at(60))],
+        [(a, months[5], at(61))],
+    ]
+    schema = "source string, snapshot_date date, arrived_at timestamp"
+    source = str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = readiness.months_ready(stream, 10)
+    out.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(r.snapshot_date, r.status): (r.arrived, r.missing, r.at) for r in read_table(spark, str(tmp_path / "out")).collect()}
+    assert got == {
+        (months[0], "ready"): (4, "", at(3)),
+        (months[1], "incomplete"): (3, d, at(14)),
+        (months[1], "late"): (4, "", at(16)),
+        (months[2], "ready"): (4, "", at(16)),
+        (months[3], "incomplete"): (3, d, at(30)),
+        (months[3], "late"): (4, "", at(40)),
+        (months[4], "incomplete"): (1, f"{b},{c},{d}", at(51)),
+    }
+
+
 def test_raw_files_are_read_by_name(spark, tmp_path):
     path = str(tmp_path / "loans.csv")
     names = list(reversed(LOAN_RAW_SCHEMA.names))
