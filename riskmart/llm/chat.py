@@ -2,8 +2,9 @@
 
     conversation = { "<|im_start|>" role "\\n" text "<|im_end|>" "\\n" }
 
-Every turn is rendered plainly, parsed again and compared with its source. If
-text or role would be read as something else, control strings in it are
+Neither role nor text has a bare control string; in a role "<|nl|>" stands for a line
+break. Every turn is rendered plainly, parsed again and compared with its source. If
+the grammar refuses it, or text or role would be read as something else, control strings in it are
 escaped by a backslash behind "<|" (and one more where there are some already), which
 the parser takes away again; that is repeated until the turn comes back identical.
 """
@@ -26,6 +27,8 @@ LEARNED_ROLE = "assistant"
 PIECE_CHARS = 1 << 20
 
 _CONTROL = re.compile(r"<\|(\\*)(im_start|im_end|nl)\|>")
+_MARK = re.compile(r"<\|(im_start|im_end)\|>")
+_BARE = re.compile(r"<\|(im_start|im_end|nl)\|>")
 
 
 def escape(text: str) -> str:
@@ -61,6 +64,8 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
         stop = formatted.find(CLOSE, line + 1)
         if end < 0 or stop != end:
             raise ValueError(f"the text at {line + 1} does not end")
+        if _MARK.search(formatted, at + len(OPEN), line) or _BARE.search(formatted, line + 1, end):
+            raise ValueError(f"a control string stands inside the turn at {at}")
         turns.append((_role_in(formatted[at + len(OPEN) : line]), unescape(formatted[line + 1 : end]), line + 1, end))
         at = end + len(CLOSE) + 1
     return turns
