@@ -1,11 +1,15 @@
 import math
+import random
+import re
+import time
 from collections import Counter
 
 import pytest
 from llm_brute import base_spans
 from pyspark.sql import functions as F
 
-from riskmart.llm.secrets import WINDOW, listing, peak_entropy, secret_spans
+from riskmart.llm import secrets
+from riskmart.llm.secrets import ALLOWED, CANDIDATE, CLASSES, NEEDED, WINDOW, listing, peak_entropy, secret_spans
 
 TEXTS = [
     None, "", "plain words only", "token=abc secret: 'token' : abcdefghijklmnop é=é API_KEY=ABCdef012345678",
@@ -53,5 +57,52 @@ def test_window_entropy_is_that_of_the_best_window(spark):
         assert r.h == pytest.approx(best, abs=1e-9)
 
 
+def every_span(text):
+    """All spans of a text by plain Python."""
+    text = text or ""
+    base = [(int(s.split(":")[1]), ["assign", "access", "hex"].index(s.split(":")[0]), int(s.split(":")[2])) for s in base_spans(text).split(",") if s]
+    out = [(a, k, b) for a, k, b in base]
+    for m in re.finditer(CANDIDATE, text):
+        value = m[0]
+        if not all(re.search(p, value) for p in NEEDED) or any(re.search(p, value) for p in ALLOWED):
+            continue
+        if any(a <= m.start() and b >= m.end() for a, _, b in base):
+            continue
+        best = 0.0
+        for i in range(len(value) - WINDOW + 1):
+            times = Counter(value[i : i + WINDOW]).values()
+            best = max(best, math.log2(WINDOW) - sum(n * math.log2(n) for n in times) / WINDOW)
+        if best >= next(bits for _, pattern, bits in CLASSES if re.search(pattern, value)):
+            out.append((m.start(), 3, m.end()))
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_all_spans_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    makers = [
+        lambda: key(rng.randint(15, 60), letters), lambda: key(rng.randint(15, 40), "0123456789abcdef"), lambda: key(rng.randint(15, 40), "ABCDEF0123456789"),
+        lambda: "token=" + key(rng.randint(8, 60), letters + "=."), lambda: "AKIA" + key(rng.randint(10, 20), "ABCDEFGH0123456789"), lambda: "plain words é", lambda: key(30, "ab1"),
+        lambda: "secret: '" + key(25, letters) + "." + key(25, letters) + "'", lambda: "example" + key(30, letters), lambda: "\n",
+    ]
+    texts = [" ".join(rng.choice(makers)() for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in secret_spans(docs).select("doc_id", listing("spans")).collect()}
+    assert got == {i: every_span(t) for i, t in enumerate(texts)}
+    assert sum("entropy" in x for x in got.values()) > 100
+
+
+@pytest.mark.parametrize("text", [lambda: "".join(random.Random(3).choices("ghijklmnopqrstuvwyzGHIJKLMNOPQRSTUVWYZ01234", k=1_000_000)), lambda: "0123456789abcdef01 token=abcdefghijkl1 " * 50_000])
+def test_long_runs_and_many_hits_take_time_in_proportion(spark, text):
+    body = text()
+    docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
+    begun = time.perf_counter()
+    spans = secret_spans(docs).select(F.size("spans")).first()[0]
+    assert spans == (1 if " " not in body else 100_000)
+    assert time.perf_counter() - begun < 60
+
+
 def test_empty_table(spark):
     assert secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
