@@ -50,8 +50,10 @@ def _walk(items: Column, zero: Column, kind: str, step) -> Column:
     is in proportion to the items, however many a text has.
     """
     none = F.array().cast(f"array<{kind}>")
-    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+    def blocks(held: Column) -> Column:
+        last = F.floor((F.size(held) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(held, b * BLOCK + 1, BLOCK))
 
     def inside(state: Column, item: Column) -> Column:
         after, found = step(state["at"], item)
@@ -63,7 +65,9 @@ def _walk(items: Column, zero: Column, kind: str, step) -> Column:
         return given[0]
 
     start = F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.aggregate(blocks, start, outside, lambda s: F.flatten(s["out"]))
+    # Named once: what a lambda's body mentions is worked out again at each of its steps.
+    walked = F.transform(F.array(items), lambda held: F.aggregate(blocks(held), start, outside, lambda s: F.flatten(s["out"])))
+    return walked[0]
 
 
 def _matches(pattern: str, group: int, kind: str, make) -> Column:
