@@ -84,18 +84,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-def _spread(name: str, edges: str, seeds: str, rounds: int = 12, damping: float = 0.85) -> str:
-    """Rounds of personalised PageRank, one CTE each."""
-    out = f"""{name}_out AS (SELECT a, sum(weight) AS total FROM {edges} GROUP BY a),
+def _spread(name: str, edges: str, seeds: str, rounds: int = 200, damping: float = 0.85) -> str:
+    """Personalised PageRank, round by round until it stands to the last digits."""
+    return f"""{name}_out AS (SELECT a, sum(weight) AS total FROM {edges} GROUP BY a),
 {name}_share AS (SELECT e.a, e.b, e.weight / o.total AS share FROM {edges} e JOIN {name}_out o ON e.a = o.a),
 {name}_0 AS (SELECT host, mass / (SELECT sum(mass) FROM {seeds}) AS mass FROM {seeds}),
+{name}_rank AS (
+  SELECT 0 AS k, host, mass FROM {name}_0
+  UNION ALL
+  SELECT k + 1, host, sum(mass) FROM (
+    SELECT r.k, s.b AS host, {damping} * r.mass * s.share AS mass FROM {name}_rank r JOIN {name}_share s ON s.a = r.host
+    UNION ALL SELECT r.k, z.host, {round(1 - damping, 9)} * z.mass FROM (SELECT DISTINCT k FROM {name}_rank) r CROSS JOIN {name}_0 z) moved
+  WHERE k < {rounds} GROUP BY k, host),
+{name}_last AS (SELECT host, mass FROM {name}_rank WHERE k = {rounds}),
 """
-    for k in range(rounds):
-        out += f"""{name}_{k + 1} AS (SELECT host, sum(mass) AS mass FROM (
-  SELECT s.b AS host, {damping} * r.mass * s.share AS mass FROM {name}_share s JOIN {name}_{k} r ON s.a = r.host
-  UNION ALL SELECT host, {round(1 - damping, 9)} * mass FROM {name}_0) GROUP BY host),
-"""
-    return out
 
 
 _HOST = "translate(coalesce(regexp_extract({}, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,7 +115,7 @@ _RULED = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p
 _LINK = r"""(?i)(?:href|src)\s*=\s*["'']?((?:https?:)?//[^\s"''<>]+)"""
 
 OP3 = f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, {_HOST.format("url")} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages
 ), j AS (
@@ -143,7 +145,7 @@ WITH u AS (
 ),
 {_spread("trust", "edges", "good")}{_spread("distrust", "back", "bad")}masses AS (
   SELECT coalesce(t.host, d.host) AS host, coalesce(t.mass, 0) AS t, coalesce(d.mass, 0) AS d
-  FROM trust_12 t FULL JOIN distrust_12 d ON t.host = d.host
+  FROM trust_last t FULL JOIN distrust_last d ON t.host = d.host
 )
 SELECT page_id, j.host, path, rule,
   coalesce(ruled, CASE WHEN coalesce(d, 0) > 0.5 * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) AS verdict

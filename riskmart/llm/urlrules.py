@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm.tables import stored
+from riskmart.sources import remove_folder, working_folder
 
 #: (verdict, host, path prefix); fixed values.
 RULES = (
@@ -24,9 +25,11 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
 #: Rounds between two written tables.
 WRITE_EVERY = 4
+#: The masses stand once this part of each, at most, still moves in WRITE_EVERY rounds and no new host is reached.
+#: What has not arrived then is less than TOLERANCE / (1 - DAMPING ** WRITE_EVERY).
+TOLERANCE = 1e-3
 THRESHOLD = 0.5
 #: Links of a page to hosts by name; relative links stay on the page's host.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:https?:)?//[^\s"'<>]+)"""
@@ -71,23 +74,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, mass): personalised PageRank over (a, b, weight) from (host, mass); masses add up to 1 or less."""
-    out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    share = stored(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "host-shares")
-    total = seeds.agg(F.sum("mass")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("mass")).limit(0)
-    start = stored(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("mass")), "host-seeds")
-    base = start.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-    rank = start
-    for turn in range(rounds):
-        moved = share.join(rank, F.col("a") == F.col("host")).groupBy(F.col("b").alias("host"))
-        moved = moved.agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass"))
-        rank = moved.unionByName(base).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if (turn + 1) % WRITE_EVERY == 0 or turn + 1 == rounds:
-            rank = stored(rank, "host-rank")
-    return rank
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(side, host, mass): personalised PageRank per side over (side, a, b, weight) from (side, host, mass).
+
+    A side's masses add up to 1 or less. Rounds go on until the masses stand: each host
+    that links reach has its share, however many links away it is.
+    """
+    spark = edges.sparkSession
+    totals = {r.side: r.total for r in seeds.groupBy("side").agg(F.sum("mass").alias("total")).collect()}  # two sides
+    if not totals:
+        return seeds.select("side", "host", F.lit(0.0).alias("mass")).limit(0)
+    out = edges.groupBy("side", "a").agg(F.sum("weight").alias("total"))
+    share = stored(edges.join(out, ["side", "a"]).select("side", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "host-shares")
+    part = F.element_at(F.create_map(*[x for side, total in totals.items() for x in (F.lit(side), F.lit(float(total)))]), F.col("side"))
+    start = stored(seeds.select("side", "host", (F.col("mass") / part).alias("mass")), "host-seeds")
+    base = start.select("side", "host", (F.col("mass") * (1 - damping)).alias("mass"))
+    rank, held = start, None
+    while True:
+        before, old = rank, held
+        for _ in range(WRITE_EVERY):
+            named = rank.withColumnRenamed("host", "a")
+            moved = share.join(named, ["side", "a"]).select("side", F.col("b").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+            rank = moved.unionByName(base).groupBy("side", "host").agg(F.sum("mass").alias("mass"))
+        held = working_folder(spark, "host-rank")
+        rank.write.parquet(held)
+        rank = spark.read.schema(start.schema).parquet(held)
+        both = rank.join(before.withColumnRenamed("mass", "was"), ["side", "host"], "full")
+        moved, new = both.agg(
+            F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))), F.count_if(F.col("was").isNull() & (F.col("mass") > 0))
+        ).first()
+        if old is not None:
+            remove_folder(spark, old)
+        if moved < tolerance and not new:
+            return rank
 
 
 def judged_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,9 +122,12 @@ def judged_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     edges = stored(host_edges(pages.select("url", "html")), "host-edges")
     seeds = named.where("host <> '' and ruled is not null").groupBy("host", "ruled").agg(F.count("*").cast("double").alias("mass"))
     seeds = stored(seeds, "host-ruled")
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    trust = spread(edges, seeds.where("ruled = 'allow'").drop("ruled")).withColumnRenamed("mass", "trust")
-    distrust = spread(back, seeds.where("ruled = 'block'").drop("ruled")).withColumnRenamed("mass", "distrust")
+    sides = edges.select(F.lit("allow").alias("side"), "a", "b", "weight").unionByName(
+        edges.select(F.lit("block").alias("side"), F.col("b").alias("a"), F.col("a").alias("b"), "weight")
+    )
+    found = spread(sides, seeds.withColumnRenamed("ruled", "side"))
+    trust = found.where("side = 'allow'").select("host", F.col("mass").alias("trust"))
+    distrust = found.where("side = 'block'").select("host", F.col("mass").alias("distrust"))
     masses = stored(trust.join(distrust, "host", "full"), "host-masses").na.fill(0.0, ["trust", "distrust"])
     joined = named.join(masses, "host", "left").na.fill(0.0, ["trust", "distrust"])
     blocked = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))

@@ -45,7 +45,7 @@ def rule(host, path):
     return best
 
 
-def masses(edges, seeds, rounds=12, damping=0.85):
+def masses(edges, seeds, rounds=300, damping=0.85):
     total = sum(seeds.values())
     if not total:
         return {}
@@ -103,6 +103,18 @@ def test_rules_and_spread_trust(spark):
     assert verdicts[5] == "block" and verdicts[7] == "allow" and verdicts[17] == "allow"
 
 
+def test_trust_reaches_the_end_of_long_chains(spark):
+    """A chain of 40 hosts behind a trusted one, and 40 that lead to a blocked one."""
+    pages = [(0, "http://a0.com/fr/", "<a href='http://a1.t/'>"), (1000, "http://b0.com/de/", "")]
+    pages += [(i, f"http://a{i}.t/", f"<a href='http://a{i + 1}.t/'>") for i in range(1, 40)]
+    pages += [(1000 + i, f"http://b{i}.t/", f"<a href='http://b{i - 1}.{'t' if i > 1 else 'com'}/'>") for i in range(1, 40)]
+    rows = judged_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r for r in rows}
+    assert all(got[i].trust > 0 and got[i].verdict == "allow" for i in range(1, 40))
+    assert all(got[1000 + i].distrust > 0 and got[1000 + i].verdict == "block" for i in range(1, 40))
+    assert [tuple(r)[:5] for r in sorted(rows)] == sorted(expected(pages))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "http://h.net/", "")]])
 def test_no_seeds(spark, rows):
     got = judged_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
