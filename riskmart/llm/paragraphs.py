@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
 from riskmart.llm.blocks import blocks_for, pack_pieces, shared_counts
+from riskmart.llm.pieces import NAMES as PIECE_NAMES
+from riskmart.llm.pieces import Answered, Pieces, answered, piece_schema
+from riskmart.llm.pieces import blocks_for as blocks_of
 from riskmart.llm.setjoin import exact, labelled, leader_pairs, open_pairs, prefixes
 from riskmart.llm.shipping import ship
-from riskmart.llm.tables import components, stored
+from riskmart.llm.tables import components, discard, stored
 
 GRAM = 5
 PERCENT = 80
@@ -217,113 +220,115 @@ def colliding(documents: DataFrame, paragraphs: int) -> DataFrame:
     return shared_counts(documents.select("text").mapInArrow(pieces, "block int, packed binary")).where("shared > 0").select("c")
 
 
-def sharing(documents: DataFrame, words: int) -> DataFrame:
-    """row_key of all documents that have a window in common with another document."""
-    blocks = blocks_for(2 * words // (NEIGHBOURS + 1))
+def window_pieces(documents: DataFrame, words: int) -> DataFrame:
+    """The windows of all documents as pieces; 32 bits tell them apart, the runs around them are compared by 64."""
+    blocks = blocks_of(2 * words // (NEIGHBOURS + 1))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = Pieces(blocks, np.uint32)
         for batch in W.slices(batches):
             found = Windows(batch.column("text"))
-            values, counts = W.distinct_per_text(found.value, found.counts)
-            names = batch.column("row_key").to_numpy(zero_copy_only=False).view(np.uint64)
-            some = counts > 0
-            if some.any():
-                held.append((values, counts[some], names[some]))
-                size += len(values)
-            if size >= PIECE_ENTRIES:
-                yield pack_pieces(held, blocks)
-                held, size = [], 0
-        if held:
-            yield pack_pieces(held, blocks)
+            yield from held.add(pa.nulls(batch.num_rows, pa.int8()), batch.column("row_key"), found.counts, found.value)
+        yield from held.rest()
 
-    keyed = documents.select(row_key().alias("row_key"), "text")
-    return shared_counts(keyed.mapInArrow(pieces, "block int, packed binary")).where("shared > 0").select(F.col("c").alias("row_key"))
+    return documents.select(row_key().alias("row_key"), "text").mapInArrow(pieces, piece_schema("byte"))
+
+
+def shared_windows(pieces: DataFrame) -> DataFrame:
+    """(row_key, hits): for each document the numbers of its windows that another document has."""
+
+    def rows(found: Answered) -> pa.Table:
+        docs, first = np.unique(found.owner, return_index=True)
+        nth = found.nth.astype(np.uint32)
+        hits = [x.tobytes() for x in np.split(nth, first[1:])]
+        return pa.table({"row_key": found.keys.take(pa.array(docs)), "hits": pa.array(hits, pa.binary())})
+
+    return answered(pieces, "byte", rows, "row_key long, hits binary")
 
 
 def reread(documents: DataFrame, places: DataFrame, wanted: DataFrame, shared: DataFrame) -> DataFrame:
     """What a second look at some texts gives, in one pass.
 
     Rows with c: (c, n, grams, bands) of paragraphs, for each wanted class from one document. Rows
-    without, one per sharing document: row_key, doc_id, the n hashes of its windows in grams, and its text.
+    without: pieces of the runs of MIN_PASSAGE words around shared windows, with first word, start and end.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    runs = shared.agg(F.coalesce(F.sum(F.length("hits")), F.lit(0))).first()[0] // 4 * NEIGHBOURS
+    blocks = blocks_of(runs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_kind = pa.list_(pa.int64())
-        names = ["c", "n", "grams", "bands", "row_key", "doc_id", "text"]
+        names = ["c", "n", "grams", "bands"]
+        held = Pieces(blocks)
+        lists = pa.list_(pa.int64())
+
+        def whole(piece: pa.RecordBatch) -> pa.RecordBatch:
+            rows = piece.num_rows
+            columns = [pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), lists, lists)]
+            return pa.RecordBatch.from_arrays([*columns, *piece.columns], names=[*names, *piece.schema.names])
+
         for batch in W.slices(batches):
-            id_kind = batch.schema.field("doc_id").type
             part = batch.filter(batch.column("sets"))
             if part.num_rows:
                 p = Paragraphs(part.column("text"))
-                bands = band_keys(p.values, p.counts) if len(p.counts) else np.zeros((0, BANDS), np.uint64)
-                grams, keys = W.list_column(p.values, p.counts), W.list_column(bands.reshape(-1), np.full(len(bands), BANDS))
-                nothing = [pa.nulls(len(p.counts), t) for t in (pa.int64(), id_kind, pa.string())]
-                columns = [pa.array(p.name.view(np.int64)), pa.array(p.counts.astype(np.int64)), grams, keys, *nothing]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            part = batch.filter(batch.column("windows"))
+                rows = len(p.counts)
+                bands = band_keys(p.values, p.counts) if rows else np.zeros((0, BANDS), np.uint64)
+                grams, keys = W.list_column(p.values, p.counts), W.list_column(bands.reshape(-1), np.full(rows, BANDS))
+                columns = [pa.array(p.name.view(np.int64)), pa.array(p.counts.astype(np.int64)), grams, keys]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(batch.schema.field("doc_id").type), lists)
+                columns += [pa.nulls(rows, t) for t in kinds]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *PIECE_NAMES])
+            part = batch.filter(pc.is_valid(batch.column("hits")))
             if part.num_rows:
                 w = Windows(part.column("text"))
-                rows = part.num_rows
-                columns = [pa.nulls(rows, pa.int64()), pa.array(w.counts.astype(np.int64)), W.list_column(w.value, w.counts)]
-                columns += [pa.nulls(rows, grams_kind), part.column("row_key"), part.column("doc_id"), part.column("text").cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                hits = [np.frombuffer(x, np.uint32) for x in part.column("hits").to_pylist()]
+                first = np.repeat(np.cumsum(w.counts) - w.counts, [len(x) for x in hits])
+                text, word, start, end, value = w.passages(first + np.concatenate(hits))
+                counts = np.bincount(text, minlength=part.num_rows)
+                for piece in held.add(part.column("doc_id"), part.column("row_key"), counts, value, word, start, end):
+                    yield whole(piece)
+        for piece in held.rest():
+            yield whole(piece)
 
     first = places.groupBy("c").agg(F.min("row_key").alias("row_key"))
-    of_sets = first.join(wanted, "c", "left_semi").select("row_key", F.lit(True).alias("sets"), F.lit(False).alias("windows"))
-    of_windows = shared.select("row_key", F.lit(False).alias("sets"), F.lit(True).alias("windows"))
-    chosen = of_sets.unionByName(of_windows).groupBy("row_key").agg(F.max("sets").alias("sets"), F.max("windows").alias("windows"))
-    texts = documents.select(row_key().alias("row_key"), "doc_id", "text").join(chosen, "row_key")
-    schema = f"c long, n long, grams array<long>, bands array<long>, row_key long, doc_id {kind}, text string"
-    return texts.mapInArrow(read, schema)
-
-
-def around(windows: DataFrame) -> DataFrame:
-    """(row_key, doc_id, word, start, end, c): all runs of MIN_PASSAGE words around windows that other documents have."""
-    flat = windows.select("row_key", F.posexplode("grams").alias("i", "c"))
-    heads = flat.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).where("lo <> hi").select("c")
-    listed = flat.join(heads, "c").groupBy("row_key").agg(F.collect_set("i").alias("hits"))
+    of_sets = first.join(wanted, "c", "left_semi").select("row_key", F.lit(True).alias("sets"), F.lit(None).cast("binary").alias("hits"))
+    of_windows = shared.select("row_key", F.lit(False).alias("sets"), "hits")
+    chosen = of_sets.unionByName(of_windows).groupBy("row_key").agg(F.max("sets").alias("sets"), F.max("hits").alias("hits"))
+    texts = documents.select(row_key().alias("row_key"), "doc_id", "text").join(chosen, "row_key").dropDuplicates(["row_key"])
+    return texts.mapInArrow(read, f"c long, n long, grams array<long>, bands array<long>, {piece_schema(kind)}")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches):
-            w = Windows(batch.column("text"))
-            hits = batch.column("hits")
-            first = np.repeat(np.cumsum(w.counts) - w.counts, pc.list_value_length(hits).to_numpy(zero_copy_only=False))
-            text, word, start, end, value = w.passages(first + hits.flatten().to_numpy(zero_copy_only=False))
-            at = pa.array(text)
-            columns = [batch.column("row_key").take(at), batch.column("doc_id").take(at)]
-            columns += [pa.array(x.astype(np.int64)) for x in (word, start, end)] + [pa.array(value.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "word", "start", "end", "c"])
 
-    kind = windows.schema["doc_id"].dataType.simpleString()
-    texts = windows.select("row_key", "doc_id", "text").dropDuplicates(["row_key"]).join(listed, "row_key")
-    return texts.mapInArrow(rows, f"row_key long, doc_id {kind}, word long, start long, end long, c long")
-
-
-def shared_passages(runs: DataFrame) -> DataFrame:
-    """Neighbouring runs of MIN_PASSAGE words with one first document, joined to passages.
+def shared_passages(pieces: DataFrame, kind: str) -> DataFrame:
+    """Neighbouring runs of MIN_PASSAGE words that other documents have and one document has first, joined to passages.
 
     Where the first document changes, the next passage begins; it overlaps the one before.
     """
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    heads = runs.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"), F.min(place).alias("head"), F.count("*").alias("copies"))
-    at = runs.join(heads.where("lo <> hi").drop("lo", "hi"), "c").withColumn("later", F.col("row_key") != F.col("head.row_key"))
-    order = Window.partitionBy("row_key").orderBy("word")
-    head = F.col("head.row_key")
-    follows = (F.col("word") == F.lag("word").over(order) + 1) & (head == F.lag(head).over(order))
-    named = at.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    words = F.max("word") + MIN_PASSAGE - F.min("word")
-    return named.groupBy("row_key", "doc_id", "run").agg(
-        F.min("word").alias("word"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        words.alias("n_words"),
-        words.alias("passage_words"),
-        F.min("head").getField("doc_id").alias("cluster_id"),
-        F.max("copies").alias("copies"),
-        F.max("later").alias("removed"),
-    )
+
+    def rows(found: Answered) -> pa.Table:
+        word, start, end = found.rest
+        head = found.head_keys.to_numpy(zero_copy_only=False)[found.first]
+        new = np.ones(len(word), bool)
+        new[1:] = (np.diff(found.owner) != 0) | (np.diff(word) != 1) | (head[1:] != head[:-1])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(word)) - 1
+        keys = found.keys.to_numpy(zero_copy_only=False)[found.owner[a]]
+        owner, words = pa.array(found.owner[a]), word[b] + MIN_PASSAGE - word[a]
+        return pa.table(
+            {
+                "row_key": keys,
+                "doc_id": found.ids.take(owner),
+                "word": word[a],
+                "start": start[a],
+                "end": end[b],
+                "n_words": words,
+                "passage_words": words,
+                "cluster_id": found.head_ids.take(pa.array(found.first[a])),
+                "copies": np.maximum.reduceat(found.copies, a),
+                "removed": keys != head[a],
+            }
+        )
+
+    numbers = "word long, start long, end long, n_words long, passage_words long"
+    return answered(pieces, kind, rows, f"row_key long, doc_id {kind}, {numbers}, cluster_id {kind}, copies long, removed boolean")
 
 
 def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -362,16 +367,24 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
     documents = documents.select("doc_id", "text")
     places = stored(occurrences(documents), "paragraphs")
     wanted = stored(colliding(documents, places.count()), "paragraphs-colliding")
-    shared = stored(sharing(documents, places.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]), "documents-sharing")
+    pieces = stored(window_pieces(documents, places.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]), "window-pieces")
+    shared = stored(shared_windows(pieces), "windows-shared")
+    discard(pieces)
     again = stored(reread(documents, places, wanted, shared), "paragraphs-again")
+    discard(shared)
+    # Passages inside lines first: their pieces go before the lines' tables come.
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    inside = stored(shared_passages(again.where("c is null"), kind), "passages-repeated")
     whole = again.where("c is not null").select("c", "n", "grams", "bands")
     sets = stored(whole.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "paragraph-sets")
+    discard(again, wanted)
     found = clusters(sets, percent)
     once = places.groupBy("c").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi"))
     named = once.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     across = named.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("component")
     repeated = stored(named.join(across, "component", "left_semi").select("c", "component"), "paragraph-clusters")
     hits = stored(places.join(repeated, "c").drop("c", "n").dropDuplicates(["row_key", "paragraph"]), "paragraph-hits")
+    discard(sets, places)
     document = Window.partitionBy("row_key")
     runs = hits.withColumn("run", F.col("paragraph") - F.row_number().over(document.orderBy("paragraph")))
     runs = runs.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("row_key", "run"))).drop("run")
@@ -393,8 +406,7 @@ def repeated_passages(documents: DataFrame, percent: int = PERCENT, least_words:
         (place != F.col("first")).alias("removed"),
     )
     lines = stored(lines, "paragraphs-repeated")
-    near = stored(around(again.where("c is null and n > 0")), "passages-near")
-    inside = stored(shared_passages(near), "passages-repeated")
+    discard(hits, repeated)
     covered = lines.groupBy(F.col("row_key").alias("_row")).agg(F.collect_list(F.struct("word", "n_words")).alias("lines"))
     # A passage all of whose words stand in reported lines is not listed again; lists are of one document.
     rest = inside.join(covered, F.col("row_key") == F.col("_row"), "left")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.sources import working_folder
+from riskmart.sources import remove_folder, working_folder
+
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
@@ -17,7 +20,17 @@ def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """
     path = working_folder(df.sparkSession, name)
     (df.hint("rebalance") if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more: what was made of them is stored itself."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path is not None:
+            remove_folder(table.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
