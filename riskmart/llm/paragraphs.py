@@ -23,7 +23,6 @@ other documents have make the passages, to their true ends.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from riskmart.llm.pieces import Answered, Pieces, answered, piece_schema
 from riskmart.llm.pieces import blocks_for as blocks_of
 from riskmart.llm.setjoin import exact, labelled, leader_pairs, open_pairs, prefixes
 from riskmart.llm.shipping import ship
-from riskmart.llm.tables import components, discard, stored
+from riskmart.llm.tables import components, discard, extended, stored
 
 GRAM = 5
 PERCENT = 80
@@ -340,14 +339,20 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefix = stored(prefixes(sets, percent).withColumn("component", F.col("c")), "paragraph-prefixes")
     able = prefix.groupBy("c", "n").agg(F.min("pos").alias("pos"), F.max("reach").alias("reach"))
     bands = stored(sets.select("c", F.explode("bands").alias("h")).join(able, "c").withColumn("component", F.col("c")), "bands")
-    links, found = [], None
+    found = None
     for salt in range(LEADER_ROUNDS + 1):
         if salt < LEADER_ROUNDS:
             pairs = leader_pairs(bands if found is None else labelled(bands, found), salt, percent, every=salt > 0)
         else:
             pairs = open_pairs(labelled(prefix, found), percent)
-        links.append(stored(exact(pairs, sets, percent), "paragraph-links"))
-        found = components(reduce(DataFrame.unionByName, links))
+        links = stored(exact(pairs, sets, percent), "paragraph-links")
+        if found is None:
+            found = stored(components(links), "components")
+        elif not links.isEmpty():
+            before, found = found, extended(found, links)
+            discard(before)
+        discard(links)
+    discard(prefix, bands)
     return found
 
 

@@ -75,3 +75,21 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found`, as components() gives it, with more links (a, b) taken in.
+
+    Links are lifted to the components of their ends, so only components that
+    merge are walked again, however many nodes they have; ends that `found` does not have
+    are components of their own. The result is a written table.
+    """
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        known = found.select(F.col("node").alias(end), "component")
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = components(ends)
+    above = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    nodes = found.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+    joined = nodes.join(above, "component", "left")
+    return stored(joined.select("node", F.coalesce("least", "component").alias("component")), "components")

@@ -4,7 +4,7 @@ import pytest
 from llm_brute import edited, jaccard_components, prose
 
 from riskmart.llm import jaccard
-from riskmart.llm.tables import components
+from riskmart.llm.tables import components, extended
 
 
 def run(spark, rows):
@@ -68,3 +68,15 @@ def test_components(spark, links):
             if a != b:
                 known[a] = known[b] = min(known.get(a, a), known.get(b, b))
     assert got == known
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_taken_in_later_are_those_of_all_links(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
+    parts = [links[:25], links[25:26], links[26:], [(5, 5)], []]
+    found = components(spark.createDataFrame(parts[0], "a long, b long"))
+    for more in parts[1:]:
+        found = extended(found, spark.createDataFrame(more, "a long, b long"))
+    whole = components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(found.collect()) == sorted(whole.collect())
