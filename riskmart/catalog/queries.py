@@ -42,6 +42,9 @@ ORACLES: dict[str, str] = {}
 # A search space of small trees: several points are drawn, each is fitted on three folds.
 CHECK_GRID = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.3], "scale_pos_weight": [1, 3]}
 CHECK_DRAWS = 3
+# More points, halved from two trees on: 20 on two trees, 7 on up to six, 3 on up to eight.
+HALVING_GRID = {**CHECK_GRID, "n_estimators": [2, 4, 8], "subsample": [0.8, 1.0]}
+HALVING_DRAWS = 20
 
 TRAIN_DATE = dt.date(1999, 1, 1)
 BASELINE = dt.date.fromisoformat(o.BASELINE)
@@ -1124,6 +1127,7 @@ def model_bank_entry(spark, sf_dir):
     scored = trained.model.transform(scored).select("label", training.positive_probability().alias("model_predictions"))
     auc = metrics.auc_by_group(scored, []).select(F.col("auc").alias("again"))
     stored = training.bank_entries(spark, f"{root}/bank").where("split = 'oot'").select(F.col("auc").alias("stored"))
+    # One rung: all points at their full number of trees.
     searched = read_table(spark, f"{root}/bank/searches").agg(
         (F.max("mean_auc") == F.max(F.when(F.col("chosen"), F.col("mean_auc")))).alias("best_point_chosen"),
         F.count(F.lit(1)).cast("int").alias("points"),
@@ -1137,3 +1141,59 @@ def model_bank_entry(spark, sf_dir):
         "points",
         F.lit(not leaking).alias("no_leakage"),
     )
+
+
+@query(
+    "halving_search",
+    o.with_(
+        *o.STORE,
+        o.LABELS,
+        (
+            "joined",
+            "SELECT l.loan_id, l.Customer_ID, l.snapshot_date, l.label FROM labels_at AS l LEFT JOIN store AS f "
+            "ON l.Customer_ID = f.Customer_ID AND l.snapshot_date = f.snapshot_date "
+            "WHERE l.snapshot_date BETWEEN DATE '1997-11-01' AND DATE '1998-10-31'",
+        ),
+        (
+            "placed",
+            "SELECT rank() OVER (PARTITION BY label ORDER BY k) AS r, count(*) OVER (PARTITION BY label) AS n FROM "
+            "(SELECT label, md5(concat_ws(':', loan_id, Customer_ID, CAST(snapshot_date AS VARCHAR), '42')) AS k FROM joined)",
+        ),
+        ("train", "SELECT count(*) AS n FROM placed WHERE r <= round(0.8 * n)"),
+    )
+    + "SELECT CAST(rung AS INTEGER) AS rung, CAST(most AS INTEGER) AS most_trees, CAST(points AS BIGINT) AS points, "
+    "CAST(kept AS BIGINT) AS kept, CAST(points * n AS BIGINT) AS rows_scored, TRUE AS best_go_on, TRUE AS aucs "
+    "FROM train, (VALUES (0, 2, 20, 7), (1, 6, 7, 3), (2, 8, 3, 1)) AS v(rung, most, points, kept)",
+)
+def halving_search(spark, sf_dir):
+    """20 points on three folds by successive halving: every row is held out once per point, the best ones go on."""
+    root = working_folder(spark, "model")
+    labels, features = _gold_tables(spark, sf_dir, root)
+    training.train_model(
+        spark,
+        labels,
+        features,
+        TRAIN_DATE,
+        f"{root}/bank",
+        oot_months=2,
+        grid=HALVING_GRID,
+        draws=HALVING_DRAWS,
+        feature_columns=CLICK_FEATURES,
+        scale=True,
+        keep_missing=True,
+        parallelism=8,
+        rung_trees=2,
+    )
+    least_kept, most_left = (F.min(F.when(F.col("kept"), F.col("mean_auc"))), F.max(F.when(~F.col("kept"), F.col("mean_auc"))))
+    return (
+        read_table(spark, f"{root}/bank/searches")
+        .groupBy("rung")
+        .agg(
+            F.max("budget").alias("most_trees"),
+            F.count(F.lit(1)).alias("points"),
+            F.count_if("kept").alias("kept"),
+            F.sum("rows").alias("rows_scored"),
+            (least_kept >= F.coalesce(most_left, F.lit(0.0))).alias("best_go_on"),
+            F.bool_and(F.col("mean_auc").between(0, 1)).alias("aucs"),
+        )
+    )

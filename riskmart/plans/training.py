@@ -11,10 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +26,7 @@ from riskmart.operators.splitting import (
     training_set,
     training_windows,
 )
+from riskmart.plans.search import fingerprint, halving, steps_frame
 from riskmart.sources import (
     ensure_checkpoint_dir,
     overwrite_snapshots,
@@ -142,12 +141,16 @@ def fit_search(
     seed: int,
     parallelism: int,
     folder: str,
+    parts: str,
+    rung_trees: int | None = None,
 ) -> tuple[PipelineModel, dict, DataFrame]:
     """Best of the drawn parameter points by mean cross-validated AUC on scores.
 
-    Inputs are assembled and written with their folds once below `folder`; every fit only reads them. The
-    third result has one row per point: its parameters, mean and deviation of the AUC over the folds.
+    Inputs are assembled and written with their folds once below `folder`; every fit only reads them. With
+    `rung_trees` points are compared by successive halving from that many trees on, else all at their full number.
+    `parts` keeps the figures of every fit. The third result has one row per rung and point.
     """
+    spark = train.sparkSession
     weights = sorted(set(grid.get("scale_pos_weight", [1])))
     prepared = train.withColumns(
         {
@@ -163,27 +166,11 @@ def fit_search(
     weighted = [_weight_column(w) for w in weights]
     ready = assembler.transform(prepared).select(LABEL, "fold", "inputs", *weighted)
     ready.write.parquet(f"{folder}/inputs")
-    rows = read_table(train.sparkSession, f"{folder}/inputs")
+    rows = read_table(spark, f"{folder}/inputs")
     points = draw_params(grid, draws, seed)
-    search = CrossValidator(
-        estimator=gbt,
-        estimatorParamMaps=[_param_map(gbt, p) for p in points],
-        evaluator=BinaryClassificationEvaluator(
-            labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
-        ),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(rows)
-    best = max(range(len(points)), key=lambda i: search.avgMetrics[i])
-    results = train.sparkSession.createDataFrame(
-        [
-            (i, json.dumps(p, sort_keys=True), float(mean), float(spread), i == best)
-            for i, (p, mean, spread) in enumerate(zip(points, search.avgMetrics, search.stdMetrics))
-        ],
-        "point int, params string, mean_auc double, deviation double, chosen boolean",
-    )
-    return PipelineModel(stages=[assembler, search.bestModel]), points[best], results
+    best, steps = halving(rows, gbt, points, _param_map, folds, parts, parallelism, rung_trees)
+    model = gbt.fit(rows, _param_map(gbt, points[best]))
+    return PipelineModel(stages=[assembler, model]), points[best], steps_frame(spark, points, steps, best)
 
 
 def train_model(
@@ -203,12 +190,15 @@ def train_model(
     scale: bool = False,
     keep_missing: bool = False,
     parallelism: int = 4,
+    rung_trees: int | None = None,
 ) -> TrainedModel:
     """Fit, evaluate on train / val / out-of-time and enter the model in the bank.
 
     Defaults follow the full-feature variant: rows with gaps are dropped and
     nothing is scaled. The click-stream variant passes its `fe_` columns with
-    `scale=True, keep_missing=True, oot_months=2, grid=SMALL_GRID`.
+    `scale=True, keep_missing=True, oot_months=2, grid=SMALL_GRID`. With `rung_trees` the
+    search halves its points from that many trees on. A run that broke off in its search goes on where it stopped when it is
+    started again with the same rows and settings.
     """
     ensure_checkpoint_dir(spark)
     windows = training_windows(train_date, oot_months, train_months)
@@ -228,6 +218,11 @@ def train_model(
     train = rows.where(F.col("split") == "train")
     scaler = fit_scaler(train, names) if scale else None
     folded = stratified_folds(train, folds, seed=seed + 1)
+    # Named by the rows before scaling: sums of doubles may differ in their last bits from run to run.
+    settings = [seed, folds, scale, keep_missing, sorted(grid.get("scale_pos_weight", [1]))]
+    inputs = fingerprint(folded, [LABEL, "fold", *names], *settings)
+    version = model_version(train_date)
+    parts = f"{bank}/search_parts/{version}/{inputs}"
     model, params, searched = fit_search(
         model_inputs(folded, names, scaler, keep_missing),
         names,
@@ -237,9 +232,11 @@ def train_model(
         seed,
         parallelism,
         folder,
+        parts,
+        rung_trees,
     )
     trained = TrainedModel(
-        model_version(train_date), model, names, scaler, params, keep_missing
+        version, model, names, scaler, params, keep_missing
     )
     save_model(spark, trained, evaluate(trained, rows), windows, bank)
     overwrite_snapshots(
@@ -249,6 +246,7 @@ def train_model(
         compact=False,
     )
     remove_folder(spark, folder)
+    remove_folder(spark, f"{bank}/search_parts/{version}")
     return trained
 
 
