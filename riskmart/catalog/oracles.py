@@ -232,6 +232,27 @@ def finances(raw: str, max_rate: int | None = None) -> tuple[tuple[str, str], ..
     )
 
 
+def finance_losses(max_rate: int) -> str:
+    """Per rule the rows of finance_clean that break it, and those that no earlier rule drops."""
+    kept = [
+        ("Num_Bank_Accounts", "Num_Bank_Accounts IS NOT NULL"),
+        ("Num_Credit_Card", "Num_Credit_Card <= 20"),
+        ("Num_of_Loan", "Num_of_Loan IS NOT NULL"),
+        ("Delay_from_due_date", "Delay_from_due_date IS NOT NULL"),
+        ("Num_of_Delayed_Payment", "Num_of_Delayed_Payment IS NOT NULL"),
+        ("Changed_Credit_Limit", "Changed_Credit_Limit IS NOT NULL"),
+        ("Interest_Rate", f"COALESCE(Interest_Rate <= {max_rate}, FALSE)"),
+    ]
+    parts = []
+    for i, (name, rule) in enumerate(kept):
+        before = " AND ".join(["TRUE", *[r for _, r in kept[:i]]])
+        parts.append(
+            f"SELECT {i}::INTEGER AS position, '{name}' AS rule, count(*) FILTER (NOT ({rule})) AS failed, "
+            f"count(*) FILTER ({before} AND NOT ({rule})) AS dropped, count(*) AS rows FROM finance_clean"
+        )
+    return " UNION ALL ".join(parts)
+
+
 FINANCE_REALS = [
     "Annual_Income",
     "Monthly_Inhand_Salary",

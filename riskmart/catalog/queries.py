@@ -397,6 +397,18 @@ def financials_rules_capped_rate(spark, sf_dir):
     return shown(silver.silver_financials(raw, max_interest_rate=100))
 
 
+@query(
+    "financials_losses",
+    o.with_(*o.finances(s.ORDER_FINANCES_SQL, 100)) + o.finance_losses(100),
+)
+def financials_losses(spark, sf_dir):
+    """What each rule drops, observed by the job that writes the cleaned rows."""
+    root = working_folder(spark, "finances")
+    raw = s.order_finances_raw(spark, sf_dir)
+    mart_jobs.financials_job(raw, f"{root}/silver", f"{root}/losses", max_interest_rate=100)
+    return read_table(spark, f"{root}/losses")
+
+
 def _finances(spark, sf_dir):
     return silver.silver_financials(s.customer_finances_raw(spark, sf_dir))
 

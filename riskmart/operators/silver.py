@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskmart.functions import (
@@ -112,15 +113,30 @@ def silver_attributes(df: DataFrame) -> DataFrame:
     )
 
 
+def rule_counts(rules: Mapping[str, Column]) -> list[Column]:
+    """Aggregates `failed_<i>` and `dropped_<i>` per rule: rows that break it, and rows that break it first.
+
+    A rule that is NULL for a row is broken.
+    """
+    broken = [~F.coalesce(rule, F.lit(False)) for rule in rules.values()]
+    first = reduce(lambda case, i: case.when(broken[i], F.lit(i)), range(len(broken)), F)
+    counts = [F.count_if(b).alias(f"failed_{i}") for i, b in enumerate(broken)]
+    return counts + [F.count_if(first == i).alias(f"dropped_{i}") for i in range(len(broken))]
+
+
 def silver_financials(
-    df: DataFrame, max_interest_rate: int | None = None, ratio_name: str = INVESTMENT_RATIO
+    df: DataFrame,
+    max_interest_rate: int | None = None,
+    ratio_name: str = INVESTMENT_RATIO,
+    losses: Observation | None = None,
 ) -> DataFrame:
     """Clean the 22 columns of customer finances and drop rows that break a hard rule.
 
     Every rule reads its own column only: one projection types the text, one
     conjunctive filter drops rows, one projection applies the range rules. With
     `max_interest_rate` the rate is a whole number and rows above the bound go;
-    without it the rate stays as read.
+    without it the rate stays as read. `losses` observes, in the job that reads the
+    result and without another scan, what each rule drops (see financial_losses).
     """
     raw = {name: F.col(name).cast("string") for name in df.columns}
 
@@ -164,18 +180,17 @@ def silver_financials(
         "_asked": text_to_double(raw["Num_Credit_Inquiries"]),
     }
     # A comparison with NULL is no match, so these also drop what could not be typed.
-    row_rules = [
-        F.col("Num_Bank_Accounts").isNotNull(),
-        F.col("_banks").between(0, MAX_BANK_ACCOUNTS),
-        F.col("Num_Credit_Card") <= MAX_CREDIT_CARDS,
-        F.col("Num_of_Loan").between(*LOANS_RANGE),
-        F.col("Delay_from_due_date").isNotNull(),
-        F.col("_delay") >= 0,
-        F.col("Num_of_Delayed_Payment").between(*DELAYED_PAYMENTS_RANGE),
-        F.col("Changed_Credit_Limit").isNotNull(),
-    ]
+    row_rules = {
+        "Num_Bank_Accounts": F.col("Num_Bank_Accounts").isNotNull()
+        & F.col("_banks").between(0, MAX_BANK_ACCOUNTS),
+        "Num_Credit_Card": F.col("Num_Credit_Card") <= MAX_CREDIT_CARDS,
+        "Num_of_Loan": F.col("Num_of_Loan").between(*LOANS_RANGE),
+        "Delay_from_due_date": F.col("Delay_from_due_date").isNotNull() & (F.col("_delay") >= 0),
+        "Num_of_Delayed_Payment": F.col("Num_of_Delayed_Payment").between(*DELAYED_PAYMENTS_RANGE),
+        "Changed_Credit_Limit": F.col("Changed_Credit_Limit").isNotNull(),
+    }
     if max_interest_rate is not None:
-        row_rules.append(F.col("Interest_Rate") <= max_interest_rate)
+        row_rules["Interest_Rate"] = F.col("Interest_Rate") <= max_interest_rate
 
     asked = F.col("Num_Credit_Inquiries")
     salary = F.col("Monthly_Inhand_Salary")
@@ -191,9 +206,23 @@ def silver_financials(
         ),
         ratio_name: F.when(salary.isNull() | (salary == 0), F.lit(0.0)).otherwise(ratio),
     }
-    return (
-        df.select(*[c.alias(name) for name, c in {**typed, **read}.items()])
-        .where(reduce(and_, row_rules))
-        .withColumns(ranged)
-        .drop(*read)
-    )
+    rows = df.select(*[c.alias(name) for name, c in {**typed, **read}.items()])
+    if losses is not None:
+        names = F.lit(",".join(row_rules))
+        rows = rows.observe(losses, F.count(F.lit(1)).alias("rows"), F.max(names).alias("rules"), *rule_counts(row_rules))
+    return rows.where(reduce(and_, row_rules.values())).withColumns(ranged).drop(*read)
+
+
+LOSS_SCHEMA = "position int, rule string, failed long, dropped long, rows long"
+
+
+def financial_losses(found: Mapping[str, int | str | None]) -> list[tuple]:
+    """Rows of LOSS_SCHEMA from what was observed; no rows where nothing was read.
+
+    `failed` counts all rows that break the rule, `dropped` those that no earlier rule dropped.
+    """
+    names = (found.get("rules") or "").split(",") if found.get("rows") else []
+    return [
+        (i, name, found[f"failed_{i}"], found[f"dropped_{i}"], found["rows"])
+        for i, name in enumerate(names)
+    ]

@@ -18,6 +18,9 @@ class Mart:
     def silver(self, name: str) -> str:
         return self._at("silver", name)
 
+    def losses(self, name: str) -> str:
+        return self._at("losses", name)
+
     @property
     def label_store(self) -> str:
         return self._at("gold", "label_store")

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from riskmart.operators.gold import (
     gold_loan_features,
 )
 from riskmart.operators.silver import (
+    LOSS_SCHEMA,
+    financial_losses,
     parse_snapshot,
     silver_attributes,
     silver_clickstream,
@@ -104,6 +106,19 @@ def build_bronze(
             bronze_static(df, mart.bronze(name))
 
 
+def financials_job(
+    bronze: DataFrame, path: str, losses_path: str, max_interest_rate: int | None = None
+) -> None:
+    """Write cleaned finances and, from the same job, how many rows each rule dropped.
+
+    The job has no shuffle, so a task that ran twice counts once.
+    """
+    observed = Observation("financial losses")
+    overwrite_table(silver_financials(bronze, max_interest_rate, losses=observed), path)
+    found = bronze.sparkSession.createDataFrame(financial_losses(observed.get), LOSS_SCHEMA)
+    overwrite_table(found.coalesce(1), losses_path)
+
+
 def build_silver(
     spark: SparkSession, mart: Mart, start: dt.date, end: dt.date, names=tuple(SOURCES)
 ) -> None:
@@ -114,6 +129,9 @@ def build_silver(
             overwrite_snapshots(
                 SILVER[name](months), mart.silver(name), compact=False, replaced=months_of(start, end)
             )
+        elif name == "features_financials":
+            bronze = read_table(spark, mart.bronze(name))
+            financials_job(bronze, mart.silver(name), mart.losses(name))
         else:
             overwrite_table(SILVER[name](read_table(spark, mart.bronze(name))), mart.silver(name))
 

@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskmart.operators import casting, encoding, gold, joins, profiling, silver
+from riskmart.plans import mart as mart_jobs
 from riskmart.sources import schemas
 from tests.helpers import as_set, finance_rows, loan_rows, text_rows, values
 
@@ -364,3 +366,43 @@ def test_the_most_overdue_loans_are_bad(spark):
     got = {r["loan_id"]: r["dpd"] for r in loans.select("loan_id", "dpd").collect()}
     assert got["tiny"] > 6_000_000 and got["tiniest"] > 2_000_000_000
     assert [r["label"] for r in gold.gold_labels(loans).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("rate", [None, 30])
+def test_losses_are_observed_by_the_job_that_writes(spark, tmp_path, rate):
+    rows = [
+        {},
+        {"Num_Bank_Accounts": "11"},
+        {"Num_Bank_Accounts": "x", "Num_of_Loan": "-1"},
+        {"Num_of_Loan": "51", "Changed_Credit_Limit": "_"},
+        {"Changed_Credit_Limit": None},
+        {"Interest_Rate": "31"},
+        {"Interest_Rate": None},
+    ]
+    mart_jobs.financials_job(finance_rows(spark, rows), f"{tmp_path}/silver", f"{tmp_path}/losses", rate)
+    got = {r.rule: (r.failed, r.dropped, r.rows) for r in spark.read.parquet(f"{tmp_path}/losses").collect()}
+    expected = {
+        "Num_Bank_Accounts": (2, 2, 7),
+        "Num_Credit_Card": (0, 0, 7),
+        "Num_of_Loan": (2, 1, 7),
+        "Delay_from_due_date": (0, 0, 7),
+        "Num_of_Delayed_Payment": (0, 0, 7),
+        "Changed_Credit_Limit": (2, 1, 7),
+    }
+    assert got == expected | ({"Interest_Rate": (2, 2, 7)} if rate else {})
+    kept = spark.read.parquet(f"{tmp_path}/silver").count()
+    assert kept == 7 - sum(dropped for _, dropped, _ in got.values())
+
+
+def test_no_rows_lose_nothing(spark, tmp_path):
+    none = finance_rows(spark, [{}]).where("Customer_ID is null")
+    mart_jobs.financials_job(none, f"{tmp_path}/silver", f"{tmp_path}/losses")
+    assert spark.read.parquet(f"{tmp_path}/silver").count() == spark.read.parquet(f"{tmp_path}/losses").count() == 0
+
+
+def test_observing_losses_costs_no_scan(spark, tmp_path):
+    path = f"{tmp_path}/raw"
+    finance_rows(spark, [{}]).write.parquet(path)
+    df = silver.silver_financials(spark.read.parquet(path), losses=Observation("plan"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan and "Exchange" not in plan
