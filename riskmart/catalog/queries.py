@@ -15,7 +15,7 @@ from riskmart.catalog import standins as s
 from riskmart.operators import drift, encoding, gold, joins, metrics, profiling, quantiles
 from riskmart.operators import scaling, silver, splitting
 from riskmart.plans import mart as mart_jobs
-from riskmart.plans import monitoring, scoring, training
+from riskmart.plans import changes, monitoring, scoring, training
 from riskmart.plans.layout import Mart
 from riskmart.sources import (
     overwrite_snapshots,
@@ -934,6 +934,27 @@ def _backfilled(spark, sf_dir):
     return mart
 
 
+@query(
+    "backfill_changed_month",
+    o.with_(*o.LOANS)
+    + f"SELECT {o.day()}, count(*) * CASE WHEN snapshot_date = DATE '1995-06-01' THEN 2 ELSE 1 END AS loans, "
+    "snapshot_date = DATE '1995-06-01' AS built_again FROM loans GROUP BY snapshot_date",
+)
+def backfill_changed_month(spark, sf_dir):
+    """All months are built, then a file with one month's loans arrives once more and only its month is built."""
+    mart = Mart(working_folder(spark, "mart"))
+    paths = _write_raw(spark, sf_dir, mart.root)
+    first, last = _months(s.loans_raw(spark, sf_dir), s.clicks_raw(spark, sf_dir))
+    changes.backfill_changed(spark, mart, paths, first, last)
+    name = "lms_loan_daily"
+    again = s.loans_raw(spark, sf_dir).where("snapshot_date = DATE '1995-06-01'").select(*mart_jobs.SOURCES[name].schema.names)
+    again.write.mode("append").option("header", True).csv(paths[name])
+    built = changes.backfill_changed(spark, mart, paths, first, last)
+    silver_loans = read_table(spark, mart.silver(name))
+    months = silver_loans.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("loans"))
+    return shown(months.withColumn("built_again", F.col("snapshot_date").isin(*built)))
+
+
 @query("backfill_feature_store", o.with_(*o.STORE_FROM_FILES) + f"SELECT {o.STORE_OUT} FROM store")
 def backfill_feature_store(spark, sf_dir):
     mart = _backfilled(spark, sf_dir)

@@ -21,6 +21,10 @@ class Mart:
     def losses(self, name: str) -> str:
         return self._at("losses", name)
 
+    @property
+    def ledger(self) -> str:
+        return self._at("ledger")
+
     @property
     def label_store(self) -> str:
         return self._at("gold", "label_store")
