@@ -2,12 +2,15 @@
 
 Every document gets the statistics that hand-written rules look at. Two of
 them reject on their own; for all other documents a forest of random splits
-decides. Trees are grown on rows labelled good: a cut is drawn uniformly in
-the box of the node, and the first box spans all labelled rows, so regions
-where only bad rows lie are cut off early and paths into them are short. The
+decides. Cuts are drawn uniformly in the box of the node, and the first box
+spans all labelled rows, so regions where only bad rows lie are cut off early
+and paths into them are short. Cuts need no rows: every tree is laid out from the box alone, then all rows
+labelled good are counted in its leaves, and a node ends as soon as TREE_ROWS rows of their distribution
+would leave one in it. The
 score is the usual 2 ** (-mean path / expected path); documents above the
-threshold are anomalous. The threshold is calibrated on labelled rows that
-no tree has seen.
+threshold are anomalous. The threshold is calibrated on all labelled rows that
+no tree has counted. Nothing is sampled: Spark finds box, counts and threshold
+over all labelled rows, and the driver sees one count per leaf.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import words as W
 from riskmart.llm.shipping import ship
+from riskmart.llm.tables import discard, stored
+from riskmart.operators.quantiles import Interval, order_statistics
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-#: Labelled rows that a fit takes at most, by a hash of their doc_id.
-LABELLED_ROWS = 20_000
+#: A tree's paths are those of so many rows, whatever their number: counts enter as shares of all rows.
 TREES, TREE_ROWS, MAX_DEPTH = 200, 256, 10
 #: Rates of rare characters enter as this power: a cut drawn at random then parts none from few, too.
 ROOT = 0.25
@@ -157,11 +161,58 @@ class Forest:
 
 def _expected_path(n: float) -> float:
     """Mean path of an unsuccessful search among n rows."""
-    return 0.0 if n <= 1 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
+    return 0.0 if n <= 1 else max(0.0, 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n)
 
 
-def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
-    draw = np.random.default_rng(seed)
+@dataclass
+class Layout:
+    """Full trees of random cuts: node i of a tree has children 2 i + 1 and 2 i + 2, its leaves are the last level."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+
+    def leaves(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the rows end in each leaf of each tree."""
+        each, inner = np.arange(len(rows)), 2**MAX_DEPTH - 1
+        out = np.zeros((len(self.feature), inner + 1), np.int64)
+        for tree, (feature, cut) in enumerate(zip(self.feature, self.cut, strict=True)):
+            node = np.zeros(len(rows), np.int64)
+            for _ in range(MAX_DEPTH):
+                node = 2 * node + 1 + (rows[each, feature[node]] >= cut[node])
+            out[tree] = np.bincount(node - inner, minlength=inner + 1)
+        return out
+
+
+def lay(low: np.ndarray, high: np.ndarray, seed: int = 7) -> Layout | None:
+    """Cuts drawn in the box from low to high alone; None if it has no width."""
+    wide = np.flatnonzero(high > low)
+    if not len(wide):
+        return None
+    draw, inner = np.random.default_rng(seed), 2**MAX_DEPTH - 1
+    feature, cut = np.zeros((TREES, inner), np.int64), np.zeros((TREES, inner))
+    lo, hi = (np.broadcast_to(x, (TREES, 1, len(low))) for x in (low, high))
+    for depth in range(MAX_DEPTH):
+        level, width = slice(2**depth - 1, 2 ** (depth + 1) - 1), 2**depth
+        f = wide[draw.integers(len(wide), size=(TREES, width))][..., None]
+        a, b = np.take_along_axis(lo, f, 2), np.take_along_axis(hi, f, 2)
+        c = a + (b - a) * draw.random((TREES, width, 1))
+        feature[:, level], cut[:, level] = f[..., 0], c[..., 0]
+        below, above = hi.copy(), lo.copy()
+        np.put_along_axis(below, f, c, 2)
+        np.put_along_axis(above, f, c, 2)
+        lo = np.stack([lo, above], 2).reshape(TREES, 2 * width, -1)
+        hi = np.stack([below, hi], 2).reshape(TREES, 2 * width, -1)
+    return Layout(feature, cut)
+
+
+def pruned(layout: Layout | None, leaves: np.ndarray) -> Forest:
+    """The forest of a layout whose leaves (tree, leaf) hold so many rows."""
+    total = int(leaves[0].sum())
+    size = min(TREE_ROWS, total)
+    levels = [leaves]
+    while levels[0].shape[1] > 1:
+        levels.insert(0, levels[0].reshape(len(leaves), -1, 2).sum(axis=2))
+    held = np.concatenate(levels, axis=1)
     feature, cut, left, length, roots = [], [], [], [], []
 
     def node() -> int:
@@ -169,28 +220,35 @@ def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) ->
             column.append(empty)
         return len(feature) - 1
 
-    def split(at: int, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> None:
-        wide = np.flatnonzero(hi > lo)
-        if len(rows) <= 1 or depth == MAX_DEPTH or not len(wide):
-            length[at] = depth + _expected_path(len(rows))
-            return
-        f = int(draw.choice(wide))
-        c = float(draw.uniform(lo[f], hi[f]))
-        feature[at], cut[at], left[at] = f, c, node()
-        node()
-        above = rows[:, f] >= c
-        up, down = hi.copy(), lo.copy()
-        up[f], down[f] = c, c
-        split(left[at], rows[~above], lo, up, depth + 1)
-        split(left[at] + 1, rows[above], down, hi, depth + 1)
-
-    size = min(TREE_ROWS, len(good))
-    for _ in range(TREES):
+    for tree in range(len(leaves)):
         roots.append(node())
-        split(roots[-1], good[draw.choice(len(good), size, replace=False)], low, high, 0)
+        open_nodes = [(roots[-1], 0, 0)]
+        while open_nodes:
+            at, place, depth = open_nodes.pop()
+            rows = size * int(held[tree, place]) / total
+            if layout is None or rows <= 1 or depth == MAX_DEPTH:
+                length[at] = depth + _expected_path(rows)
+                continue
+            feature[at], cut[at], left[at] = int(layout.feature[tree, place]), float(layout.cut[tree, place]), node()
+            node()
+            open_nodes += [(left[at], 2 * place + 1, depth + 1), (left[at] + 1, 2 * place + 2, depth + 1)]
     return Forest(np.array(feature), np.array(cut), np.array(left), np.array(length), np.array(roots), max(_expected_path(size), 1.0))
 
 
+def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
+    layout = lay(low, high, seed)
+    return pruned(layout, np.full((TREES, 1), len(good)) if layout is None else layout.leaves(good))
+
+
+def _kept_rank(count: int) -> int:
+    """Zero-based rank of the best of `count` good rows, by score, that must be kept."""
+    return int(np.ceil((1 - MAX_FALSE_REJECTS) * count)) - 1
+
+
+def _threshold(edge: float, beyond: float | None) -> float:
+    return float(np.nextafter(edge, np.inf)) if beyond is None else float((edge + beyond) / 2)
+
+
 def calibrate(forest: Forest, rows: np.ndarray, good: np.ndarray) -> float:
     """The threshold that rejects most bad rows while at most MAX_FALSE_REJECTS of the good ones go.
 
@@ -201,9 +259,9 @@ def calibrate(forest: Forest, rows: np.ndarray, good: np.ndarray) -> float:
     kept = np.sort(score[good])
     if not len(kept):
         return np.inf
-    edge = kept[int(np.ceil((1 - MAX_FALSE_REJECTS) * len(kept))) - 1]
+    edge = kept[_kept_rank(len(kept))]
     beyond = score[~good & (score > edge)]
-    return float((edge + beyond.min()) / 2) if len(beyond) else float(np.nextafter(edge, np.inf))
+    return _threshold(edge, beyond.min() if len(beyond) else None)
 
 
 def fit(features: np.ndarray, good: np.ndarray, order: np.ndarray) -> Forest | None:
@@ -246,26 +304,79 @@ def _measured(documents: DataFrame, extra: tuple[str, ...]) -> DataFrame:
     return documents.select(*extra, "text").mapInArrow(rows, ", ".join([*kinds, "features array<double>"]))
 
 
-def fit_forest(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Forest | None:
-    """A forest from at most `rows` labelled documents; their number bounds what reaches the driver.
+def _leaf_counts(rows: DataFrame, layout: Layout) -> np.ndarray:
+    """Rows per tree and leaf, over all rows; one number per leaf reaches the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((TREES, 2**MAX_DEPTH), np.int64)
+        for batch in batches:
+            held += layout.leaves(_matrix(batch))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held.reshape(-1)[at])], names=["leaf", "n"])
+
+    found = rows.select("features").mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros(TREES * 2**MAX_DEPTH, np.int64)
+    held[found["leaf"].to_numpy()] = found["n"].to_numpy()
+    return held.reshape(TREES, -1)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
+
+
+def _scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """(good, score) of measured rows."""
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(forest.score(_matrix(batch)))], names=["good", "score"])
+
+    return rows.select("good", "features").mapInArrow(scores, "good boolean, score double")
+
+
+def _calibrated(rows: DataFrame, forest: Forest) -> float:
+    """As calibrate(), over all rows of a table: the good row's rank is found by counting, no scores are gathered."""
+    scored = stored(_scored(rows, forest), "quality-scores")
+    good = scored.where("good")
+    count = good.count()
+    if not count:
+        return np.inf
+    ends = good.agg(F.min("score"), F.max("score")).first()
+    rank, whole = _kept_rank(count), Interval("score", ends[0], ends[1], count, ())
+    edge = order_statistics(good, [Interval("score", ends[0], ends[1], count, (rank,))], {"score": whole})[("score", rank)]
+    beyond = scored.where(~F.col("good") & (F.col("score") > F.lit(float(edge)))).agg(F.min("score")).first()[0]
+    discard(scored)
+    return _threshold(edge, beyond)
+
+
+def fit_forest(documents: DataFrame, labels: DataFrame) -> Forest | None:
+    """A forest from all labelled documents; box, leaf counts and threshold reach the driver, no rows.
 
     Labels without a quality or for no document are left out, repeated labels
-    count as often as they occur. None if no good row is labelled.
+    count as often as they occur. One half of the rows, by a hash of doc_id, is counted in the
+    trees, the other calibrates. None if no good row is labelled.
     """
     ship(documents.sparkSession)
-    known = labels.where("quality is not null and doc_id is not null")
-    sample = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id", "quality").limit(rows)
-    # The limit bounds the broadcast table: three numbers a row.
-    chosen = documents.join(F.broadcast(sample), "doc_id").select("text", "quality", "order")
-    got = _measured(chosen, ("quality", "order")).orderBy("order", "n_words", "word_chars", "quality").limit(rows).toPandas()
-    if not len(got):
+    known = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 1).alias("good"))
+    # Measured before the join: if the labels are many, numbers are shuffled, not texts.
+    measured = _measured(documents.where("doc_id is not null"), ("doc_id",)).join(known, "doc_id")
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    half = (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half")
+    rows = stored(measured.where(~base).select("good", half, "features"), "quality-labelled")
+    each = [F.get("features", F.lit(i)) for i in range(len(FEATURES))]
+    box = rows.agg(F.count_if("good"), F.count_if(F.col("good") & F.col("half")), *[f(x) for f in (F.min, F.max) for x in each]).first()
+    if not box[0]:
+        discard(rows)
         return None
-    counts = {c: got[c].to_numpy() for c in COUNTS}
-    fine = ~base_failed(counts)
-    got = got[fine]
-    if not len(got):
-        return None
-    return fit(np.stack(got["features"].to_list()), (got["quality"] == 1).to_numpy(), np.arange(len(got)))
+    # Without a good row in its half, all good rows grow the trees and all rows calibrate.
+    split = bool(box[1])
+    low, high = (np.array(box[2 + i * len(each) : 2 + (i + 1) * len(each)], float) for i in (0, 1))
+    layout = lay(low, high)
+    train = rows.where("good and half" if split else "good")
+    forest = pruned(layout, np.full((TREES, 1), box[1] if split else box[0]) if layout is None else _leaf_counts(train, layout))
+    forest.threshold = _calibrated(rows.where("not half") if split else rows, forest)
+    discard(rows)
+    return forest
 
 
 def judge(documents: DataFrame, forest: Forest | None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:

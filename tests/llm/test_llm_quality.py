@@ -78,3 +78,25 @@ def test_odd_rows(spark):
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept == (not r.base_failed)
     assert keep_good(docs, empty).count() == 2 and keep_good(docs.limit(0), empty).count() == 0
+
+
+def test_every_labelled_row_is_counted(spark, monkeypatch):
+    """The box, the leaves' counts and the threshold of the fit on Spark are those of all labelled rows."""
+    rng = random.Random(9)
+    rows = [r for r in good_and_bad(rng, 700) if r[0] % 5]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    counts, features = statistics(pa.array([t for _, t, _ in rows]))
+    fine = ~quality.base_failed(counts)
+    good = np.array([q == 1 for _, _, q in rows])
+    half = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) h").collect()}
+    order = np.array([half[d] for d, _, _ in rows])
+    seen = []
+    pruned = quality.pruned
+    monkeypatch.setattr(quality, "pruned", lambda layout, leaves: seen.append(leaves.sum(axis=1)) or pruned(layout, leaves))
+    got = fit_forest(docs, labels)
+    expected = fit(features[fine], good[fine], order[fine])
+    assert all((s == (good & fine & (order == 0)).sum()).all() for s in seen) and len(seen) == 2
+    for name in ("feature", "cut", "left", "length", "roots"):
+        assert np.array_equal(getattr(got, name), getattr(expected, name))
+    assert got.threshold == expected.threshold and not hasattr(quality, "LABELLED_ROWS")
