@@ -88,7 +88,8 @@ def take_batch(
     if folders:
         rows = spark.read.schema(dated.schema).option("basePath", bronze).parquet(*folders)
         cleaned = clean(rows.drop(FILE, BATCH)).withColumn(BATCH, F.lit(name))
-        overwrite_snapshots(cleaned, silver, by)
+        # The batch's bronze files hold one snapshot each and cleaning is narrow: no shuffle.
+        overwrite_snapshots(cleaned, silver, by, compact=False)
     store.create(marker, True).close()
     return True
 
