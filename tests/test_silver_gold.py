@@ -268,6 +268,47 @@ def test_feature_store_equals_chained_joins_with_repeated_customers(spark):
     assert as_set(spread) == as_set(chained)
 
 
+def test_loans_meet_their_clicks_before_they_are_widened(spark):
+    """The join on customer and month shuffles the loans: before the wide sources are joined to them."""
+    day = dt.date(2023, 7, 1)
+    loans = spark.createDataFrame([("l1", "A", day)], "loan_id string, Customer_ID string, snapshot_date date")
+    wide = spark.createDataFrame([("A", 1)], "Customer_ID string, income int")
+    ages = spark.createDataFrame([("A", 30)], "Customer_ID string, Age int")
+    clicks = spark.createDataFrame([("A", day, 5)], "Customer_ID string, snapshot_date date, fe_1 int")
+    store = gold.feature_store(loans, wide, ages, clicks)
+    plan = store._jdf.queryExecution().optimizedPlan().toString()
+    joins_on = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins_on) == 3 and "snapshot_date" in joins_on[-1] and "snapshot_date" not in "".join(joins_on[:-1])
+    assert store.columns == ["Customer_ID", "snapshot_date", "loan_id", "income", "Age", "fe_1"]
+
+
+def test_customers_of_one_file_are_cleaned_by_many_tasks(spark, tmp_path):
+    """Stores from a customer file of one piece: its rows are dealt out, all of them, before they are cleaned."""
+    from riskmart.catalog import queries
+
+    given = f"{tmp_path}/sf"
+    customers = spark.range(120_000).selectExpr(
+        "id as c_custkey", "'Customer#' || sha2(string(id), 256) as c_name", "cast(id % 25 as int) as c_nationkey",
+        "cast(id % 9999 as double) as c_acctbal", "'BUILDING' as c_mktsegment",
+    )
+    customers.coalesce(1).write.parquet(f"{given}/customer.parquet")
+    at = "timestamp'1998-03-01'"
+    spark.range(10).selectExpr("id as o_orderkey", "id as o_custkey", "100.5 as o_totalprice", f"{at} as o_orderdate").write.parquet(f"{given}/orders.parquet")
+    spark.range(10).selectExpr(
+        "id as l_orderkey", "id as l_partkey", "6 as l_linenumber", "5.0 as l_quantity", "100.0 as l_extendedprice",
+        "0.05 as l_discount", "0.01 as l_tax", f"{at} as l_shipdate",
+    ).write.parquet(f"{given}/lineitem.parquet")
+    spark.range(10).selectExpr("id as event_id", "id as user_id").write.parquet(f"{given}/events.parquet")
+    one_piece = spark.read.parquet(f"{given}/customer.parquet").select(F.spark_partition_id()).distinct()
+    assert one_piece.count() == 1
+    labels, features = queries._gold_tables(spark, given, f"{tmp_path}/out")
+    assert labels.count() == features.count() == 10
+    dealt = spark.read.parquet(f"{tmp_path}/out/given/customer.parquet")
+    assert dealt.exceptAll(customers).isEmpty() and dealt.count() == 120_000
+    assert len(dealt.inputFiles()) > 1
+    assert spark.read.parquet(f"{tmp_path}/out/silver_attributes").count() == 120_000
+
+
 def test_dealt_keys_keep_every_row_and_copy(spark):
     left = spark.range(40).selectExpr("cast(id % 4 as string) as k", "id")
     left = left.union(spark.createDataFrame([(None, 99)], "k string, id bigint"))
