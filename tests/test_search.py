@@ -106,6 +106,29 @@ def test_fingerprints_know_rows_and_settings_but_no_order(spark):
     assert len({fingerprint(*o) for o in others} | {fingerprint(a, ["k", "x"], 7)}) == 5
 
 
+def test_training_writes_only_what_it_uses(spark, tmp_path, monkeypatch):
+    """Columns no later step reads are neither joined nor written; the rows of a repeated customer stay."""
+    months = [dt.date(2023, m, 1) for m in range(1, 8)]
+    keyed = [(f"{m}-{i}", f"C{i}", int(i % 3 == 0), "x", m) for m in months for i in range(30)]
+    labels = spark.createDataFrame(keyed, "loan_id string, Customer_ID string, label int, label_def string, snapshot_date date")
+    seen = [(c, m, float(label), None, "text") for _, c, label, _, m in keyed for _ in range(1 + (c == "C4"))]
+    features = spark.createDataFrame(seen, "Customer_ID string, snapshot_date date, fe_1 double, fe_2 double, note string")
+    monkeypatch.setattr(training, "remove_folder", lambda spark, path: None)
+    folders = []
+    keep = training.working_folder
+    monkeypatch.setattr(training, "working_folder", lambda *a: folders.append(keep(*a)) or folders[-1])
+    for whole in (False, True):
+        training.train_model(
+            spark, labels, features.na.fill(0.0) if whole else features, dt.date(2023, 8, 1), f"{tmp_path}/{whole}", train_months=6,
+            grid={"n_estimators": [1], "max_depth": [1]}, draws=1, folds=2, feature_columns=["fe_1"], keep_missing=not whole,
+        )
+        joined = spark.read.parquet(f"{folders[-1]}/joined")
+        assert set(joined.columns) == {"loan_id", "Customer_ID", "label", "snapshot_date", "fe_1"}
+        assert joined.count() == 7 * 31
+        folded = spark.read.parquet(f"{folders[-1]}/folded")
+        assert folded.count() == spark.read.parquet(f"{folders[-1]}/inputs").count()
+
+
 def test_training_that_broke_off_goes_on(spark, tmp_path, monkeypatch):
     months = [dt.date(2023, m, 1) for m in range(1, 8)]
     rng = random.Random(2)
